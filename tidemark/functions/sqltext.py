@@ -84,7 +84,7 @@ def column_references(sql: str | Column, skipped: Sequence[str] = NOT_A_COLUMN,
         F.regexp_extract_all(text, F.lit(ALIAS_COLUMN), 2).alias("name"),
     )
     upper = F.transform(
-        pairs, lambda p: F.struct(F.upper(p.getField("0")).alias("alias"), F.upper(p.getField("1")).alias("name"))
+        pairs, lambda p: F.struct(F.upper(p["alias"]).alias("alias"), F.upper(p["name"]).alias("name"))
     )
 
     def wanted(p: Column) -> Column:

@@ -46,6 +46,32 @@ RUN_MODES = ["FULL", "FOCUSED", "STALENESS"]
 MODELS = ["model-a", "model-b", "model-c"]
 DOMAINS = ["Sales", "Finance", "", "Supply Chain", "R & D"]
 
+# Shapes of the query log; the marks are filled with names and numbers of the row.
+TEMPLATES = [
+    "SELECT o.CUSTOMER_ID, SUM(o.TOTAL_AMOUNT) AS total_amount FROM {t1} o JOIN {t2} c ON o.CUSTOMER_ID = c.CUSTOMER_ID "
+    "WHERE ORDER_DATE >= '2000-01-01' AND o.REGION = 'R{n}' GROUP BY o.CUSTOMER_ID",
+    "-- nightly load from the staging area\nINSERT INTO {t1} SELECT * FROM {t2}",
+    "SELECT COUNT(*) FROM {short} /* probe\n run */ WHERE STATUS_CODE = 'A{n}'",
+    "select c.REGION, count(distinct o.CUSTOMER_ID) from {t1} as o left join {t2} as c on o.CUSTOMER_ID = c.CUSTOMER_ID "
+    "where c.STATUS_CODE = 'A' group by REGION order by REGION",
+    "CREATE OR REPLACE TEMPORARY TABLE TMP_{n} AS SELECT * FROM {t1}",
+    "SELECT CASE WHEN i.QUANTITY > 10 THEN 'big' ELSE 'small' END AS bucket, AVG(i.UNIT_PRICE), MAX( i.QUANTITY ) "
+    "FROM {t1} i WHERE QUANTITY > {n} AND CATEGORY = 'C1' GROUP BY 1",
+    "SELECT p.PAYLOAD:customer:id::STRING, PARSE_JSON(p.NOTES) FROM {t1} p, LATERAL FLATTEN(input => p.PAYLOAD) f "
+    "WHERE p.CREATED_AT >= DATEADD(MIN, -15, CURRENT_DATE)",
+    "WITH recent AS (SELECT s.CUSTOMER_ID, MAX(s.ORDER_DATE) AS last_date FROM {t1} s GROUP BY s.CUSTOMER_ID) "
+    "SELECT r.CUSTOMER_ID, ROW_NUMBER() OVER (ORDER BY r.last_date) FROM recent r JOIN {t2} d ON r.CUSTOMER_ID = d.CUSTOMER_ID",
+    "UPDATE {t1} SET STATUS_CODE = 'B' WHERE ACCT_ID = {n}",
+    "SELECT * FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = '{bare}'",
+    "SELECT MIN(a.NET_USD), COUNT(1), SUM(b.TAX_EUR + a.NET_USD) FROM {t1} a JOIN {t2} b ON a.ACCT_ID = b.ACCT_ID "
+    "JOIN {t3} e ON b.ACCT_ID = e.ACCT_ID // trailing note",
+    "SELECT SEARCH_PREVIEW('docs_index', 'FILTER REGION = X') FROM {t1} WHERE EMAIL IS NOT NULL",
+]
+QUERY_TYPES = [
+    "SELECT", "INSERT", "SELECT", "SELECT", "CREATE_TABLE_AS_SELECT", "SELECT", "SELECT", "SELECT",
+    "UPDATE", "SHOW", "SELECT", "SELECT",
+]
+
 
 def pick(values: list[str], index: Column) -> Column:
     """Element of a fixed list by a non-negative index, wrapping around."""
@@ -86,63 +112,25 @@ class Inputs:
         k2 = (c * 7 + 3) % N_SHARED_OBJECTS
         k3 = (c * 11 + 5) % N_SHARED_OBJECTS
         t1, t2, t3 = full_name(k1), full_name(k2), full_name(k3)
-        texts = [
-            F.concat(
-                F.lit("SELECT o.CUSTOMER_ID, SUM(o.TOTAL_AMOUNT) AS total_amount FROM "), t1, F.lit(" o JOIN "), t2,
-                F.lit(" c ON o.CUSTOMER_ID = c.CUSTOMER_ID WHERE ORDER_DATE >= '2000-01-01' AND o.REGION = 'R"),
-                (c % 10).cast("string"), F.lit("' GROUP BY o.CUSTOMER_ID"),
-            ),
-            F.concat(F.lit("-- nightly load from the staging area\nINSERT INTO "), t1, F.lit(" SELECT * FROM "), t2),
-            F.concat(
-                F.lit("SELECT COUNT(*) FROM "), database_of(k1), F.lit(".."), table_of(k1),
-                F.lit(" /* probe\n run */ WHERE STATUS_CODE = 'A"), (c % 7).cast("string"), F.lit("'"),
-            ),
-            F.concat(
-                F.lit("select c.REGION, count(distinct o.CUSTOMER_ID) from "), t1, F.lit(" as o left join "), t2,
-                F.lit(" as c on o.CUSTOMER_ID = c.CUSTOMER_ID where c.STATUS_CODE = 'A' group by REGION order by REGION"),
-            ),
-            F.concat(
-                F.lit("CREATE OR REPLACE TEMPORARY TABLE TMP_"), c.cast("string"), F.lit(" AS SELECT * FROM "), t1
-            ),
-            F.concat(
-                F.lit("SELECT CASE WHEN i.QUANTITY > 10 THEN 'big' ELSE 'small' END AS bucket, AVG(i.UNIT_PRICE), "),
-                F.lit("MAX( i.QUANTITY ) FROM "), t1, F.lit(" i WHERE QUANTITY > "), (c % 30).cast("string"),
-                F.lit(" AND CATEGORY = 'C1' GROUP BY 1"),
-            ),
-            F.concat(
-                F.lit("SELECT p.PAYLOAD:customer:id::STRING, PARSE_JSON(p.NOTES) FROM "), t1,
-                F.lit(" p, LATERAL FLATTEN(input => p.PAYLOAD) f WHERE p.CREATED_AT >= DATEADD(MIN, -15, CURRENT_DATE)"),
-            ),
-            F.concat(
-                F.lit("WITH recent AS (SELECT s.CUSTOMER_ID, MAX(s.ORDER_DATE) AS last_date FROM "), t1,
-                F.lit(" s GROUP BY s.CUSTOMER_ID) SELECT r.CUSTOMER_ID, ROW_NUMBER() OVER (ORDER BY r.last_date) "),
-                F.lit("FROM recent r JOIN "), t2, F.lit(" d ON r.CUSTOMER_ID = d.CUSTOMER_ID"),
-            ),
-            F.concat(F.lit("UPDATE "), t1, F.lit(" SET STATUS_CODE = 'B' WHERE ACCT_ID = "), c.cast("string")),
-            F.concat(F.lit("SELECT * FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = '"), table_of(k1), F.lit("'")),
-            F.concat(
-                F.lit('SELECT MIN(a.NET_USD), COUNT(1), SUM(b.TAX_EUR + a.NET_USD) FROM '), t1, F.lit(" a JOIN "), t2,
-                F.lit(" b ON a.ACCT_ID = b.ACCT_ID JOIN "), t3, F.lit(" e ON b.ACCT_ID = e.ACCT_ID // trailing note"),
-            ),
-            F.concat(
-                F.lit("SELECT SEARCH_PREVIEW('docs_index', 'FILTER REGION = X') FROM "), t1,
-                F.lit(" WHERE EMAIL IS NOT NULL"),
-            ),
-        ]
-        kinds = [
-            "SELECT", "INSERT", "SELECT", "SELECT", "CREATE_TABLE_AS_SELECT", "SELECT", "SELECT", "SELECT",
-            "UPDATE", "SHOW", "SELECT", "SELECT",
-        ]
-        shape = F.pmod(F.col("o_orderkey"), F.lit(12)).cast("int")
+        text = pick(TEMPLATES, F.col("o_orderkey"))
+        for mark, value in {
+            "{t1}": full_name(k1),
+            "{t2}": full_name(k2),
+            "{t3}": full_name(k3),
+            "{short}": F.concat_ws("..", database_of(k1), table_of(k1)),
+            "{bare}": table_of(k1),
+            "{n}": (c % 30).cast("string"),
+        }.items():
+            text = F.replace(text, F.lit(mark), value)
         return o.select(
             F.col("o_orderkey").alias("query_id"),
             F.concat(F.lit("U"), (c % 50).cast("string")).alias("user_name"),
-            F.get(F.array(*texts), shape).alias("query_text"),
+            text.alias("query_text"),
             F.col("o_orderdate").alias("start_time"),
             F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("SUCCESS").alias("status"),
             database_of(k1).alias("database_name"),
             F.col("o_totalprice").alias("elapsed_ms"),
-            pick(kinds, F.col("o_orderkey")).alias("query_type"),
+            pick(QUERY_TYPES, F.col("o_orderkey")).alias("query_type"),
             pick(DOMAINS, c).alias("domain"),
             F.when(F.pmod(F.col("o_orderkey"), F.lit(4)) == 3, "")
             .otherwise(F.concat(F.lit("What is the total by region for group "), (c % 50).cast("string"), F.lit("?")))

@@ -29,40 +29,15 @@ def full_name(k: str) -> str:
     return f"({database_of(k)} || '.' || {schema_of(k)} || '.' || {table_of(k)})"
 
 
-_KINDS = [
-    "SELECT", "INSERT", "SELECT", "SELECT", "CREATE_TABLE_AS_SELECT", "SELECT", "SELECT", "SELECT",
-    "UPDATE", "SHOW", "SELECT", "SELECT",
-]
-
 _QUERY_LOG = f"""
 SELECT o_orderkey AS query_id, 'U' || CAST(o_custkey % 50 AS VARCHAR) AS user_name,
-  CASE o_orderkey % 12
-    WHEN 0 THEN 'SELECT o.CUSTOMER_ID, SUM(o.TOTAL_AMOUNT) AS total_amount FROM ' || t1 || ' o JOIN ' || t2
-      || ' c ON o.CUSTOMER_ID = c.CUSTOMER_ID WHERE ORDER_DATE >= ''2000-01-01'' AND o.REGION = ''R'
-      || CAST(o_custkey % 10 AS VARCHAR) || ''' GROUP BY o.CUSTOMER_ID'
-    WHEN 1 THEN '-- nightly load from the staging area' || chr(10) || 'INSERT INTO ' || t1 || ' SELECT * FROM ' || t2
-    WHEN 2 THEN 'SELECT COUNT(*) FROM ' || db1 || '..' || tb1 || ' /* probe' || chr(10)
-      || ' run */ WHERE STATUS_CODE = ''A' || CAST(o_custkey % 7 AS VARCHAR) || ''''
-    WHEN 3 THEN 'select c.REGION, count(distinct o.CUSTOMER_ID) from ' || t1 || ' as o left join ' || t2
-      || ' as c on o.CUSTOMER_ID = c.CUSTOMER_ID where c.STATUS_CODE = ''A'' group by REGION order by REGION'
-    WHEN 4 THEN 'CREATE OR REPLACE TEMPORARY TABLE TMP_' || CAST(o_custkey AS VARCHAR) || ' AS SELECT * FROM ' || t1
-    WHEN 5 THEN 'SELECT CASE WHEN i.QUANTITY > 10 THEN ''big'' ELSE ''small'' END AS bucket, AVG(i.UNIT_PRICE), MAX( i.QUANTITY ) FROM '
-      || t1 || ' i WHERE QUANTITY > ' || CAST(o_custkey % 30 AS VARCHAR) || ' AND CATEGORY = ''C1'' GROUP BY 1'
-    WHEN 6 THEN 'SELECT p.PAYLOAD:customer:id::STRING, PARSE_JSON(p.NOTES) FROM ' || t1
-      || ' p, LATERAL FLATTEN(input => p.PAYLOAD) f WHERE p.CREATED_AT >= DATEADD(MIN, -15, CURRENT_DATE)'
-    WHEN 7 THEN 'WITH recent AS (SELECT s.CUSTOMER_ID, MAX(s.ORDER_DATE) AS last_date FROM ' || t1
-      || ' s GROUP BY s.CUSTOMER_ID) SELECT r.CUSTOMER_ID, ROW_NUMBER() OVER (ORDER BY r.last_date) FROM recent r JOIN '
-      || t2 || ' d ON r.CUSTOMER_ID = d.CUSTOMER_ID'
-    WHEN 8 THEN 'UPDATE ' || t1 || ' SET STATUS_CODE = ''B'' WHERE ACCT_ID = ' || CAST(o_custkey AS VARCHAR)
-    WHEN 9 THEN 'SELECT * FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = ''' || tb1 || ''''
-    WHEN 10 THEN 'SELECT MIN(a.NET_USD), COUNT(1), SUM(b.TAX_EUR + a.NET_USD) FROM ' || t1 || ' a JOIN ' || t2
-      || ' b ON a.ACCT_ID = b.ACCT_ID JOIN ' || t3 || ' e ON b.ACCT_ID = e.ACCT_ID // trailing note'
-    ELSE 'SELECT SEARCH_PREVIEW(''docs_index'', ''FILTER REGION = X'') FROM ' || t1 || ' WHERE EMAIL IS NOT NULL'
-  END AS query_text,
+  replace(replace(replace(replace(replace(replace({pick(I.TEMPLATES, "o_orderkey")},
+    '{{t1}}', t1), '{{t2}}', t2), '{{t3}}', t3), '{{short}}', db1 || '..' || tb1), '{{bare}}', tb1),
+    '{{n}}', CAST(o_custkey % 30 AS VARCHAR)) AS query_text,
   o_orderdate AS start_time,
   CASE WHEN o_orderstatus = 'F' THEN 'FAIL' ELSE 'SUCCESS' END AS status,
   db1 AS database_name, o_totalprice AS elapsed_ms,
-  {pick(_KINDS, "o_orderkey")} AS query_type,
+  {pick(I.QUERY_TYPES, "o_orderkey")} AS query_type,
   {pick(I.DOMAINS, "o_custkey")} AS domain,
   CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE 'What is the total by region for group ' || CAST(o_custkey % 50 AS VARCHAR) || '?' END AS question
 FROM (SELECT *, {full_name("k1")} AS t1, {full_name("k2")} AS t2, {full_name("k3")} AS t3,
