@@ -20,7 +20,7 @@ DATABASES = [
     "SALES_PROD", "SALES_DEV", "FINANCE_DW", "OPS_DB", "MARKETING_STAGE", "SUPPLY_PROD", "PEOPLE", "WEB_STG",
 ]
 SCHEMAS = ["CORE", "RAW", "MART"]
-PREFIXES = ["FCT_", "DIM_", "STG_", "MART_", "", ""]
+PREFIXES = ["FCT_", "STG_", "DIM_", "MART_", "", ""]
 WORDS = ["ORDERS", "CUSTOMER", "PRODUCT", "SHIPMENT", "INVOICE", "CAMPAIGN", "EMPLOYEE"]
 COLUMNS = [
     "CUSTOMER_ID", "ORDER_DATE", "TOTAL_AMOUNT", "STATUS_CODE", "IS_ACTIVE", "REGION", "QUANTITY", "UNIT_PRICE",
@@ -94,6 +94,11 @@ def full_name(k: Column) -> Column:
     return F.concat_ws(".", database_of(k), schema_of(k), table_of(k))
 
 
+def parent_of(k: Column) -> Column:
+    """Referenced table of a table: another one of the same database."""
+    return F.floor(k / 16) * 8 + F.pmod(k, F.lit(8))
+
+
 class Inputs:
     """Lazy access to the driver tables in one folder and the relations over them."""
 
@@ -194,7 +199,7 @@ class Inputs:
         at = k * 3 + i * 5
         name = (
             F.when(i == 1, F.lit("ID"))
-            .when(i == 2, F.concat(table_of(F.floor(k / 2)), F.lit("_ID")))
+            .when(i == 2, F.concat(table_of(parent_of(k)), F.lit("_ID")))
             .otherwise(pick(COLUMNS, at))
         )
         kind = F.when(i <= 2, F.lit("NUMBER")).otherwise(pick(TYPES, at))
@@ -226,6 +231,77 @@ class Inputs:
     def catalog_columns_new(self) -> DataFrame:
         return self._columns(newer=True)
 
+    @cached_property
+    def constraints(self) -> DataFrame:
+        """Declared foreign keys of about a sixth of the tables."""
+        k = F.col("p_partkey")
+        p = parent_of(k)
+        return self.table("part").filter((F.col("p_type") == "LARGE") & (k != p)).select(
+            database_of(k).alias("database_name"),
+            schema_of(k).alias("schema_name"),
+            table_of(k).alias("table_name"),
+            F.concat(F.lit("FK_"), k.cast("string")).alias("constraint_name"),
+            F.lit("FOREIGN KEY").alias("constraint_type"),
+            F.concat(table_of(p), F.lit("_ID")).alias("column_name"),
+            table_of(p).alias("ref_table"),
+            F.lit("ID").alias("ref_column"),
+        )
+
+    @cached_property
+    def current_tables(self) -> DataFrame:
+        """Catalog of today: the older snapshot without the dropped tables."""
+        return self.catalog_tables.filter(~F.col("size_code").isin(17, 34))
+
+    @cached_property
+    def concepts(self) -> DataFrame:
+        """Enriched catalog entries; tables of one type never got one."""
+        size, k = F.col("size_code"), F.col("part_key")
+        known = self.table("part").filter("p_type <> 'STANDARD'").select("p_partkey")
+        return (
+            self.catalog_tables.join(known, k == F.col("p_partkey"), "left_semi")
+            .select(
+                F.concat(F.lit("C"), k.cast("string")).alias("concept_id"),
+                "database_name",
+                "schema_name",
+                "table_name",
+                F.concat_ws(".", "database_name", "schema_name", "table_name").alias("full_name"),
+                F.regexp_replace("database_name", "(_DB|_DW|_PROD|_DEV|_STAGE|_STG)$", "").alias("domain"),
+                F.col("comment").alias("description"),
+                F.transform(F.sequence(F.lit(1), (size % 5 + 1).cast("int")), lambda i: F.concat(F.lit("kw"), ((i * 7 + k) % 30).cast("string"))).alias("keywords"),
+                (size % 4 > 0).alias("has_joins"),
+                (size % 3 > 0).alias("has_metrics"),
+                (size % 2 > 0).alias("has_samples"),
+                F.round((size * 7 % 100) / 100.0, 2).alias("quality_score"),
+                (size % 4).alias("tier"),
+                (F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval((size * 3 % 200).cast("int"))).alias("enriched_at"),
+                (size != 5).alias("is_active"),
+                (k * 31 % 37).alias("usage_count"),
+                "row_count",
+                "last_altered",
+                "part_key",
+                "size_code",
+            )
+        )
+
+    @cached_property
+    def question_log(self) -> DataFrame:
+        """Questions of users: one row per user turn, with the concepts that answered it."""
+        n = F.length("text").cast("bigint")
+        c, t = F.col("conv_id"), F.col("turn")
+        return self.table("conversations").filter("role = 'user'").select(
+            (c * 1000 + t).alias("question_id"),
+            F.col("text").alias("question"),
+            (F.lit(EVENTS_AS_OF).cast("timestamp_ntz") - F.make_dt_interval((c % 120).cast("int"))).alias("asked_at"),
+            F.when(n % 7 == 0, "ERROR").when(n % 11 == 0, "EMPTY").otherwise("OK").alias("status"),
+            F.when(n % 7 == 0, pick(MESSAGES, n)).alias("error_message"),
+            (n % 3 != 0).alias("helpful"),
+            F.array_distinct(
+                F.array(
+                    F.concat(F.lit("C"), (c % 40).cast("string")), F.concat(F.lit("C"), ((c + t) % 40).cast("string"))
+                )
+            ).alias("concepts_used"),
+        )
+
     @cached_property
     def edges(self) -> DataFrame:
         """Acyclic graph over parts: a binary tree and some cross edges."""

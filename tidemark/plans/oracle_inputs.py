@@ -66,6 +66,37 @@ FROM (SELECT *, CAST(CASE WHEN p_size <= 2 THEN 0 ELSE floor(p_retailprice * p_s
 """
 
 
+PARENT = "((k // 16) * 8 + k % 8)"
+
+_CONSTRAINTS = f"""
+SELECT {database_of("k")} AS database_name, {schema_of("k")} AS schema_name, {table_of("k")} AS table_name,
+       'FK_' || CAST(k AS VARCHAR) AS constraint_name, 'FOREIGN KEY' AS constraint_type,
+       {table_of(PARENT)} || '_ID' AS column_name, {table_of(PARENT)} AS ref_table, 'ID' AS ref_column
+FROM (SELECT p_partkey AS k FROM part WHERE p_type = 'LARGE') WHERE k <> {PARENT}
+"""
+
+_CONCEPTS = f"""
+SELECT 'C' || CAST(part_key AS VARCHAR) AS concept_id, database_name, schema_name, table_name,
+       database_name || '.' || schema_name || '.' || table_name AS full_name,
+       regexp_replace(database_name, '(_DB|_DW|_PROD|_DEV|_STAGE|_STG)$', '') AS domain, comment AS description,
+       list_transform(range(1, size_code % 5 + 2), lambda i: 'kw' || CAST((i * 7 + part_key) % 30 AS VARCHAR)) AS keywords,
+       size_code % 4 > 0 AS has_joins, size_code % 3 > 0 AS has_metrics, size_code % 2 > 0 AS has_samples,
+       round((size_code * 7 % 100) / 100.0, 2)::DOUBLE AS quality_score, size_code % 4 AS tier,
+       TIMESTAMP '{I.AS_OF}' - to_days(CAST(size_code * 3 % 200 AS INT)) AS enriched_at, size_code <> 5 AS is_active,
+       part_key * 31 % 37 AS usage_count, row_count, last_altered, part_key, size_code
+FROM catalog_tables WHERE part_key IN (SELECT p_partkey FROM part WHERE p_type <> 'STANDARD')
+"""
+
+_QUESTION_LOG = f"""
+SELECT conv_id * 1000 + turn AS question_id, text AS question,
+       TIMESTAMP '{I.EVENTS_AS_OF}' - to_days(CAST(conv_id % 120 AS INT)) AS asked_at,
+       CASE WHEN n % 7 = 0 THEN 'ERROR' WHEN n % 11 = 0 THEN 'EMPTY' ELSE 'OK' END AS status,
+       CASE WHEN n % 7 = 0 THEN {pick(I.MESSAGES, "n")} END AS error_message, n % 3 <> 0 AS helpful,
+       list_distinct(['C' || CAST(conv_id % 40 AS VARCHAR), 'C' || CAST((conv_id + turn) % 40 AS VARCHAR)]) AS concepts_used
+FROM (SELECT *, length(text) AS n FROM conversations WHERE role = 'user')
+"""
+
+
 def _columns(newer: bool) -> str:
     extra = "CASE WHEN size IN (11, 22, 33, 44) THEN 1 ELSE 0 END" if newer else "0"
     keep = "WHERE p_size NOT IN (17, 34)" if newer else ""
@@ -79,7 +110,7 @@ SELECT {database_of("k")} AS database_name, {schema_of("k")} AS schema_name, {ta
        CAST(CASE WHEN kind0 = 'VARCHAR' THEN {length} END AS BIGINT) AS char_length,
        (i % 3 <> 1) AS nullable,
        CASE WHEN (k + i) % 4 = 0 THEN 'Holds ' || lower(nm) END AS comment, CAST(i AS BIGINT) AS ordinal
-FROM (SELECT *, CASE WHEN i = 1 THEN 'ID' WHEN i = 2 THEN {table_of("(k // 2)")} || '_ID'
+FROM (SELECT *, CASE WHEN i = 1 THEN 'ID' WHEN i = 2 THEN {table_of(PARENT)} || '_ID'
                      ELSE {pick(I.COLUMNS, "k * 3 + i * 5")} END AS nm,
              CASE WHEN i <= 2 THEN 'NUMBER' ELSE {pick(I.TYPES, "k * 3 + i * 5")} END AS kind0
       FROM (SELECT k, size, unnest(range(1, n + 1)) AS i
@@ -136,6 +167,10 @@ RELATIONS = {
     "catalog_tables": _TABLES,
     "catalog_columns": _columns(False),
     "catalog_columns_new": _columns(True),
+    "constraints": _CONSTRAINTS,
+    "current_tables": "SELECT * FROM catalog_tables WHERE size_code NOT IN (17, 34)",
+    "concepts": _CONCEPTS,
+    "question_log": _QUESTION_LOG,
     "edges": _EDGES,
     "run_history": _RUNS,
     "timing_runs": _TIMING,
