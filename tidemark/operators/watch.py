@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import pick_bounded
 from tidemark.operators.catalog import TABLE_KEY, full_name
 from tidemark.operators.usage import flatten_access, since
 
@@ -176,7 +175,3 @@ def triage(
     )
     return objects.select("full_name", decision.alias("triage"))
 
-
-def latest_per_object(states: DataFrame) -> DataFrame:
-    """Newest state row per object."""
-    return pick_bounded(states, ["object_fqn"], [F.desc("detected_at"), F.col("object_state")], 1).drop("_rn")

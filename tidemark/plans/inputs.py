@@ -329,6 +329,36 @@ class Inputs:
             F.col("user_id"),
         )
 
+    @cached_property
+    def failures(self) -> DataFrame:
+        """Recorded failures with the state of their repair."""
+        r = self.run_history.filter("state = 'FAILED'")
+        k = F.col("run_id")
+        return r.select(
+            k.alias("failure_id"),
+            "object_name",
+            "object_type",
+            F.col("ts").alias("detected_at"),
+            F.col("message").alias("error_message"),
+            pick(["RESOLVED", "ESCALATED", "PENDING_REVIEW", "NEW"], k * 7 + F.col("user_id")).alias("status"),
+            ((k * 3 + F.col("user_id")) % 5).alias("fix_attempts"),
+            F.col("user_id").alias("node"),
+        )
+
+    @cached_property
+    def audit_log(self) -> DataFrame:
+        """What the repair of failures did: one row per event."""
+        k = F.col("event_id")
+        return self.table("events").select(
+            k.alias("log_id"),
+            F.col("user_id").alias("failure_id"),
+            pick(["DIAGNOSE", "DIAGNOSE_DT", "EXECUTE", "VERIFY"], k).alias("action_type"),
+            pick(["RUNBOOK", "model-a", "model-b"], k + F.col("user_id")).alias("model_used"),
+            pick(["PASS", "REVIEW:LOW_CONFIDENCE", "BLOCK:BLOCKED_OPERATION"], k * 5 + F.col("user_id")).alias("guardrail_result"),
+            F.round(F.pmod(F.col("value"), F.lit(100.0)) / 100, 2).alias("confidence"),
+            F.col("ts").alias("created_at"),
+        )
+
     @cached_property
     def timing_runs(self) -> DataFrame:
         """Finished runs; the event value is the duration in seconds."""

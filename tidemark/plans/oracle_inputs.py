@@ -133,6 +133,23 @@ SELECT event_id AS run_id, 'JOB_' || CAST(user_id AS VARCHAR) AS object_name,
 FROM events
 """
 
+_FAILURES = f"""
+SELECT event_id AS failure_id, 'JOB_' || CAST(user_id AS VARCHAR) AS object_name,
+       CASE WHEN user_id % 2 = 0 THEN 'TASK' ELSE 'DERIVED_TABLE' END AS object_type, ts AS detected_at,
+       {pick(I.MESSAGES, "event_id * 5 + user_id")} AS error_message,
+       {pick(["RESOLVED", "ESCALATED", "PENDING_REVIEW", "NEW"], "event_id * 7 + user_id")} AS status,
+       (event_id * 3 + user_id) % 5 AS fix_attempts, user_id AS node
+FROM events WHERE event_type = 'error'
+"""
+
+_AUDIT = f"""
+SELECT event_id AS log_id, user_id AS failure_id, {pick(["DIAGNOSE", "DIAGNOSE_DT", "EXECUTE", "VERIFY"], "event_id")} AS action_type,
+       {pick(["RUNBOOK", "model-a", "model-b"], "event_id + user_id")} AS model_used,
+       {pick(["PASS", "REVIEW:LOW_CONFIDENCE", "BLOCK:BLOCKED_OPERATION"], "event_id * 5 + user_id")} AS guardrail_result,
+       round((value % 100.0) / 100, 2) AS confidence, ts AS created_at
+FROM events
+"""
+
 _TIMING = f"""
 SELECT substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS run_id, 'review-' || event_type AS skill_name,
        {pick(I.RUN_MODES, "user_id")} AS mode, {pick(I.MODELS, "(user_id % 7)")} AS model, ts AS started,
@@ -173,6 +190,8 @@ RELATIONS = {
     "question_log": _QUESTION_LOG,
     "edges": _EDGES,
     "run_history": _RUNS,
+    "failures": _FAILURES,
+    "audit_log": _AUDIT,
     "timing_runs": _TIMING,
     "eval_scores": _SCORES,
     "eval_questions": _QUESTIONS,
