@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import durable
+
 
 def money(value: Column) -> Column:
     """Exact decimal form, so that sums do not depend on the order of rows."""
@@ -36,10 +38,12 @@ def ranked_values(
     """Exact order statistics per group, without sorting a whole group in one task.
 
     `shares` maps an output name to p: the value at 0-based rank floor(n * p),
-    never past the last row. A quantile sketch brackets each rank first; it is
-    off by at most n / accuracy ranks, so the bracket always holds the wanted
-    value. Equal values are counted before the shuffle, values below the bracket
-    are only counted, and the few distinct values inside are ranked.
+    never past the last row. In a large group a quantile sketch brackets each
+    rank first; it is off by at most n / accuracy ranks, so the bracket always
+    holds the wanted value. Equal values are counted before the shuffle, values
+    below the bracket are only counted, and the few inside it are ranked. The
+    brackets (one row per group) are written out once, so that a task that runs
+    again sees the same ones.
     """
     keys = list(keys)
     names = list(shares)
@@ -48,16 +52,19 @@ def ranked_values(
     grid = []
     for name in names:
         grid += [max(0.0, shares[name] - slack), min(1.0, shares[name] + slack)]
-    marks = known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, grid, accuracy).alias("_grid")
+    marks = durable(
+        known.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, grid, accuracy).alias("_grid")
+        )
     )
+    large = F.col("_n") > accuracy
     brackets = F.array(
         *[
             F.struct(
                 F.lit(name).alias("what"),
                 F.least(F.floor(F.col("_n") * F.lit(shares[name])), F.col("_n") - 1).alias("rank"),
-                F.get("_grid", F.lit(2 * i)).alias("lo"),
-                F.get("_grid", F.lit(2 * i + 1)).alias("hi"),
+                F.when(large, F.get("_grid", F.lit(2 * i))).alias("lo"),
+                F.when(large, F.get("_grid", F.lit(2 * i + 1))).alias("hi"),
             )
             for i, name in enumerate(names)
         ]
@@ -67,8 +74,8 @@ def ranked_values(
         null_safe_join(counted, marks, keys)
         .select(*keys, "_v", "_c", F.explode(brackets).alias("_m"))
         .select(*keys, "_v", "_c", "_m.*")
-        .filter(F.col("_v") <= F.col("hi"))
-        .withColumn("_in", F.col("_v") >= F.col("lo"))
+        .filter(F.coalesce(F.col("_v") <= F.col("hi"), F.lit(True)))
+        .withColumn("_in", F.coalesce(F.col("_v") >= F.col("lo"), F.lit(True)))
     )
     by = [*keys, "what"]
     offsets = spread.groupBy(*by).agg(F.coalesce(F.sum(F.when(~F.col("_in"), F.col("_c"))), F.lit(0)).alias("_off"))
@@ -81,6 +88,32 @@ def ranked_values(
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == name, F.col("_v"))).alias(name) for name in names])
 
 
+def numbered(df: DataFrame, keys: Sequence[str], coarse: Sequence[str], unique: str, name: str = "position") -> DataFrame:
+    """Row numbers per key group, from 1, without putting a group into one task.
+
+    Rows are ordered by the `coarse` columns (few distinct values), then by the
+    hash of the unique column. Rows are counted per coarse value and hash range;
+    the running sum of these counts gives each range its first number, and only
+    the rows of one range are sorted together.
+    """
+    by = [*keys, *coarse, "_b"]
+    hashed = df.withColumn("_h", F.md5(F.col(unique).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy(*coarse, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    within = Window.partitionBy(*by).orderBy("_h", F.col(unique))
+    return (
+        null_safe_join(hashed, starts, by)
+        .withColumn(name, (F.row_number().over(within) + F.col("_o")).cast("bigint"))
+        .drop("_h", "_b", "_o")
+    )
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 5000) -> DataFrame:
+    """Broadcast a rule table after counting it; a larger one joins as Spark decides."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys that may hold nulls, keeping the left copy of each key."""
     renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import money, percent, pick_bounded
+from tidemark.functions.exact import broadcast_if_small, money, percent, pick_bounded
 
 # Operations that are never run on their own.
 BLOCKED = (
@@ -49,7 +49,7 @@ def match_runbook(failures: DataFrame, runbook: DataFrame) -> DataFrame:
     against the small runbook, and the result joined back.
     """
     texts = failures.select("error_message", "object_type").distinct()
-    book = F.broadcast(runbook.limit(10_000))  # a hand-written rule table
+    book = broadcast_if_small(runbook)
     fits = F.expr("error_message rlike error_pattern") & (
         (F.col("book_type") == "ALL") | (F.col("book_type") == F.col("object_type"))
     )
@@ -130,7 +130,7 @@ def cost_anomaly(audit: DataFrame, limit: int = 50) -> DataFrame:
     """Hours with more model calls than allowed; runbook answers do not count."""
     return (
         audit.filter(F.col("action_type").isin("DIAGNOSE", "DIAGNOSE_DT") & (F.col("model_used") != "RUNBOOK"))
-        .groupBy(F.date_trunc("hour", "created_at").alias("hour_window"))
+        .groupBy(F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("hour_window"))
         .agg(F.count(F.lit(1)).alias("model_calls"), F.count_distinct("failure_id").alias("unique_failures"))
         .filter(F.col("model_calls") > limit)
     )
@@ -202,7 +202,7 @@ def learn_patterns(reviews: DataFrame, runbook: DataFrame, min_fixes: int = 2) -
         .agg(F.count(F.lit(1)).alias("fixes"), F.min("error_message").alias("sample_message"))
         .filter(F.col("fixes") >= min_fixes)
     )
-    return found.join(F.broadcast(known.limit(10_000)), F.expr("sample_message rlike error_pattern"), "left_anti")
+    return found.join(broadcast_if_small(known), F.expr("sample_message rlike error_pattern"), "left_anti")
 
 
 def change_impact(changes: DataFrame, objects: DataFrame, usage: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def change_impact(changes: DataFrame, objects: DataFrame, usage: DataFrame) -> D
     (object_name, object_type, definition), `usage` (keyword, executions). A keyword
     in the definition is critical, a type match or mere usage a warning.
     """
-    c = F.broadcast(changes.limit(10_000))
+    c = broadcast_if_small(changes)
     exact = objects.join(c, F.expr("contains(upper(definition), upper(keyword))")).select(
         "change_id", "object_name", F.lit(2).alias("_s"), F.concat(F.lit("definition holds "), F.col("keyword")).alias("evidence")
     )

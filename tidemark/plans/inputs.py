@@ -43,6 +43,7 @@ MESSAGES = [
     "Network connection reset by peer",
 ]
 RUN_MODES = ["FULL", "FOCUSED", "STALENESS"]
+SKILLS = ["rule-reviewer", "plan-reviewer", "doc-reviewer", "rule-creator", "other"]
 MODELS = ["model-a", "model-b", "model-c"]
 DOMAINS = ["Sales", "Finance", "", "Supply Chain", "R & D"]
 
@@ -364,7 +365,7 @@ class Inputs:
         """Finished runs; the event value is the duration in seconds."""
         return self.table("events").select(
             F.substring(F.md5(F.col("event_id").cast("string")), 1, 16).alias("run_id"),
-            F.concat(F.lit("review-"), F.col("event_type")).alias("skill_name"),
+            pick(SKILLS, F.col("event_id")).alias("skill_name"),
             pick(RUN_MODES, F.col("user_id")).alias("mode"),
             pick(MODELS, F.col("user_id") % 7).alias("model"),
             F.col("ts").alias("started"),

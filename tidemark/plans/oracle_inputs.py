@@ -151,7 +151,7 @@ FROM events
 """
 
 _TIMING = f"""
-SELECT substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS run_id, 'review-' || event_type AS skill_name,
+SELECT substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS run_id, {pick(I.SKILLS, "event_id")} AS skill_name,
        {pick(I.RUN_MODES, "user_id")} AS mode, {pick(I.MODELS, "(user_id % 7)")} AS model, ts AS started,
        value AS duration_seconds, event_id % 5000 AS input_tokens, event_id % 700 AS output_tokens, user_id
 FROM events
@@ -198,10 +198,40 @@ RELATIONS = {
 }
 
 
+def half_up(sql: str) -> str:
+    """Let every round(x, n) work on decimals: exact halves go up, as they do in Spark."""
+    out, at = [], 0
+    while True:
+        start = sql.find("round(", at)
+        if start < 0:
+            return "".join(out) + sql[at:]
+        depth, comma, end = 1, None, start + 6
+        quoted = False
+        while depth:
+            c = sql[end]
+            if c == "'":
+                quoted = not quoted
+            elif not quoted and c in "([":
+                depth += 1
+            elif not quoted and c in ")]":
+                depth -= 1
+            elif not quoted and c == "," and depth == 1:
+                comma = end
+            end += 1
+        out.append(sql[at:start])
+        inner = sql[start + 6 : end - 1]
+        if comma is None:
+            out.append(f"round({half_up(inner)})")
+        else:
+            value, digits = sql[start + 6 : comma], sql[comma + 1 : end - 1]
+            out.append(f"CAST(round(CAST({half_up(value)} AS DECIMAL(38, 12)), {digits.strip()}) AS DOUBLE)")
+        at = end
+
+
 def with_inputs(uses: tuple[str, ...], sql: str) -> str:
     """Prefix a check with the relations it reads."""
-    body = sql.strip()
-    head = ",\n".join(f"{name} AS ({RELATIONS[name]})" for name in uses)
+    body = half_up(sql.strip())
+    head = ",\n".join(f"{name} AS ({half_up(RELATIONS[name])})" for name in uses)
     if not head:
         return body
     if body.upper().startswith("WITH RECURSIVE"):
