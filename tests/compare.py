@@ -56,8 +56,9 @@ def compare(spark, con, q, sf_dir):
     if sorted(df.columns) != sorted(names):
         return len(got), f"columns differ: {sorted(df.columns)} / {sorted(names)}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        in_want, in_got = set(want), set(got)
+        extra = [r for r in got if r not in in_want][:3]
+        missing = [r for r in want if r not in in_got][:3]
         return len(got), f"rows differ: {len(got)} / {len(want)}\n   spark only {extra}\n   check only {missing}"
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     kinds = {n: str(t) for n, t in zip(names, con.execute("DESCRIBE " + q.oracle()).fetchall())}

@@ -16,9 +16,14 @@ def money(value: Column) -> Column:
     return value.cast("decimal(20,4)")
 
 
+def rounded(value: Column, digits: int = 0) -> Column:
+    """Half-up rounding that floating-point noise below ten decimals does not sway."""
+    return F.round(F.round(value, 10), digits)
+
+
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """Share in percent; null when the whole is zero."""
-    return F.round(F.try_divide(part * F.lit(100.0), whole.cast("double")), digits)
+    return rounded(F.try_divide(part * F.lit(100.0), whole.cast("double")), digits)
 
 
 def text_list(values: Column, separator: str = ",") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import null_safe_join, pick_bounded
+from tidemark.functions.exact import null_safe_join, pick_bounded, rounded
 from tidemark.functions.naming import column_role
 
 TABLE_KEY = ["database_name", "schema_name", "table_name"]
@@ -255,7 +255,7 @@ def quality_score(concepts: DataFrame, has_tables: Column) -> DataFrame:
         + part(F.col("has_metrics"), 0.10)
         + part(F.col("has_samples"), 0.10)
     )
-    return concepts.select("full_name", F.round(score, 2).alias("quality_score"))
+    return concepts.select("full_name", rounded(score, 2).alias("quality_score"))
 
 
 OBVIOUS_COLUMN = r"_(ID|KEY|DATE|TIME|AMOUNT|TOTAL|NAME|TYPE|STATUS|FLAG)$"
@@ -272,27 +272,27 @@ def enrichment_cost(raw: DataFrame) -> DataFrame:
         F.count_if(F.exists("columns", lambda c: c["type"] == "VARIANT")).alias("_v"),
     ).select(
         "tier_0_free",
-        F.round(F.col("_c") * 0.001, 4).alias("tier_1_est_credits"),
-        F.round(F.col("_u") * 0.01, 4).alias("tier_2_est_credits"),
-        F.round(F.col("_v") * 0.05, 4).alias("tier_3_est_credits"),
-        F.round(F.col("_c") * 0.001 + F.col("_u") * 0.01 + F.col("_v") * 0.05, 4).alias("total_est_credits"),
+        rounded(F.col("_c") * 0.001, 4).alias("tier_1_est_credits"),
+        rounded(F.col("_u") * 0.01, 4).alias("tier_2_est_credits"),
+        rounded(F.col("_v") * 0.05, 4).alias("tier_3_est_credits"),
+        rounded(F.col("_c") * 0.001 + F.col("_u") * 0.01 + F.col("_v") * 0.05, 4).alias("total_est_credits"),
     )
 
 
 def spend_by_day(log: DataFrame) -> DataFrame:
     """Calls and credits per day and tier."""
     return log.groupBy(F.to_date("ts").alias("day"), "tier").agg(
-        F.count(F.lit(1)).alias("calls"), F.round(F.sum(F.col("credits").cast("decimal(20,6)")).cast("double"), 6).alias("credits")
+        F.count(F.lit(1)).alias("calls"), rounded(F.sum(F.col("credits").cast("decimal(20,6)")).cast("double"), 6).alias("credits")
     )
 
 
 def spend_status(log: DataFrame, day: str, budget: float, warn_at: float = 0.8) -> DataFrame:
     """Credits of one day against the daily budget."""
     spent = F.coalesce(F.sum(F.col("credits").cast("decimal(20,6)")).cast("double"), F.lit(0.0))
-    return log.filter(F.to_date("ts") == F.lit(day).cast("date")).agg(F.round(spent, 6).alias("total_today")).select(
+    return log.filter(F.to_date("ts") == F.lit(day).cast("date")).agg(rounded(spent, 6).alias("total_today")).select(
         "total_today",
         F.lit(budget).alias("budget"),
-        F.round(F.try_divide(F.col("total_today") * 100, F.lit(budget)), 2).alias("pct_used"),
+        rounded(F.try_divide(F.col("total_today") * 100, F.lit(budget)), 2).alias("pct_used"),
         F.when(F.col("total_today") >= budget * warn_at, "WARNING").otherwise("OK").alias("status"),
     )
 

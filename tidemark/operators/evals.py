@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import money, null_safe_join, numbered, pick_bounded
+from tidemark.functions.exact import money, null_safe_join, numbered, pick_bounded, rounded
 
 CORRECTNESS = "answer_correctness"
 
@@ -52,7 +52,7 @@ def stratified_split(questions: DataFrame, share: float = 0.45, seed: int = 42)
     sizes = questions.groupBy("test_category").agg(F.count(F.lit(1)).alias("_n"))
     ranked = null_safe_join(numbered(keyed, ["test_category"], [], "_k", "_p"), sizes, ["test_category"])
     return ranked.select(
-        "test_id", "test_category", F.when(F.col("_p") <= F.round(F.col("_n") * share), "DEV").otherwise("TEST").alias("split")
+        "test_id", "test_category", F.when(F.col("_p") <= rounded(F.col("_n") * share), "DEV").otherwise("TEST").alias("split")
     )
 
 
@@ -61,7 +61,7 @@ def validate_split(questions: DataFrame) -> DataFrame:
     dev, test = F.count_if(F.col("split") == "DEV"), F.count_if(F.col("split") == "TEST")
     g = questions.rollup("test_category").agg(
         F.count(F.lit(1)).alias("total"), dev.alias("dev_count"), test.alias("test_count"),
-        F.round(F.try_divide(dev.cast("double"), F.count(F.lit(1))), 2).alias("dev_ratio"), F.grouping("test_category").alias("_all"),
+        rounded(F.try_divide(dev.cast("double"), F.count(F.lit(1))), 2).alias("dev_ratio"), F.grouping("test_category").alias("_all"),
     )
     ratio = F.try_divide(F.col("dev_count").cast("double"), F.col("total"))
     overall = F.col("_all") == 1
@@ -105,21 +105,21 @@ def merge_small(questions: DataFrame, min_size: int = 6, candidates: int = 5) ->
     merged, dev = F.col("total") + F.col("_st"), F.col("dev") + F.col("_sd")
     return best.select(
         "small_category", F.col("test_category").alias("target_category"), "edit_distance", "total", merged.alias("total_after"),
-        dev.alias("dev_after"), F.round(dev / merged, 4).alias("dev_ratio_after"), ((dev >= 3) & (merged - dev >= 3)).alias("covered_after"),
+        dev.alias("dev_after"), rounded(dev / merged, 4).alias("dev_ratio_after"), ((dev >= 3) & (merged - dev >= 3)).alias("covered_after"),
     )
 
 
 def run_means(scores: DataFrame) -> DataFrame:
     """Mean per run and metric."""
     return scores.groupBy("variant", "split", "metric", "run").agg(
-        F.round(exact_mean("score"), 6).alias("mean_score"), F.count("score").alias("scored"), F.count_if("is_error").alias("errors")
+        rounded(exact_mean("score"), 6).alias("mean_score"), F.count("score").alias("scored"), F.count_if("is_error").alias("errors")
     )
 
 
 def score_summary(scores: DataFrame) -> DataFrame:
     """Mean and sample deviation in percent per variant, split and metric."""
     return scores.groupBy("variant", "split", "metric").agg(
-        F.round(exact_mean("score") * 100, 1).alias("mean_pct"), F.round(F.stddev_samp("score") * 100, 1).alias("stddev_pct"), F.count("score").alias("n")
+        rounded(exact_mean("score") * 100, 1).alias("mean_pct"), rounded(F.stddev_samp("score") * 100, 1).alias("stddev_pct"), F.count("score").alias("n")
     )
 
 
@@ -142,7 +142,7 @@ def paired_t(current: DataFrame, previous: DataFrame) -> DataFrame:
         hit = F.col("runs") == n
         limit = F.when(hit, F.lit(v)) if limit is None else limit.when(hit, F.lit(v))
     return s.withColumn("critical", limit).select(
-        "metric", "runs", F.round("_m", 4).alias("mean_diff"), F.round(t, 3).alias("t_value"), "critical",
+        "metric", "runs", rounded("_m", 4).alias("mean_diff"), rounded(t, 3).alias("t_value"), "critical",
         F.when(F.col("critical").isNull(), "UNKNOWN").when(t >= F.col("critical"), "ACCEPT").otherwise("REJECT").alias("decision"),
     )
 
@@ -190,7 +190,7 @@ def transfer_opportunities(scores: DataFrame, passing: float = 0.8, failing: flo
     return (
         b.join(w, "input_id")
         .filter(F.col("passing_variant") != F.col("failing_variant"))
-        .withColumn("gap", F.round(F.col("passing_score") - F.col("failing_score"), 4))
+        .withColumn("gap", rounded(F.col("passing_score") - F.col("failing_score"), 4))
         .orderBy(F.desc("gap"), F.desc("passing_score"), "passing_id", "failing_id")
         .limit(top)
     )
@@ -202,7 +202,7 @@ def divergent(scores: DataFrame, variants: Sequence[str], min_range: float = 0.3
     return (
         s.groupBy("input_id")
         .agg(
-            F.round(F.max("score") - F.min("score"), 4).alias("score_range"),
+            rounded(F.max("score") - F.min("score"), 4).alias("score_range"),
             *[F.max(F.when(F.col("variant") == v, F.col("score"))).alias(v) for v in variants],
         )
         .filter(F.col("score_range") > min_range)
@@ -217,7 +217,7 @@ def persistent_failures(scores: DataFrame, below: float = 0.5, min_runs: int = 3
         scores.filter(F.col("metric") == CORRECTNESS)
         .groupBy("input_id")
         .agg(
-            F.count_distinct("run").alias("total_runs"), F.round(exact_mean("score"), 3).alias("avg_score"), F.max("score").alias("best_ever"),
+            F.count_distinct("run").alias("total_runs"), rounded(exact_mean("score"), 3).alias("avg_score"), F.max("score").alias("best_ever"),
             F.count_distinct("variant").alias("variants_tried"), F.count_distinct("iteration").alias("iterations_tried"),
         )
         .filter((F.col("avg_score") < below) & (F.col("total_runs") >= min_runs))
@@ -231,11 +231,11 @@ def revalidation_drift(scores: DataFrame, min_drift: float = 0.2, top: int = 20)
     is_re = F.col("source") == "revalidation"
     both = scores.filter(F.col("metric") == CORRECTNESS).groupBy("input_id", "variant").agg(
         F.count_if(is_re).alias("_r"), F.count_if(~is_re).alias("_b"),
-        F.round(F.try_divide(F.sum(F.when(~is_re, money(F.col("score")))).cast("double"), F.count_if(~is_re)), 4).alias("baseline_score"),
-        F.round(F.try_divide(F.sum(F.when(is_re, money(F.col("score")))).cast("double"), F.count_if(is_re)), 4).alias("reval_score"),
+        rounded(F.try_divide(F.sum(F.when(~is_re, money(F.col("score")))).cast("double"), F.count_if(~is_re)), 4).alias("baseline_score"),
+        rounded(F.try_divide(F.sum(F.when(is_re, money(F.col("score")))).cast("double"), F.count_if(is_re)), 4).alias("reval_score"),
     ).filter((F.col("_r") > 0) & (F.col("_b") > 0))
     return (
-        both.select("input_id", "variant", "baseline_score", "reval_score", F.round(F.col("reval_score") - F.col("baseline_score"), 4).alias("drift"))
+        both.select("input_id", "variant", "baseline_score", "reval_score", rounded(F.col("reval_score") - F.col("baseline_score"), 4).alias("drift"))
         .filter(F.abs("drift") > min_drift)
         .orderBy("drift", "input_id", "variant")
         .limit(top)
@@ -245,7 +245,7 @@ def revalidation_drift(scores: DataFrame, min_drift: float = 0.2, top: int = 20)
 def question_history(scores: DataFrame, input_id: int) -> DataFrame:
     """Mean and runs of one question by iteration and variant."""
     return scores.filter((F.col("metric") == CORRECTNESS) & (F.col("input_id") == input_id)).groupBy("iteration", "variant").agg(
-        F.round(exact_mean("score"), 3).alias("avg_score"), F.count(F.lit(1)).alias("runs")
+        rounded(exact_mean("score"), 3).alias("avg_score"), F.count(F.lit(1)).alias("runs")
     )
 
 
@@ -259,8 +259,8 @@ def pick_variant(scores: DataFrame) -> DataFrame:
         scores.filter(F.col("split") == "TEST")
         .groupBy("variant")
         .agg(
-            *[F.round(mean(m), 4).alias(m) for m in metrics],
-            F.round(F.stddev_samp(F.when(F.col("metric") == CORRECTNESS, F.col("score"))), 4).alias("spread"),
+            *[rounded(mean(m), 4).alias(m) for m in metrics],
+            rounded(F.stddev_samp(F.when(F.col("metric") == CORRECTNESS, F.col("score"))), 4).alias("spread"),
         )
         .orderBy(*[F.desc_nulls_last(m) for m in metrics], F.asc_nulls_last("spread"), "variant")
         .limit(1)
@@ -390,7 +390,7 @@ def revalidation_shift(base: DataFrame, again: DataFrame, drop: float = 0.10) ->
     b = pick_variant(base).select(F.col("variant").alias("base_winner"))
     a = pick_variant(again).select(F.col("variant").alias("new_winner"))
     side = lambda df, p: df.filter((F.col("split") == "TEST") & (F.col("metric") == CORRECTNESS)).groupBy("variant").agg(
-        F.round(exact_mean("score"), 4).alias(f"{p}_mean"), F.round(F.stddev_samp("score"), 4).alias(f"{p}_spread")
+        rounded(exact_mean("score"), 4).alias(f"{p}_mean"), rounded(F.stddev_samp("score"), 4).alias(f"{p}_spread")
     )
     both = side(base, "base").join(side(again, "new"), "variant")
     return both.filter(F.col("variant") == b.select("base_winner").scalar()).select(

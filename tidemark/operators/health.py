@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import broadcast_if_small, money, percent, pick_bounded
+from tidemark.functions.exact import broadcast_if_small, money, percent, pick_bounded, rounded
 
 # Operations that are never run on their own.
 BLOCKED = (
@@ -172,7 +172,7 @@ def audit_mix(audit: DataFrame) -> DataFrame:
     """Calls and mean confidence per model and guardrail result."""
     return audit.groupBy("model_used", "guardrail_result").agg(
         F.count(F.lit(1)).alias("calls"),
-        F.round(F.sum(money(F.col("confidence"))).cast("double") / F.count("confidence"), 4).alias("avg_confidence"),
+        rounded(F.sum(money(F.col("confidence"))).cast("double") / F.count("confidence"), 4).alias("avg_confidence"),
     )
 
 

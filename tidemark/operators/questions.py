@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import pick_bounded, text_list
+from tidemark.functions.exact import pick_bounded, rounded, text_list
 from tidemark.functions.naming import column_class, describe_column
 from tidemark.operators.usage import since
 
 
 def share(condition: Column) -> Column:
     """Share of rows for which a condition holds, over the rows where it is known."""
-    return F.round(F.try_divide(F.count_if(condition).cast("double"), F.count(condition)), 4)
+    return rounded(F.try_divide(F.count_if(condition).cast("double"), F.count(condition)), 4)
 
 
 def promotion_candidates(
@@ -98,7 +98,7 @@ def health_summary(concepts: DataFrame, states: DataFrame) -> DataFrame:
     """Metric and value rows on the state of a domain."""
     c = concepts.filter("is_active").agg(
         F.count(F.lit(1)).cast("double").alias("total_concepts"),
-        F.round(F.sum(F.col("quality_score").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1)), 2).alias("avg_quality_score"),
+        rounded(F.sum(F.col("quality_score").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1)), 2).alias("avg_quality_score"),
         F.count_if(F.col("quality_score") < 0.5).cast("double").alias("concepts_needing_re_enrich"),
     )
     s = states.agg(

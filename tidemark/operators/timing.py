@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import money, null_safe_join, ranked_values
+from tidemark.functions.exact import money, null_safe_join, ranked_values, rounded
 
 # Seconds below which a run is an error or too short, above which it is too long.
 THRESHOLDS = {
@@ -45,7 +45,7 @@ def finish_runs(starts: DataFrame, ends: DataFrame) -> DataFrame:
         .withColumn("_d", seconds_between("end_ts", "start_ts"))
         .select(
             "run_id",
-            F.when(d >= 0, F.round(d, 2)).alias("duration_seconds"),
+            F.when(d >= 0, rounded(d, 2)).alias("duration_seconds"),
             F.when(d >= 0, human_duration(d)).alias("duration_human"),
             F.when(d < 0, "error").when(d < 1, "warning").otherwise("completed").alias("status"),
         )
@@ -54,7 +54,7 @@ def finish_runs(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 def checkpoint_elapsed(starts: DataFrame, points: DataFrame) -> DataFrame:
     """Seconds from the start of a run to each of its named checkpoints."""
-    return starts.join(points, "run_id").select("run_id", "name", F.round(seconds_between("at", "start_ts"), 2).alias("elapsed_seconds"))
+    return starts.join(points, "run_id").select("run_id", "name", rounded(seconds_between("at", "start_ts"), 2).alias("elapsed_seconds"))
 
 
 def token_cost(runs: DataFrame, prices: Mapping[str, tuple[float, float]], default: tuple[float, float] = DEFAULT_PRICE) -> DataFrame:
@@ -69,7 +69,7 @@ def token_cost(runs: DataFrame, prices: Mapping[str, tuple[float, float]], defau
 
     # exact decimals: a cost that lies between two cents rounds the same everywhere
     micros = F.col("input_tokens") * price(0).cast("decimal(12,4)") + F.col("output_tokens") * price(1).cast("decimal(12,4)")
-    cost = F.round(micros.cast("decimal(28,4)") / F.lit(1_000_000).cast("decimal(7,0)"), 4)
+    cost = rounded(micros.cast("decimal(28,4)") / F.lit(1_000_000).cast("decimal(7,0)"), 4)
     return runs.select(
         "run_id", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), cost.cast("double").alias("estimated_cost_usd")
     )
@@ -95,7 +95,7 @@ def alerts(runs: DataFrame) -> DataFrame:
     )
     second = F.when(d > long, F.struct(F.lit("warning_long_duration").alias("type"), long.alias("threshold_seconds")))
     return runs.select(
-        "run_id", F.round(d, 2).alias("actual_seconds"), F.explode(F.array_compact(F.array(first, second))).alias("_a")
+        "run_id", rounded(d, 2).alias("actual_seconds"), F.explode(F.array_compact(F.array(first, second))).alias("_a")
     ).select("run_id", F.col("_a.type").alias("alert_type"), F.col("_a.threshold_seconds").cast("bigint").alias("threshold_seconds"), "actual_seconds")
 
 
@@ -108,13 +108,13 @@ def set_baseline(runs: DataFrame, min_samples: int = 5) -> DataFrame:
     c = "duration_seconds"
     stats = (
         runs.groupBy(*GROUP)
-        .agg(F.count(c).alias("sample_size"), F.round(_mean(c), 2).alias("avg_seconds"), F.round(F.stddev_pop(c), 2).alias("stddev_seconds"))
+        .agg(F.count(c).alias("sample_size"), rounded(_mean(c), 2).alias("avg_seconds"), rounded(F.stddev_pop(c), 2).alias("stddev_seconds"))
         .filter(F.col("sample_size") >= min_samples)
     )
     marks = ranked_values(runs, GROUP, c, {"median_seconds": 0.5, "p95_seconds": 0.95})
     return null_safe_join(stats, marks, GROUP).select(
-        *GROUP, "sample_size", "avg_seconds", F.round("median_seconds", 2).alias("median_seconds"),
-        F.round("p95_seconds", 2).alias("p95_seconds"), "stddev_seconds",
+        *GROUP, "sample_size", "avg_seconds", rounded("median_seconds", 2).alias("median_seconds"),
+        rounded("p95_seconds", 2).alias("p95_seconds"), "stddev_seconds",
     )
 
 
@@ -124,8 +124,8 @@ def compare_baseline(runs: DataFrame, baseline: DataFrame) -> DataFrame:
     delta = F.col("duration_seconds") - F.col("_avg")
     return null_safe_join(runs, b, GROUP).select(
         "run_id",
-        F.round(delta, 2).alias("delta_seconds"),
-        F.round(F.try_divide(delta, F.col("_avg")) * 100, 1).alias("delta_percent"),
+        rounded(delta, 2).alias("delta_seconds"),
+        rounded(F.try_divide(delta, F.col("_avg")) * 100, 1).alias("delta_percent"),
         F.when(F.abs(delta) <= F.col("_sd"), "within_normal").when(F.abs(delta) <= 2 * F.col("_sd"), "slightly_outside")
         .otherwise("significantly_outside").alias("status"),
     )
@@ -137,11 +137,11 @@ def analyze(runs: DataFrame) -> DataFrame:
     all_runs = runs.select(F.lit("all").alias("scope"), c)
     stats = all_runs.groupBy("scope").agg(
         F.count(c).alias("run_count"),
-        F.round(F.sum(money(F.col(c))).cast("double"), 2).alias("total_seconds"),
-        F.round(_mean(c), 2).alias("avg_seconds"),
-        F.round(F.min(c), 2).alias("min_seconds"),
-        F.round(F.max(c), 2).alias("max_seconds"),
-        F.round(F.stddev_pop(c), 2).alias("stddev_seconds"),
+        rounded(F.sum(money(F.col(c))).cast("double"), 2).alias("total_seconds"),
+        rounded(_mean(c), 2).alias("avg_seconds"),
+        rounded(F.min(c), 2).alias("min_seconds"),
+        rounded(F.max(c), 2).alias("max_seconds"),
+        rounded(F.stddev_pop(c), 2).alias("stddev_seconds"),
     )
     marks = ranked_values(all_runs, ["scope"], c, {"p5_seconds": 0.05, "p50_seconds": 0.5, "p95_seconds": 0.95})
     return stats.join(marks, "scope")

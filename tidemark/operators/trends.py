@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.exact import money, percent, text_list
+from tidemark.functions.exact import money, percent, rounded, text_list
 
 
 def fiscal_year(date: Column, start_month: int = 2) -> Column:
@@ -42,7 +42,7 @@ def total(value: str, condition: Column | None = None) -> Column:
     v = money(F.col(value))
     if condition is not None:
         v = F.when(condition, v).otherwise(F.lit(0).cast("decimal(20,4)"))
-    return F.round(F.sum(v).cast("double"), 2)
+    return rounded(F.sum(v).cast("double"), 2)
 
 
 def year_over_year(revenue: DataFrame, as_of: str, start_month: int = 2) -> DataFrame:
@@ -67,7 +67,7 @@ def monthly_growth(revenue: DataFrame, as_of: str, months: int = 18) -> DataFram
     )
     prior = F.lag("monthly_revenue").over(Window.orderBy("month"))
     return monthly.withColumn("prior_month", prior).withColumn(
-        "growth_pct", F.round(F.try_divide(F.col("monthly_revenue") - F.col("prior_month"), F.col("prior_month")) * 100, 2)
+        "growth_pct", rounded(F.try_divide(F.col("monthly_revenue") - F.col("prior_month"), F.col("prior_month")) * 100, 2)
     )
 
 
@@ -80,7 +80,7 @@ def category_momentum(revenue: DataFrame, as_of: str) -> DataFrame:
         .groupBy("category")
         .agg(total("revenue", F.col("day") >= near).alias("last_3m"), total("revenue", F.col("day") < near).alias("prior_3m"))
         .filter((F.col("last_3m") > 0) | (F.col("prior_3m") > 0))
-        .withColumn("growth_pct", F.round(F.try_divide(F.col("last_3m") - F.col("prior_3m"), F.col("prior_3m")) * 100, 2))
+        .withColumn("growth_pct", rounded(F.try_divide(F.col("last_3m") - F.col("prior_3m"), F.col("prior_3m")) * 100, 2))
     )
 
 
@@ -117,7 +117,7 @@ def feature_adoption(revenue: DataFrame, as_of: str, months: int = 6, top: int =
     )
     return (
         per_case.groupBy("category", "feature")
-        .agg(F.count("use_case").alias("use_case_count"), F.round(F.sum("_v").cast("double"), 2).alias("total_revenue"))
+        .agg(F.count("use_case").alias("use_case_count"), rounded(F.sum("_v").cast("double"), 2).alias("total_revenue"))
         .orderBy(F.desc("total_revenue"), "category", "feature")
         .limit(top)
     )

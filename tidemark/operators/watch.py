@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import rounded
+
 from tidemark.operators.catalog import TABLE_KEY, full_name
 from tidemark.operators.usage import flatten_access, since
 
@@ -99,7 +101,7 @@ def match_class(shadow_columns: DataFrame, class_columns: DataFrame, min_similar
     )
     return scored.groupBy("table_name").agg(
         F.min_by("class_name", F.struct(-F.col("_j"), F.col("class_name"))).alias("class_name"),
-        F.round(F.max("_j"), 4).alias("similarity"),
+        rounded(F.max("_j"), 4).alias("similarity"),
         F.lit("ontology_review").alias("triage_action"),
     )
 
