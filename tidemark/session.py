@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,11 @@ def durable(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get(CHECKPOINT_CONF, None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """New folder next to the checkpoints, reachable from every executor."""
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        root = tempfile.mkdtemp(prefix="tidemark-scratch-")
+    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
