@@ -26,6 +26,11 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return rounded(F.try_divide(part * F.lit(100.0), whole.cast("double")), digits)
 
 
+def one_row(df: DataFrame) -> Column:
+    """Row of a one-row aggregate as a struct, computed once for the whole query."""
+    return df.select(F.struct(*df.columns).alias("r")).scalar()
+
+
 def text_list(values: Column, separator: str = ",") -> Column:
     """Distinct values of a bounded set as one sorted text."""
     return F.array_join(F.array_sort(F.collect_set(values)), separator)

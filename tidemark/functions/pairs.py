@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 
 def frequent_pairs(members: DataFrame, group: str, item: str, min_groups: int, block: int = 64) -> DataFrame:
     """Unordered item pairs found together in at least `min_groups` groups.
@@ -17,7 +19,8 @@ def frequent_pairs(members: DataFrame, group: str, item: str, min_groups: int, b
     blocks of `block` items, so that one wide group spreads over many tasks.
     """
     support = members.groupBy(item).agg(F.count(F.lit(1)).alias("_s")).filter(F.col("_s") >= min_groups)
-    kept = members.join(support.select(item), item, "left_semi")
+    # read six times below, so it is written out once
+    kept = durable(members.join(support.select(item), item, "left_semi").select(group, item))
 
     widest = (
         kept.groupBy(group)
@@ -52,26 +55,30 @@ def frequent_pairs(members: DataFrame, group: str, item: str, min_groups: int, b
 
 
 def _expand(members: DataFrame, group: str, item: str, block: int) -> DataFrame:
-    """Ordered pairs per group, one pair of blocks at a time."""
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_w"))
+    """Ordered pairs per group: small groups at once, wide ones by pairs of blocks."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_w")).filter(F.col("_w") > block)
+    small = (
+        members.join(sizes.select(group), group, "left_anti")
+        .groupBy(group)
+        .agg(F.array_sort(F.collect_list(F.struct(item, F.lit(0).alias("_i")))).alias("_m"))  # at most `block` items
+        .select(F.lit(True).alias("_same"), "_m")
+    )
     blocks = F.ceil(F.col("_w") / block).cast("int")
-    keyed = members.join(sizes.withColumn("_b", blocks), group).withColumn(
-        "_i", F.pmod(F.xxhash64(item), F.col("_b")).cast("int")
+    keyed = members.join(sizes, group).withColumn("_b", blocks).withColumn("_i", F.pmod(F.xxhash64(item), F.col("_b")).cast("int"))
+    # every item meets every block of its group once, in the cell of the two block numbers
+    spread = keyed.select(group, item, "_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j")).select(
+        group, item, "_i", F.least("_i", "_j").alias("_p"), F.greatest("_i", "_j").alias("_q")
+    )
+    cells = (
+        spread.groupBy(group, "_p", "_q")
+        .agg(F.array_sort(F.collect_list(F.struct(item, "_i"))).alias("_m"))
+        .select((F.col("_p") == F.col("_q")).alias("_same"), "_m")
     )
-    # every item meets every block of its group once, on the side of the smaller block number
-    spread = keyed.select(
-        group,
-        item,
-        "_i",
-        F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j"),
-    ).select(group, item, F.least("_i", "_j").alias("_p"), F.greatest("_i", "_j").alias("_q"), "_i")
-    cells = spread.groupBy(group, "_p", "_q").agg(F.array_sort(F.collect_list(F.struct(item, "_i"))).alias("_m"))
     size = F.size("_m")
 
     def partners(x, i):
-        return F.transform(
-            F.filter(F.slice(F.col("_m"), i + 2, size), lambda y: (F.col("_p") == F.col("_q")) | (y["_i"] != x["_i"])),
-            lambda y: F.struct(x[item].alias("item_a"), y[item].alias("item_b")),
-        )
+        later = F.slice(F.col("_m"), i + 2, size)
+        met = F.filter(later, lambda y: F.col("_same") | (y["_i"] != x["_i"]))
+        return F.transform(met, lambda y: F.struct(x[item].alias("item_a"), y[item].alias("item_b")))
 
-    return cells.select(F.explode(F.flatten(F.transform("_m", partners))).alias("_x")).select("_x.*")
+    return small.unionByName(cells).select(F.explode(F.flatten(F.transform("_m", partners))).alias("_x")).select("_x.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_COMMENT = r"(?m)--.*?$"
@@ -47,7 +47,12 @@ def strip_comments(sql: str | Column) -> Column:
 
 def is_write(sql: str | Column) -> Column:
     """Whether a statement changes data or objects, comments aside."""
-    text = F.upper(F.trim(strip_comments(sql)))
+    return is_write_text(strip_comments(sql))
+
+
+def is_write_text(clean: str | Column) -> Column:
+    """The same for a text whose comments are gone already."""
+    text = F.upper(F.trim(_col(clean)))
     return text.rlike(WRITE_START) | text.rlike(CREATE_TABLE)
 
 
@@ -62,9 +67,9 @@ def last_part(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 
 
-def extract_tables(sql: str | Column, skip_short_prefix: str | None = "PA", short_length: int = 5) -> Column:
-    """Sorted distinct tables named after FROM or JOIN."""
-    found = F.regexp_extract_all(strip_comments(sql), F.lit(TABLE_AFTER_FROM), 1)
+def extract_tables(clean: str | Column, skip_short_prefix: str | None = "PA", short_length: int = 5) -> Column:
+    """Sorted distinct tables named after FROM or JOIN in a text without comments."""
+    found = F.regexp_extract_all(_col(clean), F.lit(TABLE_AFTER_FROM), 1)
 
     def wanted(name: Column) -> Column:
         last = last_part(name)
@@ -76,22 +81,30 @@ def extract_tables(sql: str | Column, skip_short_prefix: str | None = "PA", shor
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, normalize_table), wanted)))
 
 
-def column_references(sql: str | Column, skipped: Sequence[str] = NOT_A_COLUMN, prefix: str | None = SKIPPED_COLUMN_PREFIX) -> Column:
-    """Distinct (alias, column) pairs written as alias.column, sorted."""
-    text = strip_comments(sql)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(ALIAS_COLUMN), 1).alias("alias"),
-        F.regexp_extract_all(text, F.lit(ALIAS_COLUMN), 2).alias("name"),
-    )
-    upper = F.transform(
-        pairs, lambda p: F.struct(F.upper(p["alias"]).alias("alias"), F.upper(p["name"]).alias("name"))
-    )
+def column_references(
+    clean: str | Column, skipped: Sequence[str] = NOT_A_COLUMN, prefix: str | None = SKIPPED_COLUMN_PREFIX
+) -> Column:
+    """Distinct (alias, column) pairs written as alias.column in a text without comments, sorted."""
+    found = F.regexp_extract_all(_col(clean), F.lit(f"({ALIAS_COLUMN})"), 1)
+
+    def pair(match: Column) -> Column:
+        parts = F.split(F.upper(F.regexp_replace(match, r"""["'\s]""", "")), r"\.")
+        return F.struct(F.get(parts, F.lit(0)).alias("alias"), F.get(parts, F.lit(1)).alias("name"))
 
     def wanted(p: Column) -> Column:
         keep = ~p["name"].isin(*skipped)
         return keep & ~p["name"].startswith(prefix) if prefix else keep
 
-    return F.array_sort(F.array_distinct(F.filter(upper, wanted)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, pair), wanted)))
+
+
+def each(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of a costly array.
+
+    A plain explode lets the optimizer test the array for elements first, which
+    computes it twice; the outer form with a test afterwards does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def normalized_text(sql: str | Column) -> Column:

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import percent, pick_bounded, text_list
+from tidemark.functions.exact import one_row, percent, pick_bounded, text_list
 from tidemark.functions.sqltext import (
     AGGREGATE_CALL,
     column_references,
+    each,
     extract_tables,
-    is_write,
+    is_write_text,
     normalized_text,
     strip_comments,
     table_class,
@@ -62,30 +63,34 @@ SEARCH_FILTER = r"(?is)FILTER.*?([A-Z_]+)\s*="
 
 def write_filter(log: DataFrame) -> DataFrame:
     """Each query with its text free of comments and a flag for writes."""
-    return log.select(
-        "query_id", strip_comments("query_text").alias("clean_text"), is_write("query_text").alias("is_write")
+    return log.select("query_id", strip_comments("query_text").alias("clean_text")).withColumn(
+        "is_write", is_write_text("clean_text")
     )
 
 
 def process_queries(log: DataFrame) -> DataFrame:
     """Tables and alias.column pairs per query; writes are kept but marked as skipped."""
-    skipped = is_write("query_text")
+    skipped = F.col("skipped")
     pair = "array<struct<alias:string,name:string>>"
-    return log.select(
-        F.col("query_id").alias("index"),
+    # comments are removed once per text, ahead of the rules that read it
+    clean = log.select(
+        F.col("query_id").alias("index"), "domain", "question", strip_comments("query_text").alias("_clean")
+    ).withColumn("skipped", is_write_text("_clean"))
+    return clean.select(
+        "index",
         "domain",
         "question",
-        skipped.alias("skipped"),
+        "skipped",
         F.when(skipped, WRITE_REASON).alias("reason"),
-        F.when(skipped, F.array().cast("array<string>")).otherwise(extract_tables("query_text")).alias("tables"),
-        F.when(skipped, F.array().cast(pair)).otherwise(column_references("query_text")).alias("columns"),
+        F.when(skipped, F.array().cast("array<string>")).otherwise(extract_tables("_clean")).alias("tables"),
+        F.when(skipped, F.array().cast(pair)).otherwise(column_references("_clean")).alias("columns"),
     )
 
 
 def query_columns(processed: DataFrame) -> DataFrame:
     """Sorted distinct columns per query and alias."""
     return (
-        processed.select("index", F.explode("columns").alias("c"))
+        each(processed, F.col("columns"), "c", "index")
         .select("index", "c.alias", "c.name")
         .groupBy("index", "alias")
         .agg(text_list(F.col("name")).alias("columns"))
@@ -98,9 +103,8 @@ def table_usage(processed: DataFrame) -> DataFrame:
     The list of queries per table stays in rows: a popular table may be used by
     a third of the log, too much for one array.
     """
-    return processed.filter(~F.col("skipped")).select(
-        F.explode("tables").alias("table_name"), F.col("index").alias("query_index")
-    ).withColumn("table_class", table_class(F.col("table_name")))
+    used = each(processed, F.col("tables"), "table_name", "index")  # a write has none
+    return used.select("table_name", F.col("index").alias("query_index")).withColumn("table_class", table_class(F.col("table_name")))
 
 
 def consolidate_tables(processed: DataFrame) -> DataFrame:
@@ -129,7 +133,9 @@ def extraction_summary(processed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_queries"),
         F.count_if(~F.col("skipped")).alias("processed"),
         F.count_if("skipped").alias("skipped"),
-    ).select("*", *[tables.select(c).scalar().alias(c) for c in names])
+    ).withColumn("_t", one_row(tables)).select(
+        "total_queries", "processed", "skipped", *[F.col("_t")[c].alias(c) for c in names]
+    )
 
 
 def domain_usage(processed: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def domain_usage(processed: DataFrame) -> DataFrame:
     live = processed.filter(~F.col("skipped")).withColumn("domain", named_domain(F.col("domain")))
     counts = live.groupBy("domain").agg(F.count(F.lit(1)).alias("query_count"))
     tables = (
-        live.select("domain", F.explode("tables").alias("t")).distinct().groupBy("domain").agg(
+        each(processed.withColumn("domain", named_domain(F.col("domain"))), F.col("tables"), "t", "domain").distinct().groupBy("domain").agg(
             F.count(F.lit(1)).alias("table_count")
         )
     )
@@ -151,8 +157,7 @@ def named_domain(domain: Column) -> Column:
 def shared_tables(processed: DataFrame) -> DataFrame:
     """Tables used in more than one domain, with the sorted domains."""
     return (
-        processed.filter(~F.col("skipped"))
-        .select(named_domain(F.col("domain")).alias("domain"), F.explode("tables").alias("table_name"))
+        each(processed.withColumn("domain", named_domain(F.col("domain"))), F.col("tables"), "table_name", "domain")
         .distinct()
         .groupBy("table_name")
         .agg(F.count(F.lit(1)).alias("domain_count"), text_list(F.col("domain")).alias("domains"))
@@ -168,9 +173,8 @@ def mine_metrics(log: DataFrame, max_length: int = 100, samples: int = 3) -> Dat
     """
     text = F.col("query_text")
     calls = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(AGGREGATE_CALL), g) for g in (1, 2, 3)])
-    c = log.select(
-        named_domain(F.col("domain")).alias("domain"), F.substring("question", 1, 100).alias("question"), F.explode(calls).alias("c")
-    ).select(
+    short = log.withColumns({"domain": named_domain(F.col("domain")), "question": F.substring("question", 1, 100)})
+    c = each(short, calls, "c", "domain", "question").select(
         "domain",
         "question",
         F.col("c").getField("0").alias("func"),
@@ -246,7 +250,7 @@ def candidate_tables(
     base = touching(log, known_pattern, as_of, days)
     population = base.select(F.count_distinct("query_id")).scalar()
     found = F.transform(F.slice(F.regexp_extract_all("query_text", F.lit(CANDIDATE_TABLE), 1), 1, per_query), F.upper)
-    refs = base.select("query_id", "user_name", F.explode(F.array_distinct(found)).alias("candidate_table")).filter(
+    refs = each(base, F.array_distinct(found), "candidate_table", "query_id", "user_name").filter(
         (F.length("candidate_table") > 3)
         & ~F.col("candidate_table").isin(*NOT_A_CANDIDATE_TABLE)
         & ~F.col("candidate_table").rlike(known_pattern)
@@ -274,9 +278,7 @@ def candidate_columns(
     """Columns used in queries over the known tables but unknown there, with how they are used."""
     base = touching(log, known_pattern, as_of, days)
     found = F.transform(F.slice(F.regexp_extract_all("query_text", F.lit(CANDIDATE_COLUMN), 1), 1, per_query), F.upper)
-    refs = base.select(
-        "query_id", "user_name", F.upper("query_text").alias("_t"), F.explode(F.array_distinct(found)).alias("candidate_col")
-    ).filter(
+    refs = each(base.withColumn("_t", F.upper("query_text")), F.array_distinct(found), "candidate_col", "query_id", "user_name", "_t").filter(
         (F.length("candidate_col") > 3)
         & ~F.col("candidate_col").isin(*NOT_A_CANDIDATE_COLUMN)
         & ~F.col("candidate_col").isin(*known_columns)

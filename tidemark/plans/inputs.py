@@ -74,6 +74,10 @@ QUERY_TYPES = [
 ]
 
 
+# Tables on which the work per row is heavy: texts, and orders as the query log.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def pick(values: list[str], index: Column) -> Column:
     """Element of a fixed list by a non-negative index, wrapping around."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(index, F.lit(len(values))).cast("int"))
@@ -108,11 +112,17 @@ class Inputs:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._spread(df) if name in TEXT_TABLES else df
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Spread a table kept in fewer files than there are cores before heavy work per row."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
     @cached_property
     def query_log(self) -> DataFrame:
-        o = self.table("orders")
+        o = self._spread(self.table("orders"))
         c = F.col("o_custkey")
         k1 = c % N_SHARED_OBJECTS
         k2 = (c * 7 + 3) % N_SHARED_OBJECTS
@@ -146,22 +156,20 @@ class Inputs:
     @cached_property
     def access_log(self) -> DataFrame:
         """One row per query: the objects it read, as an array of (name, domain)."""
-        li = self.table("lineitem").select("l_orderkey", "l_partkey")
+        li = self.table("lineitem").select("l_orderkey", (F.col("l_partkey") % N_SHARED_OBJECTS).alias("k"))
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        k = F.col("l_partkey") % N_SHARED_OBJECTS
-        seen = li.select(
-            "l_orderkey",
-            F.struct(
-                full_name(k).alias("object_name"),
-                F.when(k % 25 == 9, "Stage").when(k % 10 == 3, "View").otherwise("Table").alias("object_domain"),
-            ).alias("object"),
-        )
-        lists = seen.groupBy("l_orderkey").agg(F.collect_list("object").alias("objects"))
+        # only numbers are shuffled; the names are built after it
+        lists = li.groupBy("l_orderkey").agg(F.collect_list("k").alias("ks"))
+
+        def named(k: Column) -> Column:
+            domain = F.when(k % 25 == 9, "Stage").when(k % 10 == 3, "View").otherwise("Table")
+            return F.struct(full_name(k).alias("object_name"), domain.alias("object_domain"))
+
         return lists.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_orderkey").alias("query_id"),
             F.concat(F.lit("U"), (F.col("o_custkey") % 50).cast("string")).alias("user_name"),
             F.col("o_orderdate").alias("ts"),
-            "objects",
+            F.transform("ks", named).alias("objects"),
         )
 
     @cached_property

@@ -180,7 +180,7 @@ def _(t):
     n1 AS (SELECT table_name, count(*) AS n FROM tc GROUP BY 1), n2 AS (SELECT class_name, count(*) AS n FROM cc GROUP BY 1),
     o AS (SELECT tc.table_name, cc.class_name, count(*) AS common FROM tc JOIN cc USING (col) GROUP BY 1, 2),
     j AS (SELECT table_name, class_name, common / (n1.n + n2.n - common) AS j FROM o JOIN n1 USING (table_name) JOIN n2 USING (class_name))
-    SELECT table_name, class_name, round(j, 4) AS similarity, 'ontology_review' AS triage_action FROM j WHERE j >= 0.5
+    SELECT table_name, class_name, round(j, 4) AS similarity, 'ontology_review' AS triage_action FROM j WHERE j >= 0.7
     QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY j DESC, class_name) = 1
     """,
     ("catalog_tables", "catalog_columns", "catalog_columns_new"),
@@ -190,7 +190,7 @@ def _(t):
     classes = classes_of(t).select("class_name", "source_table").join(
         t.catalog_columns, F.col("source_table") == F.col("table_name")
     ).select(F.col("class_name").alias("name"), "column_name")
-    return V.match_class(tables, classes, 0.5)
+    return V.match_class(tables, classes)
 
 
 @query(

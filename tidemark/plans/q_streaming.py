@@ -32,9 +32,13 @@ class StreamInputs(Inputs):
     """Input relations over the driver tables read as streams."""
 
     def table(self, name: str):
+        # a stream is read as its files arrive, so it is not spread
         schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
         return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
 
+    def _spread(self, df):
+        return df
+
 
 def live(t):
     return StreamInputs(t.spark, t.sf_dir)
