@@ -51,12 +51,12 @@ def _doc_questions(t):
     k = F.col("doc_id")
     return t.table("documents").select(
         k.alias("test_id"), F.concat_ws("_", "source", F.when(k % 7 < 2, "rare").otherwise("main")).alias("test_category"),
-        F.when(k * k % 11 < 4, "DEV").otherwise("TEST").alias("split"),
+        F.when(k * k % 11 < F.when(k % 20 < 5, 2).when(k % 20 < 8, 9).otherwise(4), "DEV").otherwise("TEST").alias("split"),
     )
 
 
 _DOCQ = """dq AS (SELECT doc_id AS test_id, source || '_' || CASE WHEN doc_id % 7 < 2 THEN 'rare' ELSE 'main' END AS test_category,
-  CASE WHEN doc_id * doc_id % 11 < 4 THEN 'DEV' ELSE 'TEST' END AS split FROM documents)"""
+  CASE WHEN doc_id * doc_id % 11 < CASE WHEN doc_id % 20 < 5 THEN 2 WHEN doc_id % 20 < 8 THEN 9 ELSE 4 END THEN 'DEV' ELSE 'TEST' END AS split FROM documents)"""
 
 
 @query(
