@@ -222,3 +222,38 @@ def test_no_query_runs_python_code(spark):
         plan = q.run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "EvalPython" not in plan and "MapInPandas" not in plan, name
         assert "CartesianProduct" not in plan, name
+
+
+def shingles(text, size=3):
+    words = " ".join(text.lower().split()).split(" ")
+    return {" ".join(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(25)]
+    # one text with many near copies, and each of the others with one or none
+    docs = list(texts)
+    for i in range(60):
+        words = texts[0].split()
+        words[rng.randrange(40)] = f"x{i % 7}"
+        docs.append(" ".join(words))
+    for t in texts[1:12]:
+        docs.append(t.replace("w1 ", "w2 ", 1))
+    docs += [texts[3], "  " + texts[4].upper(), "short", "short text"]
+    sets = [shingles(d) for d in docs]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    newest = {}
+    for i, d in enumerate(docs):
+        newest[" ".join(d.lower().split())] = i
+    distinct = set(newest.values())
+
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    found = {r.doc_id: r.keeper for r in V.near_duplicates(df, reps=2).collect()}
+    assert found and set(found) <= distinct
+    assert all(k > d and alike(d, k) for d, k in found.items())
+    kept = sorted(distinct - set(found))
+    assert not [(a, b) for a in kept for b in kept if a < b and alike(a, b)]

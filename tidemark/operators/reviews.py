@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.exact import money, numbered, percent, ranked_values, rounded
+from tidemark.functions.exact import money, numbered, percent, pick_bounded, ranked_values, rounded
+from tidemark.session import durable
 
 # Weights of the dimensions of the three kinds of review.
 RULE_WEIGHTS = {
@@ -393,6 +394,67 @@ def duplicate_content(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return hashed.join(groups, "content_hash").withColumn("is_kept", F.col(key) == F.col("keeper"))
 
 
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """Hashed word shingles of each distinct text; of equal texts the newest document stands for all."""
+    shape = F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+    distinct = docs.select(F.col(key).alias("doc"), shape.alias("_t")).groupBy(F.sha2("_t", 256).alias("_h")).agg(
+        F.max("doc").alias("doc"), F.max_by("_t", "doc").alias("_t")
+    )
+    # the words are a column of their own: inside the lambda below a split would run once per shingle
+    words = distinct.select("doc", F.split("_t", " ").alias("_w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - size + 1, F.lit(1)))
+    spans = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " ")))
+    return words.select("doc", F.array_distinct(spans).alias("shingles")).withColumn("n", F.size("shingles"))
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_similarity: float = 0.8, shingle: int = 3, reps: int = 32
+) -> DataFrame:
+    """Documents that are nearly equal to a newer one, with that one and the exact similarity.
+
+    Afterwards no two documents that stay are alike, and each one given here has a
+    newer one like it. Sets at least t alike share one of the n - ceil(t n) + 1
+    rarest shingles of either, so only these meet. Documents of one shingle are not
+    compared with each other but with its newest `reps`; these leave the shingle,
+    and the rest goes on to the next round until nothing is left to compare. A
+    thousand near copies so cost a thousand comparisons, not half a million.
+    """
+    sets = durable(shingle_sets(docs, key, text, shingle))
+    each_one = sets.select("doc", "n", F.explode("shingles").alias("s"))
+    shared = each_one.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = each_one.join(shared, "s").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("_c"))
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(min_similarity) - 1e-9) + 1
+    room = F.greatest(prefix - (F.col("n") - F.size("_c")), F.lit(0)).cast("int")  # shingles of one document come first
+    postings = durable(common.select("doc", F.explode(F.slice("_c", F.lit(1), room)).alias("_x")).select("doc", F.col("_x.s").alias("s")))
+    found, tested = None, None
+    while True:
+        heads = pick_bounded(postings, ["s"], [F.desc("doc")], reps).select("s", F.col("doc").alias("rep"))
+        pairs = postings.join(heads, "s").filter(F.col("doc") < F.col("rep")).select("doc", "rep").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["doc", "rep"], "left_anti")
+        pairs = durable(pairs)
+        if pairs.isEmpty():
+            break
+        a = sets.select("doc", F.col("shingles").alias("_a"), F.col("n").alias("_na"))
+        b = sets.select(F.col("doc").alias("rep"), F.col("shingles").alias("_b"), F.col("n").alias("_nb"))
+        near = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * min_similarity - 1e-9
+        same = F.size(F.array_intersect("_a", "_b"))
+        alike = (
+            pairs.join(a, "doc").join(b, "rep").filter(near)
+            .select("doc", "rep", (same / (F.col("_na") + F.col("_nb") - same)).alias("_j"))
+            .filter(F.col("_j") >= min_similarity)
+            .groupBy("doc")
+            .agg(F.max(F.struct("rep", "_j")).alias("_m"))
+        )
+        hits = durable(alike.select("doc", F.col("_m.rep").alias("keeper"), rounded(F.col("_m._j"), 4).alias("similarity")))
+        found = hits if found is None else found.unionByName(hits)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        spent = heads.withColumnRenamed("rep", "doc")
+        postings = durable(postings.join(hits.select("doc"), "doc", "left_anti").join(spent, ["s", "doc"], "left_anti"))
+    empty = sets.select("doc", F.col("doc").alias("keeper"), F.lit(0.0).alias("similarity")).limit(0)
+    return (empty if found is None else found).withColumnRenamed("doc", key)
+
+
 def orphan_references(references: DataFrame, known: DataFrame) -> DataFrame:
     """References whose target no longer exists."""
     return references.join(known.select("reference").distinct(), "reference", "left_anti").select("doc_id", "reference")

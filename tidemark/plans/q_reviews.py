@@ -424,3 +424,8 @@ def _(t):
 @query("oversized_indexes", f"SELECT doc_id, {_LINES} AS line_count FROM documents WHERE {_LINES} > 30")
 def _(t):
     return R.oversized_indexes(t.table("documents"), limit=30)
+
+
+@query("near_duplicates")
+def _(t):
+    return R.near_duplicates(t.table("documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.sqltext import normalized_text
+from tidemark.functions.sqltext import normalize_table, normalized_text
 from tidemark.operators import sqlmining as X
 from tidemark.plans.inputs import AS_OF
 from tidemark.plans.q_usage import ALL_DAYS, since
@@ -471,3 +471,17 @@ def _(t):
 )
 def _(t):
     return t.query_log.groupBy(normalized_text("query_text").alias("pattern")).agg(F.count(F.lit(1)).alias("query_count"))
+
+
+@query(
+    "normalize_table",
+    """
+    WITH n AS (SELECT lower(regexp_extract(query_text, '(?i)FROM\\s+([\\w.]+)', 1)) AS raw_name FROM query_log), u AS (SELECT raw_name, upper(trim(raw_name)) AS u FROM n WHERE raw_name <> '')
+    SELECT raw_name, CASE WHEN len(string_split(u, '..')) = 2 THEN split_part(u, '..', 1) || '.PUBLIC.' || split_part(u, '..', 2) ELSE u END AS table_name, count(*) AS query_count FROM u GROUP BY 1, 2
+    """,
+    ("query_log",),
+)
+def _(t):
+    raw = F.lower(F.regexp_extract("query_text", r"(?i)FROM\s+([\w.]+)", 1))
+    counted = t.query_log.groupBy(raw.alias("raw_name")).agg(F.count(F.lit(1)).alias("query_count")).filter("raw_name <> ''")
+    return counted.select("raw_name", normalize_table(F.col("raw_name")).alias("table_name"), "query_count")
