@@ -119,7 +119,9 @@ def load_order(rules: DataFrame, depends: DataFrame, max_depth: int = 64) -> Dat
             break
         done = ready if done is None else done.unionByName(ready)
         settled = ready.select("node")
-        open_nodes = durable(open_nodes.join(settled, "node", "left_anti"))
+        open_nodes = open_nodes.join(settled, "node", "left_anti")
+        if level % 4 == 3:
+            open_nodes = durable(open_nodes)
         open_edges = durable(open_edges.join(settled.withColumnRenamed("node", "parent"), "parent", "left_anti"))
     rest = open_nodes.withColumn("level", F.lit(None).cast("bigint"))
     return rest if done is None else done.unionByName(rest)
