@@ -59,3 +59,28 @@ def near_duplicates(texts: dict[int, str | None], budget: int = 3):
                 root[a] = root[b] = low
                 changed = True
     return {d: (f"{prints[d]:016x}", root[d]) for d in texts}
+
+
+def token_output(texts: dict[int, str | None], path: str):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tokenizer, at, out = Tokenizer.from_file(path), 0, {}
+    for d in sorted(texts):
+        ids = [*tokenizer.encode(texts[d] or "", add_special_tokens=False).ids, 2]
+        out[d] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    return out
+
+
+def piece_digests(texts: dict[int, str | None], path: str):
+    import numpy as np
+    import sentencepiece
+
+    sp, out = sentencepiece.SentencePieceProcessor(model_file=path), {}
+    for d, t in texts.items():
+        ids = [sp.bos_id(), *sp.encode(t or ""), sp.eos_id()]
+        out[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+    return out

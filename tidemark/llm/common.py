@@ -79,9 +79,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and where each text's words begin (one more at the end)."""
-    full = ~SPACE[data]
+def words_of(data: np.ndarray, ends: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (run of bytes not `outside`), and where each text's words begin (one more at the end)."""
+    full = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[ends] = True
     first, last = full.copy(), full.copy()
