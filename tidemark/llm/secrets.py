@@ -121,19 +121,37 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "spans").mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(documents: DataFrame, path: str, mask: str = "[SECRET]") -> DataFrame:
-    """doc_id and text, where each union of overlapping spans is replaced by `mask`."""
+def redact_rows(documents: DataFrame, path: str, mask: str = "[SECRET]") -> DataFrame:
+    """All rows and columns as they are, with each union of overlapping spans in `text` replaced by `mask`.
+
+    n_chars, where there is such a column, becomes the new length of a text that changed. Rows are worked through one by
+    one, without keys: repeated rows and null ids stay, a null text stays null.
+    """
+    fields = [f for f in documents.schema if f.name == "n_chars"]
 
     def rows(batches):
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                out, at = [], 0
-                for s in spans:
-                    if s["start"] >= at:
-                        out += [text[at : s["start"]], mask]
-                    at = max(at, s["end"])
-                texts.append("".join([*out, text[at:]]) if spans else text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    return find_secrets(documents, path).mapInArrow(rows, "doc_id long, text string")
+            for block in blocks([batch]):
+                data, ends = flat(block.column("text"))
+                hexes, keys = _long_runs(data, ends, NOT_HEX, MIN_HEX), _long_runs(data, ends, NOT_KEY, MIN_RANDOM)
+                texts, sizes = [], []
+                for i, (text, h, k) in enumerate(zip(block.column("text").cast(pa.binary()), hexes, keys, strict=True)):
+                    text = text.as_py()
+                    spans = spans_of(text, h, k, path, MAX_RATIO) if text else []
+                    if spans:
+                        out, at = [], 0
+                        for start, _, end in spans:
+                            if start >= at:
+                                out += [text[at:start], mask.encode()]
+                            at = max(at, end)
+                        text = b"".join([*out, text[at:]])
+                    texts.append(text)
+                    if fields:
+                        sizes.append(len(text.decode()) if spans else block.column("n_chars")[i].as_py())
+                columns = dict(zip(block.schema.names, block.columns, strict=True))
+                columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
+                if fields:
+                    columns["n_chars"] = pa.array(sizes, block.column("n_chars").type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return documents.mapInArrow(rows, documents.schema)

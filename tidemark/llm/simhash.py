@@ -1,7 +1,8 @@
 """Near duplicates by SimHash, linked by a self-join of the binary trie of fingerprints.
 
-Two fingerprints that differ in at most three of 64 bits agree in one of four quarters. For each quarter the trie is
-built with that quarter on top, and the join starts at the node pairs (n, n) below it: node pairs are followed together,
+Two fingerprints that differ in at most three of 64 bits agree in one of four blocks. For each block the trie is built
+with that block on top, and the join starts at the node pairs (n, n) below it (with a larger budget: for each choice of
+blocks that must agree). Node pairs are followed together,
 bits in which the branches differ are added up, and a pair is left as soon as they exceed the budget. Nodes too large for
 one task are split into pairs of their grandchildren before, again only those within the budget.
 
@@ -11,7 +12,7 @@ n copies gives n - 1 rows.
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, blocks, keyed, partitions, plain_id, stored
+from tidemark.llm.common import NO_ID, blocks, keyed, mixed, partitions, plain_id, stored
 
-QUARTERS, SPLIT_BITS = 4, 8
-NODE_LIMIT = 200_000  # fingerprints below one quarter that a task joins at once; larger nodes are split first
+SPLIT_BITS = 8
+NODE_LIMIT = 1_000_000  # fingerprints below one node that a task joins at once; larger nodes are split first
 FRONTIER = 1 << 18
 
 
@@ -122,69 +123,97 @@ def trie_join(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, bit: int, budget:
         stack.append((down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= budget)], bit - 1))
 
 
-def _rotate(x: np.ndarray, bits: int) -> np.ndarray:
-    return x if not bits else (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+class Layouts:
+    """Orders of the bits with some blocks on top: values that differ in `budget` bits agree in `agree` of the blocks."""
 
+    def __init__(self, budget: int, agree: int):
+        n = budget + agree
+        edges = [64 * i // n for i in range(n + 1)]
+        self.all, self.tops = [], []
+        for top in combinations(range(n), agree):
+            blocks_, down = [], 64
+            for k in [*top, *(k for k in range(n) if k not in top)]:
+                size = edges[k + 1] - edges[k]
+                down -= size
+                blocks_.append((edges[k], down, (1 << size) - 1))  # from, to, mask
+            self.all.append(blocks_)
+            self.tops.append(sum(edges[k + 1] - edges[k] for k in top))
 
-_FOREST = "a long, b long"
+    def turn(self, x: np.ndarray, which: int, back: bool = False) -> np.ndarray:
+        out = np.zeros_like(x)
+        for from_, to, mask in self.all[which]:
+            from_, to = (to, from_) if back else (from_, to)
+            out |= ((x >> np.uint64(from_)) & np.uint64(mask)) << np.uint64(to)
+        return out
 
 
-def links(prints: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """Forest of the links among distinct fingerprints (column fp): rows a, b whose paths join what differs in <= budget bits."""
-    if not 0 <= budget < QUARTERS:
-        raise ValueError(f"budget must be below {QUARTERS}")
-    spark, width = prints.sparkSession, 64 // QUARTERS
-    parts = partitions(spark)
-    # quarter q on top: a rotation of the bits, written with shifts so that it stays in the plan
-    shifts = [q * width for q in range(QUARTERS)]
-    turned = [F.col("fp")] + [F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) for s in shifts[1:]]
-    turned = [F.struct(F.lit(q).alias("quarter"), t.alias("fp")) for q, t in enumerate(turned)]
-    spread = prints.select(F.explode(F.array(*turned)).alias("t")).select("t.quarter", "t.fp", F.shiftrightunsigned("t.fp", 64 - width).alias("node"))
-    large = stored(spread.groupBy("quarter", "node").count().where(F.col("count") > node_limit).select("quarter", "node"))
+def _ends(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return begin, np.append(begin[1:], len(values))
+
+
+def links(prints: DataFrame, budget: int = 3, agree: int = 1, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """Forest of the links among distinct fingerprints (column fp): rows a, b whose paths join what differs in <= budget bits.
+
+    More blocks that agree mean smaller nodes and more orders of the bits: budget + agree over agree of them.
+    """
+    parts, layouts = partitions(prints.sparkSession), Layouts(budget, agree)
+
+    def spread(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            for k, top in enumerate(layouts.tops):
+                turned = layouts.turn(fp, k)
+                node = turned >> np.uint64(64 - top)
+                bucket = (mixed(node + np.uint64(k << 48)) % np.uint64(parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(fp), k, np.int32)), pa.array(node.view(np.int64)), pa.array(turned.view(np.int64))], ["bucket", "layout", "node", "fp"])
 
     def below(table: pa.Table) -> pa.Table:
-        out = [[], []]
-        quarter, fp = table["quarter"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-        for q in np.unique(quarter):
-            own = np.sort(fp[quarter == q])
-            top = own >> np.uint64(64 - width)
-            begin = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
-            end = np.append(begin[1:], len(own))
+        out = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+        layout, fp = table["layout"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
+        for k in np.unique(layout).tolist():
+            own = np.sort(fp[layout == k])
+            begin, end = _ends(own >> np.uint64(64 - layouts.tops[k]))
             many = end - begin > 1
             begin, end = begin[many], end[many]
             forest = Forest(len(own))
-            trie_join(own, own, np.stack([begin, end, begin, end, np.zeros_like(begin)], 1), 63 - width, budget, forest.add)
+            trie_join(own, own, np.stack([begin, end, begin, end, np.zeros_like(begin)], 1), 63 - layouts.tops[k], budget, forest.add)
             tied = np.flatnonzero(forest.up != np.arange(len(own)))
-            for to, x in zip(out, (own[forest.up[tied]], own[tied]), strict=True):
-                to.append(_rotate(x, (64 - int(q) * width) % 64))
+            for to, x in zip(out, (forest.up[tied], tied), strict=True):
+                to.append(layouts.turn(own[x], k, back=True))
         return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in out], ["a", "b"])
 
-    bucket = F.pmod(F.xxhash64("quarter", "node"), F.lit(parts)).alias("bucket")
-    if large.isEmpty():
-        return spread.select(bucket, "quarter", "fp").groupBy("bucket").applyInArrow(below, _FOREST)
+    rows = prints.select("fp").mapInArrow(spread, "bucket int, layout int, node long, fp long")
+    if prints.count() <= node_limit:  # then no node can be larger
+        return rows.groupBy("bucket").applyInArrow(below, "a long, b long")
+    large = stored(rows.groupBy("layout", "node").count().where(F.col("count") > node_limit).select("layout", "node"))
+    small = rows.join(large, ["layout", "node"], "left_anti").groupBy("bucket").applyInArrow(below, "a long, b long")
+
+    def split(batches):
+        masks = np.array([m for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget], np.uint64)
+        for batch in batches:
+            layout, fp = batch.column("layout").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            shift = np.array(layouts.tops)[layout].astype(np.uint64)
+            child = (fp << shift) >> np.uint64(64 - SPLIT_BITS)
+            for m in masks:
+                other = child ^ m
+                columns = (np.minimum(child, other).astype(np.int64), np.full(len(fp), m, np.int64), (child > other).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("layout"), batch.column("node"), *map(pa.array, columns), batch.column("fp")], ["layout", "node", "low", "mask", "side", "fp"])
 
     def across(table: pa.Table) -> pa.Table:
-        q, spent = table["quarter"][0].as_py(), table["spent"][0].as_py()
+        k, mask = table["layout"][0].as_py(), table["mask"][0].as_py()
         side, fp = table["side"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-        a, b = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-        if not spent:
-            b = a
-        elif not len(a) or not len(b):
-            return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
-        forest = Forest(len(a) + (len(b) if spent else 0))
-        shift = len(a) if spent else 0
-        trie_join(a, b, np.array([[0, len(a), 0, len(b), spent]]), 63 - width - SPLIT_BITS, budget, lambda i, j: forest.add(i, j + shift))
-        values = np.concatenate([a, b]) if spent else a
+        a = np.sort(fp[side == 0])
+        b = np.sort(fp[side == 1]) if mask else a
+        values, shift = (np.concatenate([a, b]), len(a)) if mask else (a, 0)
+        forest = Forest(len(values))
+        if len(a) and len(b):
+            trie_join(a, b, np.array([[0, len(a), 0, len(b), mask.bit_count()]]), 63 - layouts.tops[k] - SPLIT_BITS, budget, lambda i, j: forest.add(i, j + shift))
         tied = np.flatnonzero(forest.up != np.arange(len(values)))
-        return pa.table([pa.array(_rotate(values[x], (64 - q * width) % 64).view(np.int64)) for x in (forest.up[tied], tied)], ["a", "b"])
+        return pa.table([pa.array(layouts.turn(values[x], k, back=True).view(np.int64)) for x in (forest.up[tied], tied)], ["a", "b"])
 
-    small = spread.join(F.broadcast(large) if large.count() < 10_000 else large, ["quarter", "node"], "left_anti")
-    masks = F.array(*[F.lit(m) for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget])
-    child = F.shiftrightunsigned("fp", 64 - width - SPLIT_BITS).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
-    split = spread.join(large, ["quarter", "node"]).withColumn("child", child).withColumn("mask", F.explode(masks)).withColumn("other", F.col("child").bitwiseXOR(F.col("mask")))
-    split = split.select("quarter", "node", F.least("child", "other").alias("low"), "mask", F.bit_count("mask").alias("spent"), (F.col("child") > F.col("other")).cast("int").alias("side"), "fp")
-    pairs = split.groupBy("quarter", "node", "low", "mask").applyInArrow(across, _FOREST)
-    return small.select(bucket, "quarter", "fp").groupBy("bucket").applyInArrow(below, _FOREST).unionByName(pairs)
+    pairs = rows.join(large, ["layout", "node"]).select("layout", "node", "fp").mapInArrow(split, "layout int, node long, low long, mask long, side long, fp long")
+    return small.unionByName(pairs.groupBy("layout", "node", "low", "mask").applyInArrow(across, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 3, node_limit: int = NODE_LIMIT) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 3, agree: int = 1, node_limit: int = NODE_LIMIT) -> DataFrame:
     """Component of near copies of each document: doc_id, fp (long), component_id (smallest doc_id reachable).
 
     Words are what lies between ASCII white space, A-Z lower-cased. A text with fewer words than a shingle is one
@@ -211,7 +240,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 3, nod
     """
     prints = stored(fingerprints(keyed(documents), shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    forest = links(distinct.select("fp"), budget, node_limit)
+    forest = links(distinct.select("fp"), budget, agree, node_limit)
     first = distinct.select(F.col("fp").alias("a"), F.col("first").alias("first_a"))
     second = distinct.select(F.col("fp").alias("b"), F.col("first").alias("first_b"))
     edges = forest.distinct().join(first, "a").join(second, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
