@@ -57,7 +57,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality(_documents(spark, sf_dir)).select(columns)
 
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -65,7 +65,7 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT do
 late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
 gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)"""
 
 
