@@ -3,7 +3,7 @@
 Each window of `width` symbols has a minimizer, the smallest hash among its k-symbol strings. Equal windows have equal
 minimizers, so a window whose minimizer occurs once repeats nowhere. Runs of windows with one minimizer are one entry;
 only entries are shuffled (one per 6 words or 14 bytes), packed per task and bucket. A bucket answers with flags in the
-order in which the entries came, so that no positions travel.
+order in which the entries came, so that no positions travel. Answers are packed per task and group of documents, too.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import _BYTES, binary, blocks, expand, flat, inner, joined, sliding_min, window_hashes, word_hashes, words_of
+from tidemark.llm.common import _BYTES, binary, blocks, expand, flat, inner, joined, mixed, sliding_min, window_hashes, word_hashes, words_of
 
 
 _UPPER, _LOWER = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -68,7 +68,7 @@ def packed(ids: np.ndarray, owner: np.ndarray, bucket: np.ndarray, columns: list
 
 
 def possible_repeats(docs: DataFrame, words: bool, width: int, k: int, parts: int, across: bool) -> DataFrame:
-    """Per text with a repeated minimizer: doc_id and marks, flags by bucket. across: occurrences in one text only don't count."""
+    """Per text with a repeated minimizer: doc_id, and buckets and flags of its entries. across: occurrences in one text only don't count."""
 
     def entries(batches):
         for batch in batches:
@@ -100,30 +100,56 @@ def possible_repeats(docs: DataFrame, words: bool, width: int, k: int, parts: in
         flags[order] = repeated[group]
         begin = np.cumsum(counts) - counts
         some = np.flatnonzero(np.maximum.reduceat(flags, begin))
-        ends = np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32)
-        kept = np.ascontiguousarray(flags[expand(begin[some], counts[some])])
-        bits = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
-        bucket = pa.array(np.full(len(some), table["bucket"][0].as_py()), pa.int32())
-        return pa.table([pa.array(ids[some]), bucket, bits], ["doc_id", "bucket", "flags"])
+        entries_ = expand(begin[some], counts[some])
+        bucket = np.full(len(entries_), table["bucket"][0].as_py(), np.int32)
+        return addressed(np.repeat(ids[some], counts[some]), [bucket, flags[entries_]], ["buckets", "flags"], parts)
 
     sent = docs.mapInArrow(entries, "bucket int, ids binary, counts binary, hashes binary")
-    back = sent.groupBy("bucket").applyInArrow(answers, "doc_id long, bucket int, flags binary")
-    return back.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "flags")).alias("marks"))
+    back = sent.groupBy("bucket").applyInArrow(answers, address_schema(["buckets", "flags"]))
+    return delivered(back, {"buckets": np.int32, "flags": np.uint8})
 
 
-def flagged(runs: Runs, marks: pa.Array, parts: int) -> np.ndarray:
-    """The answers for the runs of a block, in their order."""
+def address_schema(names: list[str]) -> str:
+    return "target int, ids binary, counts binary, " + ", ".join(f"{n} binary" for n in names)
+
+
+def addressed(docs: np.ndarray, columns: list[np.ndarray], names: list[str], parts: int) -> pa.Table:
+    """Values for documents, in rows by group of documents (target); the order of a document's values is kept."""
+    ids, owner = np.unique(docs, return_inverse=True)
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    target = (mixed(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    rows = packed(ids, owner, target[owner] if len(ids) else owner, [c[order] for c in columns], parts)
+    return pa.table(rows, ["target", "ids", "counts", *names])
+
+
+def delivered(rows: DataFrame, kinds: dict) -> DataFrame:
+    """One row per document: doc_id and each column's values as bytes."""
+    names = list(kinds)
+
+    def merge(table: pa.Table) -> pa.Table:
+        docs = np.repeat(joined(table["ids"], np.int64), joined(table["counts"], np.uint32))
+        order = np.argsort(docs, kind="stable")
+        ids, counts = np.unique(docs, return_counts=True)
+        out = [pa.array(ids)]
+        for n in names:
+            values = joined(table[n], kinds[n])[order]
+            ends = (np.append(0, np.cumsum(counts)) * values.itemsize).astype(np.int64)
+            lists = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+            out.append(lists.cast(pa.binary()))
+        return pa.table(out, ["doc_id", *names])
+
+    return rows.groupBy("target").applyInArrow(merge, "doc_id long, " + ", ".join(f"{n} binary" for n in names))
+
+
+def flagged(runs: Runs, batch: pa.RecordBatch, parts: int) -> np.ndarray:
+    """The answers (columns buckets and flags) for the runs of a block, in their order."""
     key = runs.docs * parts + (runs.anchors % np.uint64(parts)).astype(np.int64)
     order = np.argsort(key, kind="stable")
-    keys, begin, counts = np.unique(key[order], return_index=True, return_counts=True)
-    lists = marks.flatten()
-    owner = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy())
-    told = owner * parts + lists.field(0).to_numpy()
-    sort = np.argsort(told)
-    found = np.searchsorted(keys, told[sort])
-    flags = joined(pa.chunked_array([lists.field(1).take(pa.array(sort))]), np.uint8)
+    buckets = batch.column("buckets")
+    owner = np.repeat(np.arange(len(buckets)), pc.binary_length(buckets).to_numpy() // 4)
+    told = owner * parts + joined(pa.chunked_array([buckets]), np.int32)
+    flags = joined(pa.chunked_array([batch.column("flags")]), np.uint8)
     out = np.zeros(len(key), bool)
-    out[order[expand(begin[found], counts[found])]] = flags
+    out[order[np.isin(key[order], told)]] = flags[np.argsort(told, kind="stable")]
     return out
-
-

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import flagged, packed, possible_repeats, runs_of
-from tidemark.llm.common import U, blocks, flat, inner, joined, keyed, partitions, plain_id, stored, window_hashes
+from tidemark.llm.anchors import address_schema, addressed, delivered, flagged, packed, possible_repeats, runs_of
+from tidemark.llm.common import U, blocks, joined, keyed, partitions, plain_id, stored, window_hashes
 
 MINIMIZER_SHARE = 2  # a minimizer has half as many words as a window
 
@@ -38,7 +38,7 @@ def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
             base = 0
             for block in blocks([batch]):
                 runs = runs_of(block.column("text"), True, width, k)
-                keep = np.repeat(flagged(runs, block.column("marks"), parts), runs.lengths)
+                keep = np.repeat(flagged(runs, block, parts), runs.lengths)
                 places = runs.places[keep]
                 counts = np.maximum(np.diff(runs.firsts) - width + 1, 0)
                 owner = np.repeat(np.arange(len(counts)), counts)[keep]
@@ -60,16 +60,14 @@ def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
         new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         source = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.flatnonzero(~new)
-        later = later[np.argsort(docs_of[later], kind="stable")]
-        texts, at = np.unique(docs_of[later], return_index=True)
-        columns = [np.split(x, at[1:]) for x in (place[later], docs_of[source[later]], place[source[later]])] if len(texts) else [[], [], []]
-        return pa.table([pa.array(texts, pa.int64()), *map(binary_of, columns)], ["doc_id", "places", "source_docs", "source_places"])
+        names = ["places", "source_docs", "source_places"]
+        return addressed(docs_of[later], [place[later], docs_of[source[later]], place[source[later]]], names, parts)
 
     def paths(batches):
         for batch in batches:
             rows = [[], [], [], [], []]
             for i in range(batch.num_rows):
-                place, doc, at = (np.frombuffer(b"".join(batch.column(c)[i].as_py()), t) for c, t in (("places", np.uint32), ("source_docs", np.int64), ("source_places", np.uint32)))
+                place, doc, at = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("places", np.uint32), ("source_docs", np.int64), ("source_places", np.uint32)))
                 order = np.argsort(place)
                 place, doc, at = place[order].astype(np.int64), doc[order], at[order].astype(np.int64)
                 new = np.ones(len(place), bool)
@@ -81,16 +79,12 @@ def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in rows], ["doc_id", "start", "n_words", "source_doc", "source_start"])
 
-    sent = docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(edges, "bucket int, ids binary, counts binary, places binary, low binary, high binary")
-    back = sent.groupBy("bucket").applyInArrow(sources, "doc_id long, places binary, source_docs binary, source_places binary")
-    lists = back.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("places", "source_docs", "source_places")))
+    sent = docs.join(marks, "doc_id").select("doc_id", "text", "buckets", "flags").mapInArrow(edges, "bucket int, ids binary, counts binary, places binary, low binary, high binary")
+    back = sent.groupBy("bucket").applyInArrow(sources, address_schema(["places", "source_docs", "source_places"]))
+    lists = delivered(back, {"places": np.uint32, "source_docs": np.int64, "source_places": np.uint32})
     return lists.mapInArrow(paths, "doc_id long, start long, n_words long, source_doc long, source_start long")
 
 
-def binary_of(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array([a.tobytes() for a in arrays], pa.binary())
-
-
 def _digest(words: list[bytes], start: int, n: int) -> bytes:
     return hashlib.blake2b(b" ".join(words[start : start + n]), digest_size=16).digest()
 

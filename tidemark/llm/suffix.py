@@ -15,9 +15,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import flagged, possible_repeats, runs_of
+from tidemark.llm.anchors import address_schema, addressed, delivered, flagged, possible_repeats, runs_of
 from tidemark.llm.common import U, blocks, expand, joined, keyed, partitions, plain_id
 
 PIECE = 1 << 19  # symbols of one transform
@@ -101,7 +100,7 @@ def window_owners(texts: list[bytes], owners: np.ndarray, width: int) -> np.ndar
 
 
 def shared_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, starts and counts (binary lists) of runs of windows of keyed documents that a smaller doc_id has too."""
+    """doc_id, starts and counts_ (32-bit integers as bytes) of runs of windows of keyed documents that a smaller doc_id has too."""
     parts, k = partitions(docs.sparkSession), max(1, width // 2 - 1)
     marks = possible_repeats(docs, False, width, k, parts, across=True)
 
@@ -110,7 +109,7 @@ def shared_windows(docs: DataFrame, width: int = 50) -> DataFrame:
             kept, base = [], 0
             for block in blocks([batch]):
                 runs = runs_of(block.column("text"), False, width, k)
-                keep = np.flatnonzero(flagged(runs, block.column("marks"), parts))
+                keep = np.flatnonzero(flagged(runs, block, parts))
                 begin = runs.places[(np.cumsum(runs.lengths) - runs.lengths)[keep]] if len(keep) else np.zeros(0, np.int64)
                 size = runs.lengths[keep]
                 data = runs.symbols[expand(begin, size + width - 1)]
@@ -178,14 +177,11 @@ def shared_windows(docs: DataFrame, width: int = 50) -> DataFrame:
             for to, x in zip(out, (ids[some][lot], starts[some][lot] + (first - (np.cumsum(n) - n)[lot]), last - first + 1), strict=True):
                 to.append(x)
         doc, start, length = (np.concatenate(x) for x in out)
-        order = np.argsort(doc, kind="stable")
-        docs_, cut = np.unique(doc[order], return_index=True)
-        columns = [pa.array([x.tobytes() for x in np.split(v[order].astype(np.uint32), cut[1:])] if len(docs_) else [], pa.binary()) for v in (start, length)]
-        return pa.table([pa.array(docs_, pa.int64()), *columns], ["doc_id", "starts", "counts"])
+        return addressed(doc, [start.astype(np.uint32), length.astype(np.uint32)], ["starts", "counts_"], parts)
 
-    sent = docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(segments, "bucket int, ids binary, anchors binary, starts binary, sizes binary, data binary")
-    back = sent.groupBy("bucket").applyInArrow(classes, "doc_id long, starts binary, counts binary")
-    return back.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
+    sent = docs.join(marks, "doc_id").select("doc_id", "text", "buckets", "flags").mapInArrow(segments, "bucket int, ids binary, anchors binary, starts binary, sizes binary, data binary")
+    back = sent.groupBy("bucket").applyInArrow(classes, address_schema(["starts", "counts_"]))
+    return delivered(back, {"starts": np.uint32, "counts_": np.uint32})
 
 
 def remove_shared(documents: DataFrame, width: int = 50) -> DataFrame:
@@ -195,17 +191,17 @@ def remove_shared(documents: DataFrame, width: int = 50) -> DataFrame:
     are empty; repeated rows fold into one (`keyed`); shorter texts keep everything; an empty table gives an empty result.
     """
     docs = keyed(documents)
-    whole = docs.join(shared_windows(docs, width), "doc_id", "left").select("doc_id", "text", "starts", "counts")
+    whole = docs.join(shared_windows(docs, width), "doc_id", "left").select("doc_id", "text", "starts", "counts_")
 
     def without(batches):
         for batch in batches:
             rows = []
-            for text, starts, counts in zip(batch.column("text").cast(pa.binary()), batch.column("starts"), batch.column("counts"), strict=True):
+            for text, starts, counts in zip(batch.column("text").cast(pa.binary()), batch.column("starts"), batch.column("counts_"), strict=True):
                 text = text.as_py()
                 if not starts.is_valid:
                     rows.append((len(text), 0, 0, text))
                     continue
-                start, count = (np.frombuffer(b"".join(x.as_py()), np.uint32).astype(np.int64) for x in (starts, counts))
+                start, count = (np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in (starts, counts))
                 change = np.zeros(len(text) + 1, np.int64)
                 np.add.at(change, start, 1)
                 np.subtract.at(change, start + count + width - 1, 1)
