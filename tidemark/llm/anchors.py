@@ -81,11 +81,12 @@ def possible_repeats(docs: DataFrame, words: bool, width: int, k: int, parts: in
                 base += block.num_rows
             if base:
                 h = np.concatenate(anchors)
-                columns = packed(np.concatenate(ids), np.concatenate(owners), (h % np.uint64(parts)).astype(np.int64), [h], parts)
+                columns = packed(np.concatenate(ids), np.concatenate(owners), (h % np.uint64(parts)).astype(np.int64), [(h >> np.uint64(32)).astype(np.uint32)], parts)
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "ids", "counts", "hashes"])
 
     def answers(table: pa.Table) -> pa.Table:
-        ids, counts, h = joined(table["ids"], np.int64), joined(table["counts"], np.uint32).astype(np.int64), joined(table["hashes"], np.uint64)
+        ids, counts, h = joined(table["ids"], np.int64), joined(table["counts"], np.uint32).astype(np.int64), joined(table["hashes"], np.uint32)
+        # 32 bits within a bucket: two minimizers taken for one only add windows that are then found to be single
         order = np.argsort(h, kind="stable")
         new = np.ones(len(h), bool)
         new[1:] = h[order][1:] != h[order][:-1]

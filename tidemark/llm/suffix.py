@@ -128,11 +128,11 @@ def shared_windows(docs: DataFrame, width: int = 50) -> DataFrame:
             for b in range(parts):
                 own = slice(cuts[b], cuts[b + 1])
                 if cuts[b] < cuts[b + 1]:
-                    rows.append((b, ids[doc[own]], anchor[own], start[own].astype(np.uint32), size[own].astype(np.uint16), data[expand(from_[own], size[own] + width - 1)]))
+                    rows.append((b, ids[doc[own]], (anchor[own] >> U(32)).astype(np.uint32), start[own].astype(np.uint32), size[own].astype(np.uint16), data[expand(from_[own], size[own] + width - 1)]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(1, 6))], ["bucket", "ids", "anchors", "starts", "sizes", "data"])
 
     def classes(table: pa.Table) -> pa.Table:
-        ids, anchors = joined(table["ids"], np.int64), joined(table["anchors"], np.uint64)
+        ids, anchors = joined(table["ids"], np.int64), joined(table["anchors"], np.uint32)
         starts, sizes = joined(table["starts"], np.uint32), joined(table["sizes"], np.uint16).astype(np.int64)
         data = b"".join(table["data"].to_pylist())
         ends = np.cumsum(sizes + width - 1).tolist()
@@ -142,7 +142,7 @@ def shared_windows(docs: DataFrame, width: int = 50) -> DataFrame:
         texts = list(number)
         owner = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(owner, which, ids)
-        anchor = np.zeros(len(texts), np.uint64)
+        anchor = np.zeros(len(texts), np.uint32)
         anchor[which] = anchors
         count = np.fromiter(map(len, texts), np.int64, len(texts)) - width + 1
         begin = np.cumsum(count) - count
