@@ -81,6 +81,15 @@ class Forest:
                 self.up = above
 
 
+    def edges(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each value tied to the smallest of its tree, so that trees found in several orders of the bits give the same rows."""
+        least = values.copy()
+        np.minimum.at(least, self.up, values)
+        root = least[self.up]
+        tied = root != values
+        return root[tied], values[tied]
+
+
 def trie_join(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, bit: int, budget: int, found) -> None:
     """Follows node pairs of two tries (sorted, distinct values) downwards. pairs: rows of a_from, a_to, b_from, b_to, spent.
 
@@ -178,9 +187,8 @@ def links(prints: DataFrame, budget: int = 3, agree: int = 1, node_limit: int =
             begin, end = begin[many], end[many]
             forest = Forest(len(own))
             trie_join(own, own, np.stack([begin, end, begin, end, np.zeros_like(begin)], 1), 63 - layouts.tops[k], budget, forest.add)
-            tied = np.flatnonzero(forest.up != np.arange(len(own)))
-            for to, x in zip(out, (forest.up[tied], tied), strict=True):
-                to.append(layouts.turn(own[x], k, back=True))
+            for to, x in zip(out, forest.edges(layouts.turn(own, k, back=True)), strict=True):
+                to.append(x)
         return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in out], ["a", "b"])
 
     rows = prints.select("fp").mapInArrow(spread, "bucket int, layout int, node long, fp long")
@@ -209,8 +217,7 @@ def links(prints: DataFrame, budget: int = 3, agree: int = 1, node_limit: int =
         forest = Forest(len(values))
         if len(a) and len(b):
             trie_join(a, b, np.array([[0, len(a), 0, len(b), mask.bit_count()]]), 63 - layouts.tops[k] - SPLIT_BITS, budget, lambda i, j: forest.add(i, j + shift))
-        tied = np.flatnonzero(forest.up != np.arange(len(values)))
-        return pa.table([pa.array(layouts.turn(values[x], k, back=True).view(np.int64)) for x in (forest.up[tied], tied)], ["a", "b"])
+        return pa.table([pa.array(x.view(np.int64)) for x in forest.edges(layouts.turn(values, k, back=True))], ["a", "b"])
 
     pairs = rows.join(large, ["layout", "node"]).select("layout", "node", "fp").mapInArrow(split, "layout int, node long, low long, mask long, side long, fp long")
     return small.unionByName(pairs.groupBy("layout", "node", "low", "mask").applyInArrow(across, "a long, b long"))
