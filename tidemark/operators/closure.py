@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import durable
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 64, cut_every: int = 4) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, cut_every: int = 4) -> DataFrame:
     """Nodes reachable from each start along (src, dst) edges, with depth and first path.
 
     Breadth first: a node already reached from a start is dropped, so cycles end
     and the depth is the smallest one; among equal paths the first in text order
-    is kept. Every round is one join; lineage is cut every few rounds.
+    is kept. Every round is one join; lineage is cut every few rounds. Rounds go on
+    until nothing new is reached; `max_depth` stops them earlier.
     """
     e = edges.select("src", "dst").distinct()
     frontier = starts.select(F.col("node").alias("start")).distinct().select(
         "start", F.col("start").alias("node"), F.col("start").cast("string").alias("path"), F.lit(0).cast("bigint").alias("depth")
     )
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = (
             frontier.join(e, F.col("node") == F.col("src"))
             .groupBy("start", "dst")
@@ -101,7 +104,7 @@ def resolve_dependencies(rules: DataFrame, depends: DataFrame) -> DataFrame:
     )
 
 
-def load_order(rules: DataFrame, depends: DataFrame, max_depth: int = 64) -> DataFrame:
+def load_order(rules: DataFrame, depends: DataFrame) -> DataFrame:
     """Level of each rule: one above its deepest dependency; rules on a cycle get none.
 
     Each round settles the rules whose dependencies are all settled.
@@ -109,7 +112,7 @@ def load_order(rules: DataFrame, depends: DataFrame, max_depth: int = 64) -> Dat
     open_edges = depends.join(rules.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
     open_nodes = rules.select("node").distinct()
     done = None
-    for level in range(max_depth + 1):
+    for level in count():
         ready = durable(
             open_nodes.join(open_edges.select(F.col("child").alias("node")), "node", "left_anti").withColumn(
                 "level", F.lit(level).cast("bigint")
@@ -121,7 +124,7 @@ def load_order(rules: DataFrame, depends: DataFrame, max_depth: int = 64) -> Dat
         settled = ready.select("node")
         open_nodes = open_nodes.join(settled, "node", "left_anti")
         if level % 4 == 3:
-            open_nodes = durable(open_nodes)
+            open_nodes, done = durable(open_nodes), durable(done)
         open_edges = durable(open_edges.join(settled.withColumnRenamed("node", "parent"), "parent", "left_anti"))
     rest = open_nodes.withColumn("level", F.lit(None).cast("bigint"))
     return rest if done is None else done.unionByName(rest)

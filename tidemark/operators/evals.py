@@ -148,8 +148,10 @@ def paired_t(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def accepted(tests: DataFrame) -> DataFrame:
-    """Whether no metric was rejected."""
-    return tests.agg(F.bool_and(F.col("decision") == "ACCEPT").alias("is_accepted"), F.count_if(F.col("decision") == "REJECT").alias("rejected_metrics"))
+    """Whether no metric was rejected; null where none was but a number of runs without a critical value leaves it open."""
+    verdict = F.when(F.col("decision") == "REJECT", False).when(F.col("decision") == "ACCEPT", True)
+    open_ = F.bool_or(F.col("decision") == "UNKNOWN") & F.bool_and(F.coalesce(verdict, F.lit(True)))
+    return tests.agg(F.when(~open_, F.bool_and(verdict)).alias("is_accepted"), F.count_if(F.col("decision") == "REJECT").alias("rejected_metrics"))
 
 
 def verdict_matrix(scores: DataFrame) -> DataFrame:
@@ -386,20 +388,23 @@ def truth_answerable(checks: DataFrame) -> DataFrame:
 
 
 def revalidation_shift(base: DataFrame, again: DataFrame, drop: float = 0.10) -> DataFrame:
-    """Whether the winner changed, its correctness fell, or its spread doubled since the first sweep."""
+    """Whether the winner changed, its correctness fell, or its spread doubled since the first sweep.
+
+    An old winner that the check lacks has no new figures; the winner has then changed.
+    """
     b = pick_variant(base).select(F.col("variant").alias("base_winner"))
     a = pick_variant(again).select(F.col("variant").alias("new_winner"))
     side = lambda df, p: df.filter((F.col("split") == "TEST") & (F.col("metric") == CORRECTNESS)).groupBy("variant").agg(
         rounded(exact_mean("score"), 4).alias(f"{p}_mean"), rounded(F.stddev_samp("score"), 4).alias(f"{p}_spread")
     )
-    both = side(base, "base").join(side(again, "new"), "variant")
+    both = side(base, "base").join(side(again, "new"), "variant", "left")
     return both.filter(F.col("variant") == b.select("base_winner").scalar()).select(
         F.col("variant").alias("base_winner"),
         a.select("new_winner").scalar().alias("new_winner"),
         "base_mean", "new_mean", "base_spread", "new_spread",
     ).withColumns(
         {
-            "winner_changed": F.col("base_winner") != F.col("new_winner"),
+            "winner_changed": ~F.col("base_winner").eqNullSafe(F.col("new_winner")),
             "metric_fell": F.col("new_mean") < F.col("base_mean") * (1 - drop),
             "spread_doubled": F.col("new_spread") > F.col("base_spread") * 2,
         }

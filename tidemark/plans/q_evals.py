@@ -161,7 +161,7 @@ def _(t):
 
 @query(
     "accepted",
-    f"WITH {_PAIRED} SELECT bool_and(decision = 'ACCEPT') AS is_accepted, count(*) FILTER (decision = 'REJECT') AS rejected_metrics FROM res",
+    f"WITH {_PAIRED} SELECT CASE WHEN count(*) FILTER (decision = 'REJECT') > 0 THEN false WHEN count(*) FILTER (decision = 'UNKNOWN') = 0 THEN bool_and(decision = 'ACCEPT') END AS is_accepted, count(*) FILTER (decision = 'REJECT') AS rejected_metrics FROM res",
     S,
 )
 def _(t):

@@ -12,22 +12,31 @@ COLUMNS = ["kind", "path", "position", "sql", "metadata"]
 
 
 def read_query_csv(spark: SparkSession, path: str, sql_column: str = "SQL", recursive: bool = False) -> DataFrame:
-    """Queries of CSV files with a header; all other columns become metadata.
+    """Queries of CSV files, each with a header of its own; all other columns become metadata.
 
-    Rows without SQL are dropped. A quoted cell may span lines.
+    Rows without SQL are dropped, and so are files without that column. A quoted cell may span lines; a header may not.
     """
-    rows = (
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE").csv(path)
-    )
-    if sql_column not in rows.columns:
+    opened = {"recursiveFileLookup": recursive, "pathGlobFilter": "*.csv"}
+    lines = spark.read.options(**opened).text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_at"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "_at").alias("value"))
+    width = heads.agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    if width is None:
         return _empty(spark)
-    others = [c for c in rows.columns if c != sql_column]
-    pairs = [x for c in others for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
-    meta = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return rows.filter(F.coalesce(F.col(sql_column), F.lit("")) != "").select(
-        F.lit("csv").alias("kind"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position"),
-        F.trim(F.col(sql_column)).alias("sql"), meta.alias("metadata"),
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    cells = (
+        spark.read.schema(schema).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").options(**opened).csv(path)
+        .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position"), F.array(*[f"c{i}" for i in range(width)]).alias("cells"))
+    )
+    # the first row of a file names its columns; of names that repeat the first counts
+    header = cells.groupBy("path").agg(F.min("position").alias("_first"), F.min_by("cells", "position").alias("names"))
+    pairs = F.transform("names", lambda name, i: F.struct(name.alias("key"), F.coalesce(F.get("cells", i), F.lit("")).alias("value"), i.alias("i")))
+    named = F.filter(pairs, lambda p: p["key"].isNotNull() & (F.array_position("names", p["key"]) == p["i"] + 1))
+    row = cells.join(header, "path").filter(F.col("position") > F.col("_first")).select(
+        "path", "position", F.map_from_entries(F.transform(named, lambda p: F.struct(p["key"], p["value"]))).alias("row")
+    )
+    sql = F.try_element_at("row", F.lit(sql_column))
+    return row.filter(F.coalesce(sql, F.lit("")) != "").select(
+        F.lit("csv").alias("kind"), "path", "position", F.trim(sql).alias("sql"), F.map_filter("row", lambda k, _: k != sql_column).alias("metadata")
     )
 
 

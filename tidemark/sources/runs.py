@@ -16,8 +16,15 @@ RUN_SCHEMA = (
 def read_completed_runs(
     spark: SparkSession, path: str, as_of_epoch: float, days: int = 30, skill: str | None = None, mode: str | None = None, model: str | None = None
 ) -> DataFrame:
-    """Finished runs, one JSON object per record, of the last days; unreadable ones are ignored."""
-    runs = spark.read.schema(RUN_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    """Finished runs of the last days; unreadable ones are ignored.
+
+    A file holds one JSON object, indented or not, or one object per line. A record file is small, so it is read whole.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    by_line = F.try_parse_json(F.element_at(F.split("value", "\n"), 1)).isNotNull()
+    records = files.select(F.explode(F.when(by_line, F.split("value", "\n")).otherwise(F.array("value"))).alias("value"))
+    parsed = F.from_json("value", RUN_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    runs = records.select(parsed.alias("r")).select("r.*")
     kept = runs.filter(F.col("_bad").isNull() & F.col("run_id").isNotNull() & (F.col("end_epoch") >= as_of_epoch - days * 86400)).drop("_bad")
     for column, value in (("skill_name", skill), ("review_mode", mode), ("model", model)):
         if value is not None:
@@ -53,19 +60,25 @@ def infer_schema(spark: SparkSession, path: str, fmt: str = "json", **options: s
     return spark.createDataFrame([(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(schema.fields)], "position bigint, column_name string, data_type string, nullable boolean")
 
 
-def dataset_diff(test: DataFrame, baseline: DataFrame, sample: int = 100) -> DataFrame:
-    """Row counts of two data sets, and a sample of the rows that only one of them has.
+def dataset_diff(test: DataFrame, baseline: DataFrame, sample: int | None = None) -> DataFrame:
+    """Row counts of two data sets, and the rows that only one of them has (`sample` of them at most, if given).
 
-    Rows are compared by a hash of all columns, counted on both sides.
+    Rows are compared by a hash of the columns of both, counted on both sides. Each value is written with its
+    length, and a null as "n", so different rows are different texts. A column that one side lacks is null there.
     """
-    names = sorted(baseline.columns)
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in names]), 256)
+    names = sorted({*test.columns, *baseline.columns})
+
+    def written(df: DataFrame, name: str):
+        text = F.col(f"`{name}`").cast("string") if name in df.columns else F.lit(None).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
 
     def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(digest.alias("row_hash")).agg(F.count(F.lit(1)).alias(name))
+        return df.groupBy(F.sha2(F.concat(*[written(df, c) for c in names]), 256).alias("row_hash")).agg(F.count(F.lit(1)).alias(name))
 
     both = counted(test, "test_count").join(counted(baseline, "baseline_count"), "row_hash", "full_outer").fillna(0, ["test_count", "baseline_count"])
-    differing = both.filter(F.col("test_count") != F.col("baseline_count")).orderBy("row_hash").limit(sample)
+    differing = both.filter(F.col("test_count") != F.col("baseline_count"))
+    if sample is not None:
+        differing = differing.orderBy("row_hash").limit(sample)
     total = both.agg(
         F.lit("TOTAL").alias("row_hash"), F.coalesce(F.sum("test_count"), F.lit(0)).alias("test_count"), F.coalesce(F.sum("baseline_count"), F.lit(0)).alias("baseline_count")
     )
