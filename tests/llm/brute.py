@@ -97,3 +97,22 @@ def base_secrets(text: str | None):
     names = ("assign", "access", "hex")
     joined = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
     return (*(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def quality(text: str | None):
+    """n_words, n_repeat_words, words in repeats of 20, longest repeat."""
+    w = (text or "").encode().split()
+
+    def inside(n):
+        seen, out = {}, set()
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), []).append(i)
+        for places in seen.values():
+            if len(places) > 1:
+                out |= {p for i in places for p in range(i, i + n)}
+        return len(out)
+
+    longest = 0
+    while inside(longest + 1):
+        longest += 1
+    return len(w), inside(8), inside(20), longest
