@@ -16,7 +16,7 @@ import numpy as np
 
 from tidemark.llm.common import expand
 
-LIMIT = 1_000_000
+LIMIT = 500_000
 
 
 class _Places(dict):
@@ -96,21 +96,28 @@ def byte_bpe(path: str) -> Table:
 
     def encode_pieces(pieces):
         # pieces without white space are encoded in one go, a line end before each; the rest one by one
+        lines = np.fromiter((p[:1] == "\n" for p, _ in pieces), bool, len(pieces))
         plain = [p[1:] if p[:1] == "\n" else p for p, _ in pieces]
         easy = np.fromiter((len(p.split()) == 1 and p == p.strip() for p in plain), bool, len(plain))
-        parts: list = [None] * len(pieces)
-        at = np.flatnonzero(easy).tolist()
+        counts = np.zeros(len(pieces), np.int64)
+        flat = []
+        at = np.flatnonzero(easy)
         for begin in range(0, len(at), 20_000):
             some = at[begin : begin + 20_000]
-            ids = np.array(tokenizer.encode_batch_fast(["".join(f"\n {plain[i]}" if pieces[i][1] and pieces[i][0][:1] != "\n" else "\n" + plain[i] for i in some)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.append(np.flatnonzero(ids == line_end[0]), len(ids)).tolist()
-            for k, i in enumerate(some):
-                parts[i] = ids[ends[k] + (pieces[i][0][:1] != "\n") : ends[k + 1]]
-        hard = np.flatnonzero(~easy).tolist()
-        found = tokenizer.encode_batch_fast([" " + pieces[i][0] if pieces[i][1] and pieces[i][0][:1] != "\n" else pieces[i][0] for i in hard], add_special_tokens=False)
-        for i, e in zip(hard, found, strict=True):
-            parts[i] = np.array(e.ids, np.int32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+            text = "".join([("\n " if pieces[i][1] and not lines[i] else "\n") + plain[i] for i in some.tolist()])
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == line_end[0])
+            own = lines[some]  # the line end before such a piece is its own
+            counts[some] = np.diff(np.append(ends, len(ids))) - ~own
+            flat.append(np.delete(ids, ends[~own]))
+        hard = np.flatnonzero(~easy)
+        found = [e.ids for e in tokenizer.encode_batch_fast([" " + pieces[i][0] if pieces[i][1] and not lines[i] else pieces[i][0] for i in hard.tolist()], add_special_tokens=False)]
+        counts[hard] = np.fromiter(map(len, found), np.int64, len(found))
+        out = np.zeros(int(counts.sum()), np.int32)
+        starts = np.cumsum(counts) - counts
+        out[expand(starts[at], counts[at])] = np.concatenate([*flat, np.zeros(0, np.int32)])
+        out[expand(starts[hard], counts[hard])] = np.fromiter(chain.from_iterable(found), np.int32)
+        return out, counts
 
     def unsafe(piece, spaced):
         # a line end may begin a piece, with the text after it at once
