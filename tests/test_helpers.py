@@ -4,10 +4,12 @@ import itertools
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import numbered, pick_bounded, ranked_values, rounded
 from tidemark.functions.pairs import frequent_pairs
+from tidemark.session import shared_root
 
 
 def brute_pairs(rows, least):
@@ -70,3 +72,11 @@ def test_first_rows_per_group(spark):
 def test_rounding_of_halves(spark):
     row = spark.range(1).select(rounded(F.lit(-19.46) / F.lit(44.48) * 100, 1).alias("a"), rounded(F.lit(0.125), 2).alias("b")).first()
     assert (row.a, row.b) == (-43.8, 0.13)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    assert shared_root("spark://host:7077", "hdfs://store/x/") == "hdfs://store/x"
+    assert shared_root("local[8]", None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_root(master, None)

@@ -36,6 +36,11 @@ def text_list(values: Column, separator: str = ",") -> Column:
     return F.array_join(F.array_sort(F.collect_set(values)), separator)
 
 
+def head(items: Column, n: int | None) -> Column:
+    """First n elements of an array; None keeps all."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def pick_bounded(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First n rows per key group; Spark prunes to n rows per task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

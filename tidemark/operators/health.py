@@ -29,10 +29,10 @@ def after(ts: str, as_of: str, hours: float) -> Column:
     return F.col(ts) > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL '{int(hours * 60)}' MINUTE")
 
 
-def detect_failures(history: DataFrame, known: DataFrame, as_of: str, hours: int = 1, cap: int | None = 100) -> DataFrame:
-    """Failed runs of the look-back that are not recorded yet, newest first up to a cap per type.
+def detect_failures(history: DataFrame, known: DataFrame, as_of: str, hours: int = 1, cap: int | None = None) -> DataFrame:
+    """Failed runs of the look-back that are not recorded yet, all of them or the newest `cap` per type.
 
-    The known side is matched on its own time, type and name. A cap of None keeps all.
+    The known side is matched on its own time, type and name. The usual cap is 100.
     """
     fresh = history.filter(after("ts", as_of, hours) & F.col("state").isin("FAILED", "UPSTREAM_FAILED")).join(
         known.select("object_name", "object_type", F.col("detected_at").alias("ts")), ["object_name", "object_type", "ts"], "left_anti"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import one_row, percent, pick_bounded, text_list
+from tidemark.functions.exact import head, one_row, percent, pick_bounded, text_list
 from tidemark.functions.sqltext import (
     AGGREGATE_CALL,
     column_references,
@@ -165,16 +165,16 @@ def shared_tables(processed: DataFrame) -> DataFrame:
     )
 
 
-def mine_metrics(log: DataFrame, max_length: int = 100, samples: int = 3) -> DataFrame:
+def mine_metrics(log: DataFrame, max_length: int | None = None, samples: int = 3) -> DataFrame:
     """Metrics per domain from aggregate calls: most frequent expression, uses, sample questions.
 
     Calls are counted per expression first, so the choice of an expression and of
-    the samples runs over distinct texts only.
+    the samples runs over distinct texts only. Expressions over `max_length`
+    (100 is usual) are left out; None keeps all.
     """
     text = F.col("query_text")
     calls = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(AGGREGATE_CALL), g) for g in (1, 2, 3)])
-    short = log.withColumns({"domain": named_domain(F.col("domain")), "question": F.substring("question", 1, 100)})
-    c = each(short, calls, "c", "domain", "question").select(
+    c = each(log.withColumn("domain", named_domain(F.col("domain"))), calls, "c", "domain", "question").select(
         "domain",
         "question",
         F.col("c").getField("0").alias("func"),
@@ -183,7 +183,8 @@ def mine_metrics(log: DataFrame, max_length: int = 100, samples: int = 3) -> Dat
     )
     star = F.col("arg").isin("*", "1")
     tail = F.regexp_extract("arg", r"([a-zA-Z_][a-zA-Z0-9_]*)\s*$", 1)
-    named = c.filter((F.length("arg") <= max_length) & (star | (tail != ""))).select(
+    fits = F.lit(True) if max_length is None else F.length("arg") <= max_length
+    named = c.filter(fits & (star | (tail != ""))).select(
         "domain",
         "question",
         F.concat(F.lower("func"), F.when(star, "_all").otherwise(F.concat(F.lit("_"), F.lower(tail)))).alias("metric_name"),
@@ -213,20 +214,27 @@ def aggregated_columns(log: DataFrame, top: int = 50) -> DataFrame:
     )
 
 
-def verified_queries(log: DataFrame, per_domain: int = 50, onboarding: int = 5) -> DataFrame:
-    """First queries of each domain that have both a question and a read-only text."""
+def verified_queries(log: DataFrame, per_domain: int | None = None, onboarding: int = 5) -> DataFrame:
+    """Queries that have both a question and a read-only text: all, or the first `per_domain` (50 is usual).
+
+    The first `onboarding` of a domain are marked.
+    """
     text = F.upper("query_text")
     usable = log.filter(
         (F.col("question") != "")
         & (F.col("query_text") != "")
         & ~(text.contains("CREATE") | text.contains("UPDATE") | text.contains("DELETE"))
     ).withColumn("domain", named_domain(F.col("domain")))
-    return pick_bounded(usable, ["domain"], [F.col("query_id")], per_domain).select(
+    if per_domain is not None:
+        usable = pick_bounded(usable, ["domain"], [F.col("query_id")], per_domain).drop("_rn")
+    keys = usable.select("domain", "query_id").distinct()
+    marked = pick_bounded(keys, ["domain"], [F.col("query_id")], onboarding).select("domain", "query_id", F.lit(True).alias("_first"))
+    return usable.join(marked, ["domain", "query_id"], "left").select(
         "domain",
         F.concat(F.lit("vqr_"), F.col("query_id").cast("string")).alias("name"),
-        F.substring("question", 1, 500).alias("question"),
+        "question",
         F.col("query_text").alias("sql"),
-        (F.col("_rn") <= onboarding).alias("use_as_onboarding_question"),
+        F.coalesce("_first", F.lit(False)).alias("use_as_onboarding_question"),
     )
 
 
@@ -242,14 +250,17 @@ def candidate_tables(
     known_pattern: str,
     as_of: str,
     days: int = 90,
-    per_query: int = 20,
+    per_query: int | None = None,
     min_queries: int = 5,
     top: int = 15,
 ) -> DataFrame:
-    """Tables used together with the known ones but not among them, with their share of the queries."""
+    """Tables used together with the known ones but not among them, with their share of the queries.
+
+    Every name of a text counts, or its first `per_query` (20 is usual).
+    """
     base = touching(log, known_pattern, as_of, days)
     population = base.select(F.count_distinct("query_id")).scalar()
-    found = F.transform(F.slice(F.regexp_extract_all("query_text", F.lit(CANDIDATE_TABLE), 1), 1, per_query), F.upper)
+    found = F.transform(head(F.regexp_extract_all("query_text", F.lit(CANDIDATE_TABLE), 1), per_query), F.upper)
     refs = each(base, F.array_distinct(found), "candidate_table", "query_id", "user_name").filter(
         (F.length("candidate_table") > 3)
         & ~F.col("candidate_table").isin(*NOT_A_CANDIDATE_TABLE)
@@ -271,13 +282,16 @@ def candidate_columns(
     known_columns: Sequence[str],
     as_of: str,
     days: int = 90,
-    per_query: int = 30,
+    per_query: int | None = None,
     min_queries: int = 3,
     top: int = 20,
 ) -> DataFrame:
-    """Columns used in queries over the known tables but unknown there, with how they are used."""
+    """Columns used in queries over the known tables but unknown there, with how they are used.
+
+    Every name of a text counts, or its first `per_query` (30 is usual).
+    """
     base = touching(log, known_pattern, as_of, days)
-    found = F.transform(F.slice(F.regexp_extract_all("query_text", F.lit(CANDIDATE_COLUMN), 1), 1, per_query), F.upper)
+    found = F.transform(head(F.regexp_extract_all("query_text", F.lit(CANDIDATE_COLUMN), 1), per_query), F.upper)
     refs = each(base.withColumn("_t", F.upper("query_text")), F.array_distinct(found), "candidate_col", "query_id", "user_name", "_t").filter(
         (F.length("candidate_col") > 3)
         & ~F.col("candidate_col").isin(*NOT_A_CANDIDATE_COLUMN)
@@ -304,10 +318,10 @@ def candidate_columns(
 
 
 def search_filter_columns(
-    log: DataFrame, indexed: Sequence[str], as_of: str, days: int = 90, per_query: int = 10, add_from: int = 5
+    log: DataFrame, indexed: Sequence[str], as_of: str, days: int = 90, per_query: int | None = None, add_from: int = 5
 ) -> DataFrame:
-    """Columns filtered on in search calls that the search index lacks."""
-    found = F.slice(F.regexp_extract_all("query_text", F.lit(SEARCH_FILTER), 1), 1, per_query)
+    """Columns filtered on in search calls that the search index lacks; `per_query` of a text at most (10 is usual)."""
+    found = head(F.regexp_extract_all("query_text", F.lit(SEARCH_FILTER), 1), per_query)
     return (
         log.filter(
             since("start_time", as_of, days) & (F.col("status") == "SUCCESS") & F.upper("query_text").contains("SEARCH_PREVIEW")

@@ -50,7 +50,6 @@ _MATCHED = f"""{_BOOK}, matched AS (
     f AS (SELECT * FROM run_history r WHERE ts > {_EV} - INTERVAL 48 HOUR AND state = 'FAILED' AND NOT EXISTS (
             SELECT 1 FROM k WHERE k.object_name = r.object_name AND k.object_type = r.object_type AND k.detected_at = r.ts))
     SELECT object_name, object_type, ts, state, message FROM f
-    QUALIFY row_number() OVER (PARTITION BY object_type ORDER BY ts DESC, object_name) <= 100
     """,
     ("run_history", "failures"),
 )

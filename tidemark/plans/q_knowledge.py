@@ -719,7 +719,7 @@ def _spec_list(kind: str) -> str:
            WHEN data_type IN ('NUMBER', 'FLOAT') THEN 'fact' ELSE 'dimension' END AS class FROM catalog_columns),
     y AS (SELECT *, {DESCRIBE_SQL} AS d FROM x),
     l AS (SELECT database_name, left_table, count(*) AS n FROM fd GROUP BY 1, 2),
-    v AS (SELECT upper(domain) AS domain, least(count(*), 50) AS n FROM query_log WHERE question <> '' AND NOT regexp_matches(upper(query_text), 'CREATE|UPDATE|DELETE')
+    v AS (SELECT upper(domain) AS domain, count(*) AS n FROM query_log WHERE question <> '' AND NOT regexp_matches(upper(query_text), 'CREATE|UPDATE|DELETE')
           AND domain <> '' GROUP BY 1)
     SELECT 'sv_' || lower(y.domain) AS name, {_FQN.replace("database_name", "y.database_name")} AS base_table, lower(table_name) AS logical_table,
       {_spec_list("dimension")} AS dimensions, {_spec_list("time_dimension")} AS time_dimensions, {_spec_list("fact")} AS facts,

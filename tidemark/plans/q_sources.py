@@ -204,7 +204,7 @@ def _(t):
 @query(
     "tool_results",
     f"""WITH {_LINES} SELECT run_id, turn * 100 + 3 AS line_no, CASE n % 3 WHEN 0 THEN 'analyst' WHEN 1 THEN 'search' ELSE 'other' END AS result_type, CASE WHEN n % 3 = 0 THEN 'SELECT 1' END AS sql,
-        CAST(CASE n % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS items_kept FROM ln WHERE n % 2 = 0""",
+        CAST(CASE n % 3 WHEN 0 THEN 7 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS items_kept FROM ln WHERE n % 2 = 0""",
 )
 def _(t):
     return T.tool_results(_events(t))

@@ -193,7 +193,7 @@ _AGG = "(?i)(SUM|COUNT|AVG|MIN|MAX|MEDIAN|STDDEV|VARIANCE)\\s*\\(\\s*(DISTINCT\\
     "mine_metrics",
     f"""
     WITH c AS (SELECT CASE WHEN coalesce(domain, '') = '' THEN 'Unknown' ELSE domain END AS domain,
-                 left(question, 100) AS question,
+                 question,
                  unnest(regexp_extract_all(query_text, '{_AGG}', 1)) AS func,
                  unnest(regexp_extract_all(query_text, '{_AGG}', 2)) AS dist,
                  trim(unnest(regexp_extract_all(query_text, '{_AGG}', 3))) AS arg FROM query_log),
@@ -201,8 +201,7 @@ _AGG = "(?i)(SUM|COUNT|AVG|MIN|MAX|MEDIAN|STDDEV|VARIANCE)\\s*\\(\\s*(DISTINCT\\
             lower(func) || CASE WHEN arg IN ('*', '1') THEN '_all'
               ELSE '_' || lower(regexp_extract(arg, '([a-zA-Z_][a-zA-Z0-9_]*)\\s*$', 1)) END AS metric_name,
             upper(func) || '(' || CASE WHEN coalesce(dist, '') <> '' THEN 'DISTINCT ' ELSE '' END || arg || ')' AS expr
-          FROM c WHERE length(arg) <= 100
-            AND (arg IN ('*', '1') OR regexp_extract(arg, '([a-zA-Z_][a-zA-Z0-9_]*)\\s*$', 1) <> '')),
+          FROM c WHERE (arg IN ('*', '1') OR regexp_extract(arg, '([a-zA-Z_][a-zA-Z0-9_]*)\\s*$', 1) <> '')),
     e AS (SELECT domain, metric_name, expr, count(*) AS n FROM m GROUP BY 1, 2, 3),
     best AS (SELECT domain, metric_name, expr FROM e
              QUALIFY row_number() OVER (PARTITION BY domain, metric_name ORDER BY n DESC, expr) = 1),
@@ -235,12 +234,11 @@ def _(t):
 @query(
     "verified_queries",
     """
-    SELECT domain, 'vqr_' || CAST(query_id AS VARCHAR) AS name, left(question, 500) AS question, query_text AS sql,
+    SELECT domain, 'vqr_' || CAST(query_id AS VARCHAR) AS name, question, query_text AS sql,
            rn <= 5 AS use_as_onboarding_question
     FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY query_id) AS rn FROM (
             SELECT * REPLACE (CASE WHEN coalesce(domain, '') = '' THEN 'Unknown' ELSE domain END AS domain) FROM query_log)
           WHERE question <> '' AND query_text <> '' AND NOT regexp_matches(upper(query_text), 'CREATE|UPDATE|DELETE'))
-    WHERE rn <= 50
     """,
     ("query_log",),
 )
@@ -256,8 +254,8 @@ _KNOWN = "DIM_|FCT_"
     f"""
     WITH b AS (SELECT * FROM query_log WHERE {since("start_time")} AND status = 'SUCCESS'
                  AND regexp_matches(upper(query_text), '{_KNOWN}')),
-    r AS (SELECT query_id, user_name, upper(unnest(list_slice(regexp_extract_all(query_text,
-            '(?i)(?:FROM|JOIN)\\s+(?:[A-Z0-9_$]+\\.){{0,2}}([A-Z0-9_$]+)', 1), 1, 20))) AS candidate_table FROM b)
+    r AS (SELECT query_id, user_name, upper(unnest(regexp_extract_all(query_text,
+            '(?i)(?:FROM|JOIN)\\s+(?:[A-Z0-9_$]+\\.){{0,2}}([A-Z0-9_$]+)', 1))) AS candidate_table FROM b)
     SELECT candidate_table, count(DISTINCT query_id) AS query_count, count(DISTINCT user_name) AS unique_users,
       round(count(DISTINCT query_id) * 100.0::DOUBLE / (SELECT count(DISTINCT query_id) FROM b), 1) AS pct_of_queries
     FROM r WHERE length(candidate_table) > 3 AND NOT regexp_matches(candidate_table, '{_KNOWN}')
@@ -275,8 +273,8 @@ def _(t):
     f"""
     WITH b AS (SELECT *, upper(query_text) AS u FROM query_log WHERE {since("start_time")} AND status = 'SUCCESS'
                  AND regexp_matches(upper(query_text), '{_KNOWN}')),
-    r AS (SELECT DISTINCT query_id, user_name, u, upper(unnest(list_slice(regexp_extract_all(query_text,
-            '(?i)(?:WHERE|AND|OR|GROUP BY|ORDER BY|SELECT)[\\s,]+([A-Z_][A-Z0-9_]+)', 1), 1, 30))) AS candidate_col FROM b),
+    r AS (SELECT DISTINCT query_id, user_name, u, upper(unnest(regexp_extract_all(query_text,
+            '(?i)(?:WHERE|AND|OR|GROUP BY|ORDER BY|SELECT)[\\s,]+([A-Z_][A-Z0-9_]+)', 1))) AS candidate_col FROM b),
     x AS (SELECT *, CASE WHEN u LIKE '%WHERE%' || replace(candidate_col, '_', '\\_') || '%' ESCAPE '\\'
                       OR u LIKE '%AND%' || replace(candidate_col, '_', '\\_') || '%' ESCAPE '\\' THEN 'filter'
                     WHEN u LIKE '%GROUP BY%' || replace(candidate_col, '_', '\\_') || '%' ESCAPE '\\' THEN 'group_by'
@@ -297,7 +295,7 @@ def _(t):
     "search_filter_columns",
     f"""
     SELECT filter_col, count(*) AS usage_count, CASE WHEN count(*) >= 5 THEN 'ADD' ELSE 'REVIEW' END AS recommendation
-    FROM (SELECT upper(unnest(list_slice(regexp_extract_all(query_text, '(?is)FILTER.*?([A-Z_]+)\\s*=', 1), 1, 10))) AS filter_col
+    FROM (SELECT upper(unnest(regexp_extract_all(query_text, '(?is)FILTER.*?([A-Z_]+)\\s*=', 1))) AS filter_col
           FROM query_log WHERE {since("start_time")} AND status = 'SUCCESS' AND upper(query_text) LIKE '%SEARCH\\_PREVIEW%' ESCAPE '\\')
     WHERE filter_col NOT IN ('CATEGORY') GROUP BY 1 HAVING count(*) >= 2
     """,

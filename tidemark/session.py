@@ -26,22 +26,33 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative plan through reliable storage.
+def shared_root(master: str, named: str | None) -> str:
+    """Folder for checkpoints and written tables: the one the cluster names.
 
-    The folder is the one the cluster names; only where none is set (a local
-    test) is one made, so the files always survive a lost executor.
+    A folder of this machine will do for a local session only; anywhere else other executors could not reach it.
     """
-    sc = df.sparkSession.sparkContext
+    if named:
+        return named.rstrip("/")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share (master {master})")
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def _root(spark: SparkSession) -> str:
+    """The shared folder of the session; a local session keeps the first one it made."""
+    sc = spark.sparkContext
+    root = shared_root(sc.master, spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir())
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get(CHECKPOINT_CONF, None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        sc.setCheckpointDir(root)
+    return root
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative plan through reliable storage, whose files survive a lost executor."""
+    _root(df.sparkSession)
     return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """New folder next to the checkpoints, reachable from every executor."""
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="tidemark-scratch-")
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/tidemark-{uuid.uuid4().hex}"

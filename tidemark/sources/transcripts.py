@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.exact import head
+
 DONE = "[DONE]"
 
 
@@ -40,14 +42,14 @@ def tool_uses(events: DataFrame) -> DataFrame:
     )
 
 
-def tool_results(events: DataFrame, keep: int = 5) -> DataFrame:
-    """Results of tools as analyst, search or other, with their first items."""
+def tool_results(events: DataFrame, keep: int | None = None) -> DataFrame:
+    """Results of tools as analyst, search or other, with the number of their items, `keep` at most (5 is usual)."""
     items = F.from_json(F.to_json("v"), "content array<string>")["content"]
     found = events.filter(F.col("event") == "response.tool_result").select("run_id", "line_no", F.explode(items).alias("i"))
     rows = found.withColumn("j", F.get_json_object("i", "$.json")).filter("j is not null")
     j = F.col("j")
     sql, found = F.get_json_object(j, "$.sql"), F.get_json_object(j, "$.search_results")
-    first = lambda x: F.slice(F.from_json(x, "array<string>"), 1, keep)
+    first = lambda x: head(F.from_json(x, "array<string>"), keep)
     data = F.when(sql.isNotNull(), first(F.get_json_object(j, "$.result_set.data"))).when(found.isNotNull(), first(found)).otherwise(F.array(j))
     return rows.select(
         "run_id", "line_no", F.when(sql.isNotNull(), "analyst").when(found.isNotNull(), "search").otherwise("other").alias("result_type"), sql.alias("sql"),
