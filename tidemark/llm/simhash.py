@@ -8,6 +8,8 @@ one task are split into pairs of their grandchildren before, again only those wi
 
 A task returns a forest of its links, not all pairs: every link stays a path, so components are exact while a family of
 n copies gives n - 1 rows.
+
+`near_copies` takes the same join for candidates and compares the sets of word shingles of what it links.
 """
 
 from __future__ import annotations
@@ -90,6 +92,37 @@ class Forest:
         return root[tied], values[tied]
 
 
+class NearestForest(Forest):
+    """Keeps a pair behind each union, so links added from near to far leave a tree of nearest links."""
+
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.kept = [np.zeros((2, 0), np.int64)]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.up[a], self.up[b]
+            open_ = x != y
+            if not open_.any():
+                return
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((low, high))
+            one = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+            self.up[high[one]] = low[one]
+            self.kept.append(np.stack([a[one], b[one]]))
+            while True:
+                above = self.up[self.up]
+                if np.array_equal(above, self.up):
+                    break
+                self.up = above
+
+    def edges(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs kept, in an order that does not depend on places."""
+        a, b = values[np.concatenate(self.kept, axis=1)]
+        return np.minimum(a, b), np.maximum(a, b)
+
+
 def trie_join(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, bit: int, budget: int, found) -> None:
     """Follows node pairs of two tries (sorted, distinct values) downwards. pairs: rows of a_from, a_to, b_from, b_to, spent.
 
@@ -161,12 +194,14 @@ def _ends(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin[1:], len(values))
 
 
-def links(prints: DataFrame, budget: int = 3, agree: int = 1, node_limit: int = NODE_LIMIT) -> DataFrame:
+def links(prints: DataFrame, budget: int = 3, agree: int = 1, node_limit: int = NODE_LIMIT, nearest: bool = False) -> DataFrame:
     """Forest of the links among distinct fingerprints (column fp): rows a, b whose paths join what differs in <= budget bits.
 
+    nearest: rows are links themselves, and a path takes the nearest ones. Otherwise a is the smallest of b's tree.
     More blocks that agree mean smaller nodes and more orders of the bits: budget + agree over agree of them.
     """
     parts, layouts = partitions(prints.sparkSession), Layouts(budget, agree)
+    new_forest, budgets = (NearestForest, range(1, budget + 1)) if nearest else (Forest, [budget])
 
     def spread(batches):
         for batch in batches:
@@ -185,8 +220,9 @@ def links(prints: DataFrame, budget: int = 3, agree: int = 1, node_limit: int =
             begin, end = _ends(own >> np.uint64(64 - layouts.tops[k]))
             many = end - begin > 1
             begin, end = begin[many], end[many]
-            forest = Forest(len(own))
-            trie_join(own, own, np.stack([begin, end, begin, end, np.zeros_like(begin)], 1), 63 - layouts.tops[k], budget, forest.add)
+            forest = new_forest(len(own))
+            for most in budgets:
+                trie_join(own, own, np.stack([begin, end, begin, end, np.zeros_like(begin)], 1), 63 - layouts.tops[k], most, forest.add)
             for to, x in zip(out, forest.edges(layouts.turn(own, k, back=True)), strict=True):
                 to.append(x)
         return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in out], ["a", "b"])
@@ -214,9 +250,9 @@ def links(prints: DataFrame, budget: int = 3, agree: int = 1, node_limit: int =
         a = np.sort(fp[side == 0])
         b = np.sort(fp[side == 1]) if mask else a
         values, shift = (np.concatenate([a, b]), len(a)) if mask else (a, 0)
-        forest = Forest(len(values))
-        if len(a) and len(b):
-            trie_join(a, b, np.array([[0, len(a), 0, len(b), mask.bit_count()]]), 63 - layouts.tops[k] - SPLIT_BITS, budget, lambda i, j: forest.add(i, j + shift))
+        forest = new_forest(len(values))
+        for most in budgets if len(a) and len(b) else ():
+            trie_join(a, b, np.array([[0, len(a), 0, len(b), mask.bit_count()]]), 63 - layouts.tops[k] - SPLIT_BITS, most, lambda i, j: forest.add(i, j + shift))
         return pa.table([pa.array(x.view(np.int64)) for x in forest.edges(layouts.turn(values, k, back=True))], ["a", "b"])
 
     pairs = rows.join(large, ["layout", "node"]).select("layout", "node", "fp").mapInArrow(split, "layout int, node long, low long, mask long, side long, fp long")
@@ -256,6 +292,71 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 3, agr
     return prints.join(named, "fp").select(plain_id(), "fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
 
 
+def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    return [np.unique(simhash(t.as_py().lower().split(), n)) for t in texts.cast(pa.binary())]
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and shingles (distinct hashes) of keyed documents."""
+
+    def rows(batches):
+        for block in blocks(batches):
+            sets = [x.view(np.int64) for x in _sets(block.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return docs.mapInArrow(rows, "doc_id long, shingles array<long>")
+
+
+def two_prints(docs: DataFrame, words: int, shingle: int) -> DataFrame:
+    """doc_id, same (digest of the set of `words`-word shingles) and two independent fingerprints over `shingle` words."""
+
+    def rows(batches):
+        for block in blocks(batches, 1 << 19):
+            texts = block.column("text")
+            same = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in _sets(texts, words)], pa.binary())
+            hashes = [simhash(t.as_py().lower().split(), shingle) for t in texts.cast(pa.binary())]
+            counts, flat = np.array([len(h) for h in hashes]), np.concatenate(hashes)
+            prints = [pa.array(_majority(x, counts).view(np.int64)) for x in (flat, mixed(flat))]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), same, *prints], ["doc_id", "same", "fp0", "fp1"])
+
+    return docs.mapInArrow(rows, "doc_id long, same binary, fp0 long, fp1 long")
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, budget: int = 7, agree: int = 2, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """Group of near copies of each document: doc_id, component_id (smallest doc_id reachable).
+
+    Links hold between documents whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more;
+    each is compared exactly. Candidates are the trees of nearest links of two fingerprints (`links`), so a group of n
+    texts gives a few times n comparisons, not all pairs. Equal sets are one text throughout.
+
+    Words are what lies between ASCII white space, A-Z lower-cased; a text with fewer words than a shingle is one
+    shingle, and texts without words (null and empty too) are equal. Repeated rows fold into one (`keyed`); a null
+    doc_id is a document of its own; an empty table gives an empty result.
+    """
+    docs = keyed(documents)
+    prints = stored(two_prints(docs, words, shingle))
+    texts = stored(prints.groupBy("same").agg(F.min_by(F.struct("doc_id", "fp0", "fp1"), "doc_id").alias("x")).select("same", "x.*"))
+    found = None
+    for name in ("fp0", "fp1"):
+        own = texts.select("doc_id", F.col(name).alias("fp"))
+        distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        forest = links(distinct.select("fp"), budget, agree, node_limit, nearest=True).distinct()
+        near = forest.join(distinct.toDF("a", "first_a"), "a").join(distinct.toDF("b", "first_b"), "b").select("first_a", "first_b")
+        equal = own.join(distinct, "fp").where("doc_id <> first").select("first", "doc_id")
+        for pairs in (near, equal):
+            pairs = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            found = pairs if found is None else found.union(pairs)
+    found = stored(found.distinct())
+    involved = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
+    sets = stored(shingle_sets(docs.join(involved, "doc_id", "left_semi"), words))
+    both = found.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    linked = both.where(common >= similarity * (F.size("shingles_a") + F.size("shingles_b") - common) - 1e-9).select("a", "b")
+    roots = components(linked).withColumnRenamed("node", "doc_id")
+    named = texts.join(roots, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component"))
+    return prints.join(named, "same").select(plain_id(), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
+
+
 def hex_of(column: str):
     """16 lowercase hex digits of a long's 64 bits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
