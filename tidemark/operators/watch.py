@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import rounded
+from tidemark.session import durable
 
 from tidemark.operators.catalog import TABLE_KEY, full_name
 from tidemark.operators.usage import flatten_access, since
@@ -61,7 +62,8 @@ def match_class(shadow_columns: DataFrame, class_columns: DataFrame, min_similar
 
     Both inputs hold (name, column_name). Two sets at least t alike share one of
     the |s| - ceil(t|s|) + 1 rarest columns of either side, so only those meet in
-    the join; a column that every table has produces no candidates.
+    the join; a column that every table has produces no candidates. Nor do sets
+    of too different size. Each side is derived once and written.
     """
     rarity = (
         shadow_columns.select("column_name").unionAll(class_columns.select("column_name"))
@@ -79,12 +81,13 @@ def match_class(shadow_columns: DataFrame, class_columns: DataFrame, min_similar
         )
         n = F.size(f"_{name}")
         prefix = n - F.ceil(n * F.lit(min_similarity) - 1e-9).cast("int") + 1
-        return listed.withColumn("_p", F.slice(f"_{name}", F.lit(1), prefix))
+        return durable(listed.withColumn("_p", F.slice(f"_{name}", F.lit(1), prefix)))
 
     a, b = sets(shadow_columns, "table_name"), sets(class_columns, "class_name")
     candidates = (
-        a.select("table_name", F.explode("_p").alias("_c"))
-        .join(b.select("class_name", F.explode("_p").alias("_c")), "_c")
+        a.select("table_name", F.size("_table_name").alias("_na"), F.explode("_p").alias("_c"))
+        .join(b.select("class_name", F.size("_class_name").alias("_nb"), F.explode("_p").alias("_c")), "_c")
+        .filter(F.least("_na", "_nb") >= F.greatest("_na", "_nb") * F.lit(min_similarity) - 1e-9)
         .select("table_name", "class_name")
         .distinct()
     )

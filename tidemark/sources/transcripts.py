@@ -79,7 +79,7 @@ def batch_summary(runs: DataFrame, uses: DataFrame) -> DataFrame:
 
 def tool_counts(uses: DataFrame) -> DataFrame:
     """Calls per tool, most used first."""
-    return uses.groupBy("tool_name").agg(F.count(F.lit(1)).alias("calls")).orderBy(F.desc("calls"), "tool_name")
+    return uses.groupBy("tool_name").agg(F.count(F.lit(1)).alias("calls"))
 
 
 def response_text(replies: DataFrame) -> DataFrame:
