@@ -165,6 +165,20 @@ def test_near_copies(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_around_one_text(spark):
+    r = random.Random(11)
+    words = [f"w{r.randrange(10**9)}" for _ in range(200)]
+    texts = {70: " ".join(words)}
+    for d in range(60):  # each 0.8 or more like text 70; most pairs of copies are not
+        changed = list(words)
+        for i in r.sample(range(200), 4):
+            changed[i] = f"x{d}n{i}"
+        texts[d] = " ".join(changed)
+    want = brute.near_copies(texts, 0.8, 5)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and set(got.values()) == {0}
+
+
 def test_secrets(docs, keyed):
     got = _by_id(secrets.digests(secrets.find_secrets(docs, RANKS)))
     assert {d: v[:4] for d, v in got.items()} == {d: brute.base_secrets(t) for d, t in keyed.items()}

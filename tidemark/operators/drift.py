@@ -137,11 +137,11 @@ def error_rate_daily(events: DataFrame) -> DataFrame:
 
 
 def unanswered_intents(events: DataFrame, top: int = 20) -> DataFrame:
-    """Failing questions by status and message, most frequent first."""
+    """Failing questions (whole texts) by status and message, most frequent first."""
     n = F.col("occurrence_count")
     return (
         events.filter((F.col("status") == "ERROR") | F.col("error_message").isNotNull())
-        .groupBy(F.left("question", F.lit(200)).alias("sample_question"), "status", "error_message")
+        .groupBy(F.col("question").alias("sample_question"), "status", "error_message")
         .agg(F.count(F.lit(1)).alias("occurrence_count"))
         .orderBy(F.desc("occurrence_count"), "sample_question", "status", F.asc_nulls_first("error_message"))
         .limit(top)

@@ -336,9 +336,9 @@ def search_filter_columns(
 
 
 def query_patterns(
-    log: DataFrame, as_of: str, days: int = 90, min_length: int = 50, max_length: int = 10000, top: int | None = 30
+    log: DataFrame, as_of: str, days: int = 90, min_length: int = 50, max_length: int | None = None, top: int | None = 30
 ) -> DataFrame:
-    """Normalized query texts with their executions, users, and first and last time."""
+    """Normalized query texts with their executions, users, and first and last time; texts below `max_length` characters, if given."""
     pattern = F.sha2(normalized_text("query_text"), 256)
     found = (
         log.filter(since("start_time", as_of, days))
