@@ -353,7 +353,7 @@ def query_patterns(
         )
         .filter(
             (F.length("query_text") > min_length)
-            & (F.length("query_text") < max_length)
+            & (F.lit(True) if max_length is None else F.length("query_text") < max_length)
             & F.upper("query_text").contains("SELECT")
         )
     )
