@@ -1,8 +1,9 @@
-"""Inputs beyond the limits that once were defaults: long texts."""
+"""Inputs beyond the limits that once were defaults: long texts, deep and rare paths."""
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import drift, sqlmining
+from tidemark.sources import runs
 
 
 def test_long_questions_stay_apart(spark):
@@ -17,3 +18,10 @@ def test_long_queries_are_patterns(spark):
     assert len(text) > 10_000
     assert [r.query_text for r in sqlmining.query_patterns(log, "2001-08-02 00:00:00").collect()] == [text]
     assert sqlmining.query_patterns(log, "2001-08-02 00:00:00", max_length=10_000).count() == 0
+
+
+def test_deep_and_rare_paths(spark):
+    texts = ['{"a":{"b":{"c":{"d":[{"e":1}]}}}}', '{"rare.key":{"x":true}}', "{broken", None, "7"] + ['{"k":1}'] * 30 + ['{"n%d":1}' % i for i in range(60)]
+    got = {(r.path, r.value_type): (r.occurrences, r.depth) for r in runs.json_paths(spark.createDataFrame([(x,) for x in texts], "body string"), "body").collect()}
+    assert got[".a.b.c.d[].e", "BIGINT"] == (1, 6) and got[".rare.key.x", "BOOLEAN"] == (1, 2) and got[".k", "BIGINT"] == (30, 1)
+    assert sum(p.startswith(".n") for p, _ in got) == 60

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 RUN_SCHEMA = (
     "run_id string, skill_name string, review_mode string, model string, start_epoch double, end_epoch double, "
     "duration_seconds double, status string, _bad string"
@@ -85,29 +87,32 @@ def dataset_diff(test: DataFrame, baseline: DataFrame, sample: int | None = None
     return total.unionByName(differing)
 
 
-def json_paths(df: DataFrame, column: str, max_depth: int = 3, min_share: float = 0.10, max_keys: int = 50) -> DataFrame:
+def json_paths(df: DataFrame, column: str, max_depth: int | None = None, min_share: float | None = None, max_keys: int | None = None) -> DataFrame:
     """Paths of a JSON text column with value type and count, from the whole column.
 
-    Paths in fewer rows than the share and deeper than the depth are dropped; at most
+    If given: paths in fewer rows than the share and deeper than the depth are dropped; at most
     `max_keys` top-level keys stay, the most frequent ones.
     """
     spark = df.sparkSession
-    level = df.select(F.try_parse_json(column).alias("v")).filter(F.col("v").isNotNull()).select(F.lit("").alias("prefix"), "v")
-    rows = df.select(F.count(F.try_parse_json(column))).scalar()
-    found = None
-    for depth in range(1, max_depth + 1):
+    level = df.select(F.try_parse_json(column).alias("v")).filter(F.col("v").isNotNull()).select(F.lit("").alias("prefix"), F.lit("").alias("head"), "v")
+    found, depth = None, 0
+    while depth != max_depth and (depth == 0 or not level.isEmpty()):
+        depth += 1
+        step = F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[]"))
         items = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
-            F.concat(F.col("prefix"), F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[]"))).alias("prefix"), F.col("value").alias("v")
+            F.concat("prefix", step).alias("prefix"), (step if depth == 1 else F.col("head")).alias("head"), F.col("value").alias("v")
         )
-        counted = items.groupBy(F.col("prefix").alias("path"), value_type(F.col("v")).alias("value_type")).agg(F.count(F.lit(1)).alias("occurrences")).withColumn("depth", F.lit(depth).cast("bigint"))
+        counted = items.groupBy(F.col("prefix").alias("path"), "head", value_type(F.col("v")).alias("value_type")).agg(F.count(F.lit(1)).alias("occurrences")).withColumn("depth", F.lit(depth).cast("bigint"))
         found = counted if found is None else found.unionByName(counted)
         level = items.filter(value_type(F.col("v")).isin("OBJECT", "ARRAY"))
-    kept = found.filter(F.col("occurrences") >= rows * min_share)
-    top = (
-        kept.filter("depth = 1").groupBy(F.col("path").alias("_k")).agg(F.sum("occurrences").alias("_n")).orderBy(F.desc("_n"), "_k").limit(max_keys).select("_k")
-    )
-    head = F.regexp_extract("path", r"^(\.[^.\[]+|\[\])", 1)
-    return kept.join(F.broadcast(top), head == F.col("_k"), "left_semi")  # at most max_keys rows
+        if max_depth is None:
+            level = durable(level)
+    if min_share is not None:
+        found = found.filter(F.col("occurrences") >= df.select(F.count(F.try_parse_json(column))).scalar() * min_share)
+    if max_keys is not None:
+        top = found.filter("depth = 1").groupBy("head").agg(F.sum("occurrences").alias("_n")).orderBy(F.desc("_n"), "head").limit(max_keys).select("head")
+        found = found.join(F.broadcast(top), "head", "left_semi")  # at most max_keys rows
+    return found.groupBy("path", "value_type", "depth").agg(F.sum("occurrences").alias("occurrences")).select("path", "value_type", "occurrences", "depth")
 
 
 def value_type(v: Column) -> Column:
