@@ -1,8 +1,8 @@
-"""Inputs beyond the limits that once were defaults: long texts, deep and rare paths."""
+"""Inputs beyond the limits that once were defaults: long texts, deep and rare paths, missing features."""
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, sqlmining
+from tidemark.operators import drift, model, sqlmining
 from tidemark.sources import runs
 
 
@@ -25,3 +25,10 @@ def test_deep_and_rare_paths(spark):
     got = {(r.path, r.value_type): (r.occurrences, r.depth) for r in runs.json_paths(spark.createDataFrame([(x,) for x in texts], "body string"), "body").collect()}
     assert got[".a.b.c.d[].e", "BIGINT"] == (1, 6) and got[".rare.key.x", "BOOLEAN"] == (1, 2) and got[".k", "BIGINT"] == (30, 1)
     assert sum(p.startswith(".n") for p, _ in got) == 60
+
+
+def test_rows_without_features_are_scored(spark):
+    rows = [(i, None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(i), int(i % 5 == 0 or i % 7 == 0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, x double, y int")
+    scored = model.score(df, model.train(df, ["x"], "y", rounds=2)).collect()
+    assert {r.id: r.predicted for r in scored} == {i: y for i, _, y in rows}

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +40,13 @@ def split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[
 
 
 def train(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Boosted trees over numeric columns."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """Boosted trees over numeric columns. A null or NaN is zero, with an indicator as a feature of its own, so every row is scored."""
+    filled = [f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), 0D) AS `_filled_{c}`" for c in features]
+    missing = [f"CAST(`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) AS DOUBLE) AS `_missing_{c}`" for c in features]
+    fill = SQLTransformer(statement=f"SELECT *, {', '.join(filled + missing)} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[f"_filled_{c}" for c in features] + [f"_missing_{c}" for c in features], outputCol="features", handleInvalid="error")
     trees = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return Pipeline(stages=[assembler, trees]).fit(df.withColumn(label, F.col(label).cast("double")))
+    return Pipeline(stages=[fill, assembler, trees]).fit(df.withColumn(label, F.col(label).cast("double")))
 
 
 def score(df: DataFrame, model: PipelineModel, name: str = "predicted") -> DataFrame:

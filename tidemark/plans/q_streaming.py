@@ -191,5 +191,5 @@ def _(t):
     """Documents with a label, scored by trees trained on the training part only."""
     rows = _features(t)
     train, test = M.split(rows, "doc_id")
-    model = M.train(train, ["n_chars", "lines", "words", "digits", "distinct_words"], "quality", rounds=20)
+    model = M.train(train, ["n_chars", "lines", "words", "digits", "distinct_words"], "quality")
     return M.score(test, model).select("doc_id", "quality", "predicted")
