@@ -179,6 +179,17 @@ def test_near_copies_around_one_text(spark):
     assert got == want and set(got.values()) == {0}
 
 
+def test_near_copies_with_blocks(spark):
+    r = random.Random(12)
+    say = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for d in range(0, 80, 2):
+        texts[d] = " ".join(words := say(200))
+        texts[d + 1] = " ".join(words + say(45) if d % 4 else words[:80] + say(12) + words[92:])
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute.near_copies(texts, 0.8, 5) == {d: d - d % 2 for d in texts}
+
+
 def test_secrets(docs, keyed):
     got = _by_id(secrets.digests(secrets.find_secrets(docs, RANKS)))
     assert {d: v[:4] for d, v in got.items()} == {d: brute.base_secrets(t) for d, t in keyed.items()}
