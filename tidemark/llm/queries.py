@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, leaks, lengths, quality, repair, secrets, sentences, simhash, substring, suffix
+from tidemark.llm import html, leaks, lengths, quality, repair, secrets, sentences, simhash, substring, suffix, trie
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op10_quality(spark, sf_dir):
     return quality.quality(_documents(spark, sf_dir)).select(columns)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    conv = F.col("conv_id")
+    found = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return trie.prefix_trie(found, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4)
+
+
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP2_SQL = f"""
@@ -89,5 +95,5 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * m <= 20 * n_words AND x = 0 AS kept FROM b"""
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeated_words, op3_shared_bytes, op4_token_output, op5_benchmark_leaks, op6_simhash, op7_secrets, op8_sentence_pieces, op9_token_lengths, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeated_words, op3_shared_bytes, op4_token_output, op5_benchmark_leaks, op6_simhash, op7_secrets, op8_sentence_pieces, op9_token_lengths, op10_quality, op11_prefix_trie)}
 CHECKS = {"op2_repeated_words": OP2_SQL, "op10_quality": OP10_SQL}
