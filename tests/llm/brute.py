@@ -133,3 +133,34 @@ def near_copies(texts: dict[int, str | None], similarity: float, words: int):
         if root == before:
             return root
     return root
+
+
+def prefix_trie(rows, period: int = 20, most: int = 4):
+    """rows of conv_id, turn, role, text; with the borrowing of the registered query."""
+    import zlib
+
+    turns = {}
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        if c is not None:
+            turns.setdefault(c, []).append((role or "", text or ""))
+    rebuilt = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % most
+        rebuilt[c] = tuple(turns.get(c - c % period, [])[:h] + own[h:])
+    in_node, ends = {}, {}
+    for c, seq in rebuilt.items():
+        for d in range(len(seq) + 1):
+            in_node.setdefault(seq[:d], []).append(c)
+        ends.setdefault(seq, []).append(c)
+    children, leaves, saved = {}, {}, {}
+    for node in sorted(in_node, key=len, reverse=True):
+        words = len(node[-1][1].encode().split()) if node else 0
+        leaves[node] = leaves.get(node, 0) or 1
+        saved[node] = saved.get(node, 0) + (len(in_node[node]) - 1) * words
+        if node:
+            up = node[:-1]
+            children[up] = children.get(up, 0) + 1
+            leaves[up] = leaves.get(up, 0) + leaves[node]
+            saved[up] = saved.get(up, 0) + saved[node]
+    digest = lambda node: hashlib.sha256(",".join(map(str, sorted(ends.get(node, [])))).encode()).hexdigest()
+    return [(min(c), len(n), min(in_node[n[:-1]]) if n else None, len(c), children.get(n, 0), leaves[n], saved[n], digest(n)) for n, c in in_node.items()]
