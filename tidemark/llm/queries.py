@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, leaks, lengths, quality, repair, secrets, sentences, simhash, substring, suffix, trie
+from tidemark.llm import html, leaks, lengths, minhash, quality, repair, secrets, sentences, simhash, substring, suffix, trie
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_prefix_trie(spark, sf_dir):
     return trie.prefix_trie(found, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4)
 
 
+def op12_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP2_SQL = f"""
@@ -95,5 +99,16 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * m <= 20 * n_words AND x = 0 AS kept FROM b"""
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeated_words, op3_shared_bytes, op4_token_output, op5_benchmark_leaks, op6_simhash, op7_secrets, op8_sentence_pieces, op9_token_lengths, op10_quality, op11_prefix_trie)}
-CHECKS = {"op2_repeated_words": OP2_SQL, "op10_quality": OP10_SQL}
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+near AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, near.b FROM reach JOIN near ON near.a = reach.other),
+least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least_of LEFT JOIN size USING (doc_id)"""
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeated_words, op3_shared_bytes, op4_token_output, op5_benchmark_leaks, op6_simhash, op7_secrets, op8_sentence_pieces, op9_token_lengths, op10_quality, op11_prefix_trie, op12_minhash)}
+CHECKS = {"op2_repeated_words": OP2_SQL, "op10_quality": OP10_SQL, "op12_minhash": OP12_SQL}
