@@ -164,3 +164,42 @@ def prefix_trie(rows, period: int = 20, most: int = 4):
             saved[up] = saved.get(up, 0) + saved[node]
     digest = lambda node: hashlib.sha256(",".join(map(str, sorted(ends.get(node, [])))).encode()).hexdigest()
     return [(min(c), len(n), min(in_node[n[:-1]]) if n else None, len(c), children.get(n, 0), leaves[n], saved[n], digest(n)) for n, c in in_node.items()]
+
+
+def spelling_groups(texts: dict[int, str | None], shortest: int = 6, least: int = 5, times: int = 5, every: int = 199):
+    """Every word against every other."""
+    import re
+    import zlib
+    from collections import Counter
+
+    counts = Counter()
+    for d, t in texts.items():
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{d}:{run}".encode())
+            if every and h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= shortest:
+                counts[run] += 1
+    words = {w: n for w, n in counts.items() if n >= least}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    form, n_near = {}, {}
+    for w, n in words.items():
+        others = [x for x in words if abs(len(x) - len(w)) < 2 and near(x, w)]
+        n_near[w] = len(others)
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= times * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, n_near[w], words.get(form[w]))
+    return out

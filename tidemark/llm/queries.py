@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, leaks, lengths, minhash, quality, repair, secrets, sentences, simhash, substring, suffix, trie
+from tidemark.llm import html, leaks, lengths, minhash, quality, repair, secrets, sentences, simhash, spelling, substring, suffix, trie
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_minhash(spark, sf_dir):
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_groups(_documents(spark, sf_dir), every=199)
+
+
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP2_SQL = f"""
@@ -110,5 +114,5 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_i
 least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least_of LEFT JOIN size USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeated_words, op3_shared_bytes, op4_token_output, op5_benchmark_leaks, op6_simhash, op7_secrets, op8_sentence_pieces, op9_token_lengths, op10_quality, op11_prefix_trie, op12_minhash)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeated_words, op3_shared_bytes, op4_token_output, op5_benchmark_leaks, op6_simhash, op7_secrets, op8_sentence_pieces, op9_token_lengths, op10_quality, op11_prefix_trie, op12_minhash, op13_spelling)}
 CHECKS = {"op2_repeated_words": OP2_SQL, "op10_quality": OP10_SQL, "op12_minhash": OP12_SQL}
