@@ -27,11 +27,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (shingles of five words, similarity of 0.8 or more)."""
-    groups = simhash.near_copies(docs)
+    """The first document of each group of SimHash links (three-word shingles, at most three differing bits).
+
+    Of rows that repeat an id, the one whose text all stages judge stays: that with the greatest text, then the greatest
+    other columns.
+    """
+    groups = simhash.near_duplicates(docs, shingle=3, budget=3)
     kept = _chosen(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    order = F.struct(F.coalesce("text", F.lit("")), "text", *[c for c in ("lang", "source", "n_chars") if c in kept.columns])
+    chosen = kept.groupBy("doc_id").agg(F.max_by(F.struct(*kept.columns), order).alias("row"))
+    return chosen.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
