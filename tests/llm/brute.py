@@ -118,21 +118,21 @@ def quality(text: str | None):
     return len(w), inside(8), inside(20), longest
 
 
-def near_copies(texts: dict[int, str | None], similarity: float, words: int):
-    """Smallest id of each group whose sets of word shingles are linked by their Jaccard similarity."""
+def linked_sets(texts: dict[int, str | None], percent: int, words: int):
+    """Number of distinct shingles and smallest id of the group of each text, by all pairs."""
     sets = {}
     for d, t in texts.items():
         w = (t or "").encode().lower().split()
         sets[d] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
     root = {d: d for d in texts}
-    pairs = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    pairs = [(a, b) for a in texts for b in texts if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in texts:
         before = dict(root)
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
         if root == before:
-            return root
-    return root
+            break
+    return {d: (len(sets[d]), root[d]) for d in texts}
 
 
 def prefix_trie(rows, period: int = 20, most: int = 4):

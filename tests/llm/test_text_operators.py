@@ -139,57 +139,6 @@ def test_links_find_all_components(spark, budget, agree, limit):
     assert found == {v: p for v, p in roots(near).items() if v in found} and len(found) == len({x for p in near for x in p})
 
 
-def test_near_copies(spark):
-    r = random.Random(9)
-    say = lambda n: ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
-    texts = {}
-    for base in range(40):
-        words = say(r.randint(100, 300))
-        for copy in range(r.choice([1, 1, 2, 5])):
-            changed = list(words)
-            for _ in range(copy * len(words) // 150):  # the fourth copy is no longer 0.8 like the first
-                changed[r.randrange(len(words))] = say(1)[0]
-            texts[len(texts)] = " ".join(changed)
-        texts[len(texts)] = "\n".join(words).upper()  # an exact copy but for case and white space
-    texts |= {900: None, 901: "", 902: "  ", 903: "two words", 904: "Two  words", 905: "other words", NO_ID: "nameless " * 9}
-    rows = [(None if d == NO_ID else d, t, 1) for d, t in texts.items()]
-    docs = spark.createDataFrame([*rows, *rows[:9]], "doc_id long, text string, same int")
-    want = brute.near_copies(texts, 0.8, 5)
-    for limit in (10_000, 2):
-        found = _by_id(simhash.near_copies(docs, node_limit=limit).select("doc_id", F.coalesce("component_id", F.lit(NO_ID))))
-        got = {d: v[0] for d, v in found.items()}
-        assert got.keys() == want.keys() and all(want[d] == want[c] and c <= d for d, c in got.items())
-        # fingerprints find candidates, so a link may be missed: nearly all texts are in the group that all pairs give
-        assert sum(want[d] == c for d, c in got.items()) >= 0.95 * len(want)
-        assert got[900] == got[901] == got[902] == 900 and got[903] == got[904] == 903 != got[905]
-    assert simhash.near_copies(docs.limit(0)).count() == 0
-
-
-def test_near_copies_around_one_text(spark):
-    r = random.Random(11)
-    words = [f"w{r.randrange(10**9)}" for _ in range(200)]
-    texts = {70: " ".join(words)}
-    for d in range(60):  # each 0.8 or more like text 70; most pairs of copies are not
-        changed = list(words)
-        for i in r.sample(range(200), 4):
-            changed[i] = f"x{d}n{i}"
-        texts[d] = " ".join(changed)
-    want = brute.near_copies(texts, 0.8, 5)
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == want and set(got.values()) == {0}
-
-
-def test_near_copies_with_blocks(spark):
-    r = random.Random(12)
-    say = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
-    texts = {}
-    for d in range(0, 80, 2):
-        texts[d] = " ".join(words := say(200))
-        texts[d + 1] = " ".join(words + say(45) if d % 4 else words[:80] + say(12) + words[92:])
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == brute.near_copies(texts, 0.8, 5) == {d: d - d % 2 for d in texts}
-
-
 def test_secrets(docs, keyed):
     got = _by_id(secrets.digests(secrets.find_secrets(docs, RANKS)))
     assert {d: v[:4] for d, v in got.items()} == {d: brute.base_secrets(t) for d, t in keyed.items()}

@@ -60,7 +60,7 @@ def op10_quality(spark, sf_dir):
 def op11_prefix_trie(spark, sf_dir):
     conv = F.col("conv_id")
     found = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return trie.prefix_trie(found, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4)
+    return trie.prefix_trie(found, conv - F.pmod(conv, F.lit(20)), F.crc32(conv.cast("string").cast("binary")) % 4)
 
 
 def op12_minhash(spark, sf_dir):

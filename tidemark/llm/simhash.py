@@ -8,8 +8,6 @@ one task are split into pairs of their grandchildren before, again only those wi
 
 A task returns a forest of its links, not all pairs: every link stays a path, so components are exact while a family of
 n copies gives n - 1 rows.
-
-`near_copies` does without fingerprints: it compares the sets of word shingles of texts that share one of their rarest.
 """
 
 from __future__ import annotations
@@ -22,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import pick_bounded
 from tidemark.llm.common import NO_ID, blocks, keyed, mixed, partitions, plain_id, stored
 
 SPLIT_BITS = 8
 NODE_LIMIT = 1_000_000  # fingerprints below one node that a task joins at once; larger nodes are split first
 FRONTIER = 1 << 18
-SAMPLE = 4_000  # documents from which near_copies takes the order of frequent shingles
 
 
 def simhash(words: list[bytes], n: int) -> np.ndarray:
@@ -260,118 +256,6 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 3, agr
     return prints.join(named, "fp").select(plain_id(), "fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
 
 
-def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    return [np.unique(simhash(t.as_py().lower().split(), n)) for t in texts.cast(pa.binary())]
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and shingles (distinct hashes) of keyed documents."""
-
-    def rows(batches):
-        for block in blocks(batches):
-            sets = [x.view(np.int64) for x in _sets(block.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
-
-    return docs.mapInArrow(rows, "doc_id long, shingles array<long>")
-
-
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that a sample of documents repeats, the rarest first. They only decide an order; no result depends on them."""
-    n = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
-    counted = shingle_sets(sample, words).select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 4")
-    rows = counted.orderBy(F.desc("count"), "s").limit(SAMPLE * 25).toPandas()
-    return rows["s"].to_numpy(np.int64)[::-1].copy()
-
-
-def prefixes(docs: DataFrame, words: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """doc_id, same (digest of the set of shingles), n (its size) and prefix: its first shingles in one order for all texts.
-
-    Sets of n and m shingles that are `similarity` alike share one of the n - ceil(similarity * n) + 1 first of either.
-    """
-    spark = docs.sparkSession
-    by_hash = np.argsort(frequent)
-    known = spark.sparkContext.broadcast((frequent[by_hash], by_hash + 1))
-
-    def rows(batches):
-        hashes, ranks = known.value
-        for block in blocks(batches):
-            sets = _sets(block.column("text"), words)
-            same = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
-            first = []
-            for x in (x.view(np.int64) for x in sets):
-                rank = np.zeros(len(x), np.int64)
-                if len(hashes) and len(x):
-                    at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
-                    rank = np.where(hashes[at] == x, ranks[at], 0)
-                size = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0
-                first.append(x[np.lexsort((x, rank))[:size]])
-            sizes = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), same, sizes, pa.array(first, pa.list_(pa.int64()))], ["doc_id", "same", "n", "prefix"])
-
-    return docs.mapInArrow(rows, "doc_id long, same binary, n int, prefix array<long>")
-
-
-def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """Group of near copies of each document: doc_id, component_id (smallest doc_id reachable).
-
-    Links hold between documents whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more;
-    each is compared exactly, and the groups are those that all pairs give. Only texts that share a shingle of their
-    prefixes can be alike. Per shingle a few heads are compared with the texts of other groups and leave the shingle; the
-    rest goes on to the next round with the groups found so far, until each shingle holds texts of one group only. A group
-    of n texts around one of them so gives a few times n comparisons. Equal sets are one text throughout.
-
-    Words are what lies between ASCII white space, A-Z lower-cased; a text with fewer words than a shingle is one
-    shingle, and texts without words (null and empty too) are equal. Repeated rows fold into one (`keyed`); a null
-    doc_id is a document of its own; an empty table gives an empty result. `node_limit` is taken for older callers only.
-    """
-    docs = keyed(documents)
-    prints = stored(prefixes(docs, words, similarity, frequent_shingles(docs, words)))
-    texts = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-
-    def alike(met: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Pairs of met (doc_id, at, head, head_at) to compare, and those of them that are linked."""
-        n, m = F.shiftright("at", 32), F.shiftright("head_at", 32)
-        left = F.least(n - F.col("at").bitwiseAND(0xFFFFFFFF), m - F.col("head_at").bitwiseAND(0xFFFFFFFF))  # shingles from the shared one on
-        near = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (left >= similarity / (1 + similarity) * (n + m) - 1e-9)
-        pairs = met.where(near).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = stored(shingle_sets(docs.join(involved, "doc_id", "left_semi"), words))
-        both = pairs.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
-        common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        return pairs, stored(both.where(common >= similarity * (F.size("shingles_a") + F.size("shingles_b") - common) - 1e-9).select("a", "b"))
-
-    # a posting is a shingle, its text, and in one number the size of the text's set and the place of the shingle
-    place = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at")
-    firsts = prints.join(texts.select("doc_id"), "doc_id", "left_semi")
-    each = firsts.select("doc_id", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "doc_id", place).repartition("s")
-    heads = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "at")).alias("x")).where("df > 1")
-    posts = stored(each.join(heads.select("s", "df", F.col("x.doc_id").alias("head"), F.col("x.at").alias("head_at")), "s").where("doc_id <> head"))
-    tested, linked = alike(posts, None)
-    posts, heads_each, roots = posts.where("df > 2").select("s", "doc_id", "at"), 8, None
-    while True:
-        if roots is None:
-            roots = stored(components(linked).withColumnRenamed("node", "doc_id"))
-        named = posts.join(roots, "doc_id", "left").select("s", "doc_id", "at", F.coalesce("root", "doc_id").alias("root"))
-        groups = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        posts = stored(named.join(groups.select("s"), "s", "left_semi"))
-        if posts.isEmpty():
-            break
-        # the smallest groups first, and of these the texts with the most shingles that others have
-        sizes, weights = posts.groupBy("s", "root").agg(F.count(F.lit(1)).alias("size")), posts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"))
-        ranked = posts.join(sizes, ["s", "root"]).join(weights, "doc_id")
-        heads = stored(pick_bounded(ranked, ["s"], [F.asc("size"), F.desc("weight"), F.asc("doc_id")], heads_each).select("s", F.col("doc_id").alias("head"), F.col("at").alias("head_at"), F.col("root").alias("own")))
-        pairs, new = alike(posts.join(heads, "s").where("root <> own"), tested)
-        tested = tested.union(pairs)
-        if not new.isEmpty():
-            linked, roots = linked.union(new), None
-        posts = posts.join(heads.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti").select("s", "doc_id", "at")
-        heads_each *= 8
-    named = texts.join(roots, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component"))
-    return prints.join(named, "same").select(plain_id(), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
-
-
 def hex_of(column: str):
     """16 lowercase hex digits of a long's 64 bits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
