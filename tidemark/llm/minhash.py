@@ -6,7 +6,9 @@ shingles needs about t log(t) / n rounds. Two bins hold the same with the Jaccar
 that do is concentrated as with t independent hashes.
 
 Texts whose bands agree share a bucket. Only repeated buckets go on, equal sets are one text throughout, and a bucket
-compares a few heads with the texts of other groups per round, until it holds texts of one group only.
+compares a few heads with the texts of other groups per round, until it holds texts of one group only. The first head is
+the text with most others around it. After that, shingles that no other open text has bound what two texts can share, which
+settles a family's outer copies without comparing them with each other.
 """
 
 from __future__ import annotations
@@ -128,6 +130,26 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return rows.mapInArrow(linked, "a long, b long")
 
 
+def _open(posts: DataFrame) -> DataFrame:
+    """Buckets that hold texts of several groups."""
+    return posts.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
+
+
+def lonely_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """doc_id and how many of its distinct shingles (`alone`) no other of the texts has."""
+
+    def exploded(batches):
+        known = WordHashes()
+        for block in blocks(batches):
+            sets = [shingle_set(t.as_py(), words, known) for t in block.column("text").cast(pa.binary())]
+            ids = np.repeat(block.column("doc_id").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+
+    each = texts.mapInArrow(exploded, "doc_id long, shingle long")
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1")
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group of near copies of each document: doc_id, n_shingles (size of its set), component_id (smallest doc_id
     reachable), kept (whether it is that document).
@@ -143,42 +165,53 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, ban
     docs = keyed(documents)
     prints = stored(sketches(docs, words, bands, rows))
     firsts = prints.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    each = prints.join(firsts.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("s"))
-    repeated = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("head")).where("df > 1")
+    each = prints.join(firsts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("s"))
+    repeated = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     posts = stored(each.join(repeated, "s"))
 
     # texts without a repeated bucket are alone; the others are written once for all rounds
     folder = f"{scratch_folder(documents.sparkSession)}/texts"
     docs.join(posts.select("doc_id").distinct(), "doc_id", "left_semi").write.parquet(folder)
     texts = documents.sparkSession.read.parquet(folder)
-    sizes = prints.select("doc_id", "n")
 
-    def new_links(met: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def new_links(posts: DataFrame, heads: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs of heads and posts of a bucket that are not tested yet and not out of reach, and those that are linked."""
+        most = F.least("shared", "head_shared")  # shingles that the two can have in common
+        met = posts.join(heads, "s").where((F.col("doc_id") != F.col("head")) & (F.col("root") != F.col("own")) & (100 * most >= percent * (F.col("n") + F.col("head_n") - most)))
         pairs = met.groupBy(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).agg(F.min("head").alias("head"))
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-        pairs = stored(pairs.where(F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")).select("a", "b", "head"))
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         other = F.when(F.col("head") == F.col("a"), F.col("b")).otherwise(F.col("a"))
         return pairs.select("a", "b"), stored(compare(pairs.select("head", other.alias("doc")), texts, words, percent))
 
-    tested, linked = new_links(posts.where("doc_id <> head"), None)
-    posts, heads_each, roots = posts.where("df > 2 AND doc_id <> head").select("s", "doc_id"), 8, None
+    # first the text of each bucket that has most others around it: in a family of copies that is their source
+    weight = posts.groupBy("doc_id").agg(F.sum("df").alias("weight"))
+    hubs = posts.join(weight, "doc_id").groupBy("s").agg(F.max(F.struct("weight", -F.col("doc_id"), "n")).alias("x"))
+    hubs = hubs.select("s", (-F.col("x")["col2"]).alias("head"), F.col("x.n").alias("head_n"), F.col("x.n").alias("head_shared"), (-F.col("x")["col2"]).alias("own"))
+    posts = posts.withColumns({"shared": F.col("n"), "root": F.col("doc_id")})
+    tested, linked = new_links(posts, hubs, None)
+    posts = posts.where("df > 2").join(hubs.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti")
+    heads_each, roots, counted = 8, None, False
     while True:
         if roots is None:
             roots = stored(components(linked).withColumnRenamed("node", "doc_id"))
-        named = posts.join(roots, "doc_id", "left").select("s", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        mixed_buckets = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
-        posts = stored(named.join(mixed_buckets, "s"))
+        posts = posts.select("s", "doc_id", "n", "shared").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        posts = stored(posts.join(_open(posts), "s"))
+        if not counted:  # what no other open text has can be in no pair's common part
+            counted = True
+            alone = stored(lonely_shingles(texts.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"), words))
+            posts = posts.join(alone, "doc_id", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("shared") >= percent * F.col("n"))
+            posts = stored(posts.drop("alone").join(_open(posts), "s"))
         if posts.isEmpty():
             break
         # texts of the smallest groups first: they have the most to be compared with
         group_sizes = posts.groupBy("s", "root").agg(F.count(F.lit(1)).alias("size"))
-        heads = stored(pick_bounded(posts.join(group_sizes, ["s", "root"]), ["s"], [F.asc("size"), F.asc(F.xxhash64("doc_id")), F.asc("doc_id")], heads_each).select("s", F.col("doc_id").alias("head"), F.col("root").alias("own")))
-        pairs, new = new_links(posts.join(heads, "s").where("root <> own").select("doc_id", "head"), tested)
+        ranked = pick_bounded(posts.join(group_sizes, ["s", "root"]), ["s"], [F.asc("size"), F.asc(F.xxhash64("doc_id")), F.asc("doc_id")], heads_each)
+        heads = stored(ranked.select("s", F.col("doc_id").alias("head"), F.col("n").alias("head_n"), F.col("shared").alias("head_shared"), F.col("root").alias("own")))
+        pairs, new = new_links(posts, heads, tested)
         tested = tested.union(pairs)
         if not new.isEmpty():
             linked, roots = linked.union(new), None
-        posts = posts.join(heads.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti").select("s", "doc_id")
+        posts = posts.join(heads.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti")
         heads_each *= 8
     named = firsts.join(roots, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component"))
     out = prints.join(named, "same", "left").withColumn("component", F.coalesce("component", "doc_id"))
