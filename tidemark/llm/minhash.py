@@ -7,8 +7,8 @@ that do is concentrated as with t independent hashes.
 
 Texts whose bands agree share a bucket. Only repeated buckets go on, equal sets are one text throughout, and a bucket
 compares a few heads with the texts of other groups per round, until it holds texts of one group only. The first head is
-the text with most others around it. After that, shingles that no other open text has bound what two texts can share, which
-settles a family's outer copies without comparing them with each other.
+the text with most others around it. How many shingles of each text fall into each of some hashed cells bounds what two
+texts can share, so the outer copies of a family, which are far from each other, are told apart without their texts.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from tidemark.llm.simhash import components
 from tidemark.session import scratch_folder
 
 BANDS, ROWS = 50, 6  # a link at 0.85 shares no band with a probability of (1 - 0.85**6)**50 = 5e-11
+CELLS = 128
 PAIRS_AT_ONCE = 512  # comparisons with one head that one task does at least; more are dealt out
 
 U = np.uint64
@@ -83,7 +84,10 @@ def bands_of(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (size of the set), same (digest of the set) and bands of keyed documents; no bands without shingles."""
+    """doc_id, n (size of the set), same (digest of the set), bands and cells of keyed documents; no bands without shingles.
+
+    cells: how many shingles fall into each of `CELLS` hashed cells, null for sets too large for short counts.
+    """
 
     def made(batches):
         known = WordHashes()
@@ -91,10 +95,11 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), words, known) for t in block.column("text").cast(pa.binary())]
             same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             keys = [bands_of(x, bands, rows).view(np.int64) if len(x) else [] for x in sets]
-            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", "n", "same", "bands"])
+            cells = [np.bincount((x % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int16) if len(x) < 1 << 15 else None for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", "n", "same", "bands", "cells"])
 
-    return docs.mapInArrow(made, "doc_id long, n long, same binary, bands array<long>")
+    return docs.mapInArrow(made, "doc_id long, n long, same binary, bands array<long>, cells array<short>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -130,24 +135,15 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return rows.mapInArrow(linked, "a long, b long")
 
 
-def _open(posts: DataFrame) -> DataFrame:
-    """Buckets that hold texts of several groups."""
-    return posts.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
-
-
-def lonely_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id and how many of its distinct shingles (`alone`) no other of the texts has."""
+def _alike_in_size(percent: int):
+    return 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
 
-    def exploded(batches):
-        known = WordHashes()
-        for block in blocks(batches):
-            sets = [shingle_set(t.as_py(), words, known) for t in block.column("text").cast(pa.binary())]
-            ids = np.repeat(block.column("doc_id").to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
 
-    each = texts.mapInArrow(exploded, "doc_id long, shingle long")
-    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1")
-    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+def _within_reach(percent: int):
+    """Whether two sets can be linked by their counts per cell: they share the lesser count of each cell at most."""
+    lesser = F.zip_with("cells", "head_cells", lambda x, y: F.least(x, y).cast("long"))
+    most = F.aggregate(lesser, F.lit(0).cast("long"), lambda total, x: total + x)
+    return _alike_in_size(percent) & F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("head_n")), F.lit(True))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -165,7 +161,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, ban
     docs = keyed(documents)
     prints = stored(sketches(docs, words, bands, rows))
     firsts = prints.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    each = prints.join(firsts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("s"))
+    each = prints.join(firsts.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band", "s"))
     repeated = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     posts = stored(each.join(repeated, "s"))
 
@@ -173,42 +169,38 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, ban
     folder = f"{scratch_folder(documents.sparkSession)}/texts"
     docs.join(posts.select("doc_id").distinct(), "doc_id", "left_semi").write.parquet(folder)
     texts = documents.sparkSession.read.parquet(folder)
+    facts = prints.select("doc_id", "n", "bands", "cells")
+    of_head = facts.toDF("head", "head_n", "head_bands", "head_cells")
 
-    def new_links(posts: DataFrame, heads: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Pairs of heads and posts of a bucket that are not tested yet and not out of reach, and those that are linked."""
-        most = F.least("shared", "head_shared")  # shingles that the two can have in common
-        met = posts.join(heads, "s").where((F.col("doc_id") != F.col("head")) & (F.col("root") != F.col("own")) & (100 * most >= percent * (F.col("n") + F.col("head_n") - most)))
-        pairs = met.groupBy(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).agg(F.min("head").alias("head"))
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        other = F.when(F.col("head") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-        return pairs.select("a", "b"), stored(compare(pairs.select("head", other.alias("doc")), texts, words, percent))
+    def linked_among(pairs: DataFrame) -> DataFrame:
+        return stored(compare(stored(pairs.select("head", "doc_id").withColumnRenamed("doc_id", "doc")), texts, words, percent))
 
     # first the text of each bucket that has most others around it: in a family of copies that is their source
     weight = posts.groupBy("doc_id").agg(F.sum("df").alias("weight"))
-    hubs = posts.join(weight, "doc_id").groupBy("s").agg(F.max(F.struct("weight", -F.col("doc_id"), "n")).alias("x"))
-    hubs = hubs.select("s", (-F.col("x")["col2"]).alias("head"), F.col("x.n").alias("head_n"), F.col("x.n").alias("head_shared"), (-F.col("x")["col2"]).alias("own"))
-    posts = posts.withColumns({"shared": F.col("n"), "root": F.col("doc_id")})
-    tested, linked = new_links(posts, hubs, None)
-    posts = posts.where("df > 2").join(hubs.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti")
-    heads_each, roots, counted = 8, None, False
+    hubs = posts.join(weight, "doc_id").groupBy("s").agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("head"))
+    met = posts.join(hubs, "s").where("doc_id <> head").select("head", "doc_id").distinct()
+    linked = linked_among(met.join(of_head, "head").join(facts, "doc_id").where(_within_reach(percent)))
+    posts = posts.where("df > 2").join(hubs.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti").select("s", "band", "doc_id")
+    heads_each, roots = 8, None
     while True:
         if roots is None:
             roots = stored(components(linked).withColumnRenamed("node", "doc_id"))
-        posts = posts.select("s", "doc_id", "n", "shared").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        posts = stored(posts.join(_open(posts), "s"))
-        if not counted:  # what no other open text has can be in no pair's common part
-            counted = True
-            alone = stored(lonely_shingles(texts.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"), words))
-            posts = posts.join(alone, "doc_id", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("shared") >= percent * F.col("n"))
-            posts = stored(posts.drop("alone").join(_open(posts), "s"))
+        named = posts.select("s", "band", "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        open_ = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
+        posts = stored(named.join(open_, "s"))
         if posts.isEmpty():
             break
         # texts of the smallest groups first: they have the most to be compared with
         group_sizes = posts.groupBy("s", "root").agg(F.count(F.lit(1)).alias("size"))
         ranked = pick_bounded(posts.join(group_sizes, ["s", "root"]), ["s"], [F.asc("size"), F.asc(F.xxhash64("doc_id")), F.asc("doc_id")], heads_each)
-        heads = stored(ranked.select("s", F.col("doc_id").alias("head"), F.col("n").alias("head_n"), F.col("shared").alias("head_shared"), F.col("root").alias("own")))
-        pairs, new = new_links(posts, heads, tested)
-        tested = tested.union(pairs)
+        heads = stored(ranked.select("s", F.col("doc_id").alias("head"), F.col("root").alias("own"), F.col("_rn").alias("turn")))
+        # two heads of a bucket meet once, and two texts only in the first band that they share
+        turns = heads.select("s", F.col("head").alias("doc_id"), F.col("turn").alias("other_turn"))
+        others = posts.join(turns, ["s", "doc_id"], "left").join(facts, "doc_id")
+        once = F.coalesce(F.col("turn") < F.col("other_turn"), F.lit(True))
+        first_band = F.array_position(F.zip_with("head_bands", "bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+        met = others.join(heads.join(of_head, "head"), "s").where((F.col("root") != F.col("own")) & once & _alike_in_size(percent) & first_band & _within_reach(percent))
+        new = linked_among(met)
         if not new.isEmpty():
             linked, roots = linked.union(new), None
         posts = posts.join(heads.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti")
