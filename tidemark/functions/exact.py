@@ -48,59 +48,44 @@ def pick_bounded(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 
 def ranked_values(
-    df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], accuracy: int = 10000
+    df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], small: int = 4096, buckets: int = 1024
 ) -> DataFrame:
-    """Exact order statistics per group, without sorting a whole group in one task.
-
-    `shares` maps an output name to p: the value at 0-based rank floor(n * p),
-    never past the last row. In a large group a quantile sketch brackets each
-    rank first; it is off by at most n / accuracy ranks, so the bracket always
-    holds the wanted value. Equal values are counted before the shuffle, values
-    below the bracket are only counted, and the few inside it are ranked. The
-    brackets (one row per group) are written out once, so that a task that runs
-    again sees the same ones.
+    """Exact order statistics per group, without sorting a group or shuffling its values.
+
+    `shares` maps an output name to p: the value at 0-based rank floor(n * p), never past the last row. Each rank has a
+    range of values, at first the whole group's. Tasks count the rows of a range per equal part of it; the part that holds
+    the rank is the next range, with its least and greatest value as ends. A range of one value is the answer, one of
+    `small` rows at most is sorted. So a round shuffles counts only, whatever the group's size, and each scan of the rows
+    keeps those inside open ranges. Ranges are written out each round, so that a task that runs again sees the same ones.
+    Nulls do not count; NaN is the greatest value.
     """
-    keys = list(keys)
-    names = list(shares)
-    slack = 3.0 / accuracy
-    known = df.filter(F.col(value).isNotNull())
-    grid = []
-    for name in names:
-        grid += [max(0.0, shares[name] - slack), min(1.0, shares[name] + slack)]
-    marks = durable(
-        known.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, grid, accuracy).alias("_grid")
-        )
+    keys, by = list(keys), [*keys, "what"]
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    ranks = [F.struct(F.lit(name).alias("what"), F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1).alias("rank")) for name, p in shares.items()]
+    open_ = durable(groups.select(*keys, "n", "lo", "hi", F.explode(F.array(*ranks)).alias("_r")).select(*keys, "n", "lo", "hi", "_r.*"))
+    wide = (F.col("lo") != F.col("hi")) & (F.col("n") > small)
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        return null_safe_join(known, ranges, keys).filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+
+    low, high, v = (F.col(c).cast("double") for c in ("lo", "hi", "_v"))
+    unbounded = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    part = (
+        F.when(unbounded(high), (F.col("_v") == F.col("hi")).cast("int"))
+        .when(unbounded(low), (F.col("_v") != F.col("lo")).cast("int"))
+        .when(high <= low, (F.col("_v") > F.col("lo")).cast("int"))  # different values that are one double
+        .otherwise(F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * buckets).cast("int"))
     )
-    large = F.col("_n") > accuracy
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("what"),
-                F.least(F.floor(F.col("_n") * F.lit(shares[name])), F.col("_n") - 1).alias("rank"),
-                F.when(large, F.get("_grid", F.lit(2 * i))).alias("lo"),
-                F.when(large, F.get("_grid", F.lit(2 * i + 1))).alias("hi"),
-            )
-            for i, name in enumerate(names)
-        ]
-    )
-    counted = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    spread = (
-        null_safe_join(counted, marks, keys)
-        .select(*keys, "_v", "_c", F.explode(brackets).alias("_m"))
-        .select(*keys, "_v", "_c", "_m.*")
-        .filter(F.coalesce(F.col("_v") <= F.col("hi"), F.lit(True)))
-        .withColumn("_in", F.coalesce(F.col("_v") >= F.col("lo"), F.lit(True)))
-    )
-    by = [*keys, "what"]
-    offsets = spread.groupBy(*by).agg(F.coalesce(F.sum(F.when(~F.col("_in"), F.col("_c"))), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (
-        null_safe_join(spread.filter("_in"), offsets, by)
-        .withColumn("_upto", F.col("_off") + F.sum("_c").over(w))
-        .filter((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c")))
-    )
-    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == name, F.col("_v"))).alias(name) for name in names])
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_part"))  # at most `buckets` + 1 rows a range
+    while not open_.filter(wide).isEmpty():
+        counts = inside(open_.filter(wide)).groupBy(*by, "rank", part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        held = counts.withColumn("_upto", upto).filter((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c")))
+        narrowed = held.select(*keys, F.col("_c").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "what", (F.col("rank") - F.col("_upto") + F.col("_c")).alias("rank"))
+        open_ = durable(narrowed.unionByName(open_.filter(~wide)))
+    several = inside(open_.filter("lo <> hi")).groupBy(*by, "rank").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+    hit = several.select(*by, F.get("_all", F.col("rank").cast("int")).alias("_v")).unionByName(open_.filter("lo = hi").select(*by, F.col("lo").alias("_v")))
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == name, F.col("_v"))).alias(name) for name in shares])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], coarse: Sequence[str], unique: str, name: str = "position") -> DataFrame:

@@ -81,50 +81,60 @@ def downstream_status(nodes: DataFrame, edges: DataFrame, states: DataFrame) ->
     )
 
 
+def spread_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Least label that reaches each node along (src, dst) edges: node, depth, label.
+
+    `labels` holds (node, label), at depth 0. Labels are ordered by depth, then by value, and a node keeps the least of
+    all that reach it. A node takes its label in the round of its depth, so it sends it on once: all rounds together read
+    each edge once and keep one row a node, however many labels there are. Rounds go on until nothing new is reached.
+    """
+    frontier = durable(labels.groupBy("node").agg(F.min("label").alias("label")).select("node", F.lit(0).cast("bigint").alias("depth"), "label"))
+    seen = frontier
+    for depth in count(1):
+        met = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        met = met.select("node", F.lit(depth).cast("bigint").alias("depth"), "label")
+        frontier = durable(met.join(seen.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
 def resolve_dependencies(rules: DataFrame, depends: DataFrame) -> DataFrame:
     """Rules that stay after dropping those with a missing dependency, direct or not.
 
     `rules` holds (node), `depends` holds (child, parent). A cycle drops nothing;
-    the status tells the first missing name.
+    the status tells the first missing name of the nearest rule that lacks one.
     """
     known = rules.select(F.col("node").alias("parent"))
-    broken = depends.join(known, "parent", "left_anti").groupBy("child").agg(F.min("parent").alias("missing"))
+    broken = depends.join(known, "parent", "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("label"))
     up = depends.join(known, "parent", "left_semi").select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    walk = reachable(up, broken.select(F.col("child").alias("node")))
-    dropped = (
-        walk.join(broken.withColumnRenamed("child", "start"), "start").groupBy("node").agg(
-            F.min(F.struct("depth", "missing")).alias("_b")
-        )
-    )
+    dropped = spread_labels(durable(up.distinct()), broken)
     return rules.join(dropped, "node", "left").select(
         "node",
-        F.col("_b").isNull().alias("is_kept"),
-        F.col("_b.missing").alias("missing"),
-        F.when(F.col("_b.depth") == 0, "MISSING_DEPENDENCY").when(F.col("_b").isNotNull(), "DEPENDS_ON_DROPPED").otherwise("OK").alias("status"),
+        F.col("depth").isNull().alias("is_kept"),
+        F.col("label").alias("missing"),
+        F.when(F.col("depth") == 0, "MISSING_DEPENDENCY").when(F.col("depth") > 0, "DEPENDS_ON_DROPPED").otherwise("OK").alias("status"),
     )
 
 
 def load_order(rules: DataFrame, depends: DataFrame) -> DataFrame:
     """Level of each rule: one above its deepest dependency; rules on a cycle get none.
 
-    Each round settles the rules whose dependencies are all settled.
+    Each rule counts the dependencies it still waits for. A round settles the rules that wait for none and takes them off
+    the counts of those that depend on them: one checkpoint, each edge used once.
     """
-    open_edges = depends.join(rules.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
-    open_nodes = rules.select("node").distinct()
+    nodes = rules.select("node").distinct()
+    edges = durable(depends.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent").distinct())
+    waits = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+    state = durable(nodes.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
     done = None
     for level in count():
-        ready = durable(
-            open_nodes.join(open_edges.select(F.col("child").alias("node")), "node", "left_anti").withColumn(
-                "level", F.lit(level).cast("bigint")
-            )
-        )
+        ready = state.filter("waits = 0")
         if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        settled = ready.select("node")
-        open_nodes = open_nodes.join(settled, "node", "left_anti")
-        if level % 4 == 3:
-            open_nodes, done = durable(open_nodes), durable(done)
-        open_edges = durable(open_edges.join(settled.withColumnRenamed("node", "parent"), "parent", "left_anti"))
-    rest = open_nodes.withColumn("level", F.lit(None).cast("bigint"))
-    return rest if done is None else done.unionByName(rest)
+            rest = state.select("node", F.lit(None).cast("bigint").alias("level"))
+            return rest if done is None else done.unionByName(rest)
+        settled = ready.select("node", F.lit(level).cast("bigint").alias("level"))
+        done = settled if done is None else done.unionByName(settled)
+        fewer = edges.join(ready.select(F.col("node").alias("parent")), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("fewer"))
+        left = state.filter("waits > 0").join(fewer, "node", "left")
+        state = durable(left.select("node", (F.col("waits") - F.coalesce("fewer", F.lit(0))).alias("waits")))

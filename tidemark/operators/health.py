@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import broadcast_if_small, money, percent, pick_bounded, rounded
+from tidemark.functions.exact import money, percent, pick_bounded, rounded
+from tidemark.functions.literals import fitting_pairs, required_literals
 
 # Operations that are never run on their own.
 BLOCKED = (
@@ -45,16 +46,14 @@ def detect_failures(history: DataFrame, known: DataFrame, as_of: str, hours: int
 def match_runbook(failures: DataFrame, runbook: DataFrame) -> DataFrame:
     """Surest runbook entry for each failure.
 
-    Failures share few texts, so each distinct (text, type) is matched once
-    against the small runbook, and the result joined back.
+    Failures share few texts, so each distinct text is tried once, with the
+    patterns whose literals it holds, and the result joined back.
     """
     texts = failures.select("error_message", "object_type").distinct()
-    book = broadcast_if_small(runbook)
-    fits = F.expr("error_message rlike error_pattern") & (
-        (F.col("book_type") == "ALL") | (F.col("book_type") == F.col("object_type"))
-    )
+    pairs = fitting_pairs(failures, "error_message", runbook, "error_pattern", required_literals(F.col("error_pattern")), F.expr("error_message rlike error_pattern"))
+    of_type = (F.col("book_type") == "ALL") | (F.col("book_type") == F.col("object_type"))
     best = (
-        texts.join(book.withColumnRenamed("object_type", "book_type"), fits)
+        texts.join(pairs, "error_message").join(runbook.withColumnRenamed("object_type", "book_type"), "error_pattern").filter(of_type)
         .groupBy("error_message", "object_type")
         .agg(
             F.min_by(
@@ -195,28 +194,28 @@ def expire_reviews(reviews: DataFrame, as_of: str, hours: int = 24) -> DataFrame
 def learn_patterns(reviews: DataFrame, runbook: DataFrame, min_fixes: int = 2) -> DataFrame:
     """Manual fixes of like errors that no runbook entry covers yet."""
     pattern = F.regexp_replace(F.regexp_replace("error_message", r"'[^']*'", "'.*'"), r"\d+", r"\\d+")
-    known = runbook.select("error_pattern")
     found = (
         reviews.filter((F.col("review_status") == "APPROVED") & F.col("error_message").isNotNull())
         .groupBy(pattern.alias("candidate_pattern"), "object_type")
         .agg(F.count(F.lit(1)).alias("fixes"), F.min("error_message").alias("sample_message"))
         .filter(F.col("fixes") >= min_fixes)
     )
-    return found.join(broadcast_if_small(known), F.expr("sample_message rlike error_pattern"), "left_anti")
+    covered = fitting_pairs(found, "sample_message", runbook, "error_pattern", required_literals(F.col("error_pattern")), F.expr("sample_message rlike error_pattern"))
+    return found.join(covered.select("sample_message").distinct(), "sample_message", "left_anti").select(found.columns)
 
 
 def change_impact(changes: DataFrame, objects: DataFrame, usage: DataFrame) -> DataFrame:
     """Severity of each announced change for each object it may touch.
 
-    `changes` is a short list (change_id, keyword, category_type); `objects` holds
+    `changes` holds (change_id, keyword, category_type); `objects` holds
     (object_name, object_type, definition), `usage` (keyword, executions). A keyword
     in the definition is critical, a type match or mere usage a warning.
     """
-    c = broadcast_if_small(changes)
-    exact = objects.join(c, F.expr("contains(upper(definition), upper(keyword))")).select(
+    holds = fitting_pairs(objects, "definition", changes, "keyword", F.array(F.upper("keyword")), F.expr("contains(upper(definition), upper(keyword))"), F.upper("definition"))
+    exact = objects.join(holds, "definition").join(changes, "keyword").select(
         "change_id", "object_name", F.lit(2).alias("_s"), F.concat(F.lit("definition holds "), F.col("keyword")).alias("evidence")
     )
-    by_type = objects.join(c, F.col("object_type") == F.col("category_type")).select(
+    by_type = objects.join(changes, F.col("object_type") == F.col("category_type")).select(
         "change_id", "object_name", F.lit(1).alias("_s"), F.concat(F.lit("feature area "), F.col("category_type")).alias("evidence")
     )
     used = changes.join(usage.filter("executions > 0"), "keyword").select(

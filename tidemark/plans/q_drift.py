@@ -127,12 +127,12 @@ def _observed(t):
     e = F.col("event_id")
     bad = F.col("event_type") == "error"
     return t.table("events").select(
-        "ts", F.when(bad, "ERROR").otherwise("OK").alias("status"), F.concat(F.lit("question "), (F.col("user_id") % 30).cast("string")).alias("question"),
+        "ts", F.when(bad, "ERROR").otherwise("OK").alias("status"), F.concat(F.lit("question "), F.when(F.col("user_id") % 3 == 0, "and then " * 30).otherwise(""), (F.col("user_id") % 30).cast("string")).alias("question"),
         F.when(bad | (e % 40 == 0), pick(["timeout", "bad reply", "no access"], e)).alias("error_message"), pick(["sql", "search", "chart"], F.col("user_id") + e).alias("tool_name"),
     )
 
 
-_OBS = f"""obs AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status, 'question ' || CAST(user_id % 30 AS VARCHAR) AS question,
+_OBS = f"""obs AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status, 'question ' || CASE WHEN user_id % 3 = 0 THEN repeat('and then ', 30) ELSE '' END || CAST(user_id % 30 AS VARCHAR) AS question,
   CASE WHEN event_type = 'error' OR event_id % 40 = 0 THEN {sql_pick(["timeout", "bad reply", "no access"], "event_id")} END AS error_message,
   {sql_pick(["sql", "search", "chart"], "user_id + event_id")} AS tool_name FROM events)"""
 _ERR = "count(*) FILTER (status = 'ERROR')"
@@ -145,7 +145,7 @@ def _(t):
 
 @query(
     "unanswered_intents",
-    f"""WITH {_OBS}, g AS (SELECT left(question, 200) AS sample_question, status, error_message, count(*) AS occurrence_count FROM obs WHERE status = 'ERROR' OR error_message IS NOT NULL GROUP BY 1, 2, 3)
+    f"""WITH {_OBS}, g AS (SELECT question AS sample_question, status, error_message, count(*) AS occurrence_count FROM obs WHERE status = 'ERROR' OR error_message IS NOT NULL GROUP BY 1, 2, 3)
     SELECT *, CASE WHEN occurrence_count >= 10 THEN 'HIGH' WHEN occurrence_count >= 3 THEN 'MED' ELSE 'LOW' END AS priority FROM g ORDER BY occurrence_count DESC, sample_question, status, error_message NULLS FIRST LIMIT 20""",
 )
 def _(t):

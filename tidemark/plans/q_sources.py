@@ -154,8 +154,9 @@ def telemetry(t):
     p AS (SELECT '.flag' AS path, 'BOOLEAN' AS value_type, count(*) FILTER (e % 4 = 0) AS occurrences, 1 AS depth FROM e UNION ALL SELECT '.flag', 'STRING', count(*) FILTER (e % 4 > 0), 1 FROM e
       UNION ALL SELECT '.id', 'BIGINT', count(*), 1 FROM e UNION ALL SELECT '.user', 'OBJECT', count(*), 1 FROM e UNION ALL SELECT '.tags', 'ARRAY', count(*) FILTER (e % 3 > 0), 1 FROM e
       UNION ALL SELECT '.rare', 'BIGINT', count(*) FILTER (u % 50 = 0), 1 FROM e UNION ALL SELECT '.user.id', 'BIGINT', count(*), 2 FROM e UNION ALL SELECT '.user.info', 'OBJECT', count(*), 2 FROM e
-      UNION ALL SELECT '.tags[]', 'STRING', 2 * count(*) FILTER (e % 3 > 0), 2 FROM e UNION ALL SELECT '.user.info.kind', 'STRING', count(*), 3 FROM e UNION ALL SELECT '.user.info.more', 'OBJECT', count(*), 3 FROM e)
-    SELECT path, value_type, occurrences, CAST(depth AS BIGINT) AS depth FROM p WHERE occurrences >= (SELECT count(*) FROM e) * 0.1""",
+      UNION ALL SELECT '.tags[]', 'STRING', 2 * count(*) FILTER (e % 3 > 0), 2 FROM e UNION ALL SELECT '.user.info.kind', 'STRING', count(*), 3 FROM e UNION ALL SELECT '.user.info.more', 'OBJECT', count(*), 3 FROM e
+      UNION ALL SELECT '.user.info.more.deep', 'BIGINT', count(*), 4 FROM e)
+    SELECT path, value_type, occurrences, CAST(depth AS BIGINT) AS depth FROM p WHERE occurrences > 0""",
 )
 def _(t):
     return R.json_paths(telemetry(t), "body")

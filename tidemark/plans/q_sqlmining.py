@@ -57,7 +57,7 @@ _PATTERNS = f"""
      min(user_name) AS sample_user, count(*) AS execution_count, count(DISTINCT user_name) AS distinct_users,
      min(start_time) AS first_seen, max(start_time) AS last_seen
      FROM query_log WHERE {since("start_time")} GROUP BY 1
-     HAVING length(arg_min(query_text, query_id)) > 50 AND length(arg_min(query_text, query_id)) < 10000
+     HAVING length(arg_min(query_text, query_id)) > 50
        AND upper(arg_min(query_text, query_id)) LIKE '%SELECT%')
 """
 _DOMAIN_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(tt), '{w}') THEN '{n}'" for n, w in X.DOMAIN_WORDS) + " ELSE 'OTHER' END"

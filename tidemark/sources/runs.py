@@ -87,32 +87,48 @@ def dataset_diff(test: DataFrame, baseline: DataFrame, sample: int | None = None
     return total.unionByName(differing)
 
 
+def nesting(text: Column) -> Column:
+    """How deep a JSON text nests objects and arrays: brackets outside of strings, counted up and down."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "")
+    steps = F.transform(F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), ""), lambda x: F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["most"], a["now"] + x).alias("most")))["most"]
+
+
 def json_paths(df: DataFrame, column: str, max_depth: int | None = None, min_share: float | None = None, max_keys: int | None = None) -> DataFrame:
     """Paths of a JSON text column with value type and count, from the whole column.
 
-    If given: paths in fewer rows than the share and deeper than the depth are dropped; at most
-    `max_keys` top-level keys stay, the most frequent ones.
+    One scan finds the deepest nesting, a second one takes all values apart, level by level within a task. A container
+    hands the note that it was there to its first child, so that each value is written once and nothing is kept between
+    levels. If given: paths in fewer rows than the share and deeper than the depth are dropped; at most `max_keys`
+    top-level keys stay, the most frequent ones.
     """
     spark = df.sparkSession
-    level = df.select(F.try_parse_json(column).alias("v")).filter(F.col("v").isNotNull()).select(F.lit("").alias("prefix"), F.lit("").alias("head"), "v")
-    found, depth = None, 0
-    while depth != max_depth and (depth == 0 or not level.isEmpty()):
-        depth += 1
+    parsed = df.select(F.col(column).alias("text"), F.try_parse_json(column).alias("v")).filter(F.col("v").isNotNull())
+    deepest = parsed.agg(F.max(nesting(F.col("text")))).first()[0] or 0
+    entry = F.struct("path", "head", value_type(F.col("v")).alias("value_type"), F.col("depth").cast("bigint").alias("depth"))
+    nothing = F.lit(None).cast("string")
+    rows = parsed.select("v", nothing.alias("path"), nothing.alias("head"), F.lit(0).alias("depth"))
+    rows = rows.withColumn("noted", F.filter(F.array(entry), lambda x: F.lit(False)))
+    for level in range(1, (deepest if max_depth is None else min(deepest, max_depth)) + 1):
         step = F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[]"))
-        items = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
-            F.concat("prefix", step).alias("prefix"), (step if depth == 1 else F.col("head")).alias("head"), F.col("value").alias("v")
+        down = F.col("value").isNotNull()  # a JSON null is a value
+        noted = F.when(~down, F.col("noted")).when(F.col("pos") > 0, F.slice("noted", 1, 0)).when(F.col("depth") > 0, F.array_append("noted", entry)).otherwise(F.col("noted"))
+        rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.when(F.col("depth") == level - 1, F.col("v")).outer())).select(
+            F.coalesce("value", "v").alias("v"),
+            F.when(down, F.concat(F.coalesce("path", F.lit("")), step)).otherwise(F.col("path")).alias("path"),
+            (F.when(down, step).otherwise(nothing) if level == 1 else F.col("head")).alias("head"),
+            F.when(down, level).otherwise(F.col("depth")).alias("depth"),
+            noted.alias("noted"),
         )
-        counted = items.groupBy(F.col("prefix").alias("path"), "head", value_type(F.col("v")).alias("value_type")).agg(F.count(F.lit(1)).alias("occurrences")).withColumn("depth", F.lit(depth).cast("bigint"))
-        found = counted if found is None else found.unionByName(counted)
-        level = items.filter(value_type(F.col("v")).isin("OBJECT", "ARRAY"))
-        if max_depth is None:
-            level = durable(level)
+    all_of_row = F.when(F.col("depth") > 0, F.array_append("noted", entry)).otherwise(F.col("noted"))
+    counted = rows.select(F.explode(all_of_row).alias("e")).select("e.*").groupBy("path", "head", "value_type", "depth").agg(F.count(F.lit(1)).alias("occurrences"))
     if min_share is not None:
-        found = found.filter(F.col("occurrences") >= df.select(F.count(F.try_parse_json(column))).scalar() * min_share)
+        counted = counted.filter(F.col("occurrences") >= df.select(F.count(F.try_parse_json(column))).scalar() * min_share)
     if max_keys is not None:
-        top = found.filter("depth = 1").groupBy("head").agg(F.sum("occurrences").alias("_n")).orderBy(F.desc("_n"), "head").limit(max_keys).select("head")
-        found = found.join(F.broadcast(top), "head", "left_semi")  # at most max_keys rows
-    return found.groupBy("path", "value_type", "depth").agg(F.sum("occurrences").alias("occurrences")).select("path", "value_type", "occurrences", "depth")
+        top = counted.filter("depth = 1").groupBy("head").agg(F.sum("occurrences").alias("_n")).orderBy(F.desc("_n"), "head").limit(max_keys).select("head")
+        counted = counted.join(F.broadcast(top), "head", "left_semi")  # at most max_keys rows
+    return counted.groupBy("path", "value_type", "depth").agg(F.sum("occurrences").alias("occurrences")).select("path", "value_type", "occurrences", "depth")
 
 
 def value_type(v: Column) -> Column:
