@@ -34,13 +34,16 @@ class Runs:
     places: np.ndarray  # of each window among all symbols of the block
     symbols: np.ndarray  # hashes of words, or bytes
     firsts: np.ndarray  # where each text's symbols begin
+    others: np.ndarray  # a second hash of words, independent of the first
 
 
-def runs_of(column: pa.Array, words: bool, width: int, k: int) -> Runs:
+def runs_of(column: pa.Array, words: bool, width: int, k: int, twice: bool = False) -> Runs:
     data, ends = flat(column)
+    others = np.zeros(0, np.uint64)
     if words:
         starts, stops, firsts = words_of(data, ends)
         symbols = values = word_hashes(data, starts, stops)
+        others = word_hashes(data, starts, stops, 1) if twice else others
     else:
         symbols, values, firsts = data, _BYTES[data], ends
     hashes = window_hashes(values, k)
@@ -51,7 +54,7 @@ def runs_of(column: pa.Array, words: bool, width: int, k: int) -> Runs:
     new = np.ones(len(chosen), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (docs[1:] != docs[:-1])
     at = np.flatnonzero(new)
-    return Runs(hashes[chosen[at]], np.diff(np.append(at, len(chosen))), docs[at], places, symbols, firsts)
+    return Runs(hashes[chosen[at]], np.diff(np.append(at, len(chosen))), docs[at], places, symbols, firsts, others)
 
 
 def packed(ids: np.ndarray, owner: np.ndarray, bucket: np.ndarray, columns: list[np.ndarray], parts: int):

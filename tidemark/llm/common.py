@@ -116,28 +116,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-def rolling(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of value * base**i, and the inverse powers, for hashes of any span."""
-    up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return sums, down
+_NEAR = 64  # letters of a word whose values are kept in a table
 
 
-def span_hash(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U))
+@functools.lru_cache(4)
+def _letter_values(seed: int) -> np.ndarray:
+    return mixed(mixed(np.arange(_NEAR * 256, dtype=U) + U(seed << 56)) + _WORD_BASE)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    sums, down = rolling(_BYTES[data], _WORD_BASE)
-    return span_hash(sums, down, starts, stops)
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits per word: the sum of a random value for each byte at its place in the word.
+
+    A polynomial modulo 2**64 would give some words of regular structure one hash, whatever its base.
+    """
+    lengths = stops - starts
+    at = expand(starts, lengths)
+    place = (np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(U)
+    code = (place << U(8)) | data[at]
+    values = np.empty(len(code), U)
+    near = place < _NEAR
+    values[near] = _letter_values(seed)[code[near].astype(np.int64)]
+    if not near.all():
+        values[~near] = mixed(mixed(code[~near] + U(seed << 56)) + _WORD_BASE)
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values, out=sums[1:])
+    ends = np.cumsum(lengths)
+    return mixed(sums[ends] - sums[ends - lengths] + lengths.astype(U))
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     """Hash of each `width` consecutive values; windows that cross texts are there too."""
     if len(values) < width:
         return np.zeros(0, U)
-    sums, down = rolling(values, _TEXT_BASE)
+    up, down = powers(_TEXT_BASE, len(values) + 1)
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
     return mixed((sums[width:] - sums[:-width]) * down[: len(values) - width + 1])
 
 

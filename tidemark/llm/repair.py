@@ -1,8 +1,9 @@
 """Token ids in shards, compressed by a Re-Pair grammar, with access to any document.
 
 A shard holds the documents of a range of ids. Its ids are one sequence in which frequent pairs of neighbours are
-replaced by nonterminals, round after round. A round splits the symbols into left and right ones at random and replaces
-all frequent pairs of a left and a right symbol at once, which cannot overlap. A shard stores the sequence, the rules, the expansion length of each rule, and for each document its first symbol.
+replaced by nonterminals, round after round. A round first halves runs of one symbol, then splits the symbols into left and
+right ones at random and replaces all frequent pairs of a left and a right symbol at once, which cannot overlap. It stops
+after `ROUNDS` rounds or `MAX_RULES` rules: more of them would save little for their time. A shard stores the sequence, the rules, the expansion length of each rule, and for each document its first symbol.
 No replacement crosses a document's end, since the end id never enters a rule; so a document is decoded by itself.
 """
 
@@ -27,11 +28,35 @@ MIN_COUNT, MAX_RULES, ROUNDS = 16, 1 << 15, 10
 SHARD = "part int, shard int, n_tokens long, doc_ids binary, firsts binary, sizes binary, sequence binary, rules binary, lengths binary, base int"
 
 
+def _halved_runs(sequence: np.ndarray, rules: np.ndarray, base: int, end: int, min_count: int):
+    """Pairs of one symbol twice: in each run of equal symbols every second one goes, until no such pair is frequent."""
+    while len(sequence) > 1:
+        twin = (sequence[1:] == sequence[:-1]) & (sequence[1:] != end)
+        at = np.flatnonzero(twin)
+        if len(at) < min_count:
+            break
+        begins = np.r_[True, np.diff(at) > 1]
+        hit = at[(at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0]
+        symbols, place, counts = np.unique(sequence[hit], return_inverse=True, return_counts=True)
+        often = counts >= min_count
+        if not often.any():
+            break
+        hit, place = hit[often[place]], (np.cumsum(often) - 1)[place][often[place]]
+        sequence = sequence.copy()
+        sequence[hit] = base + len(rules) + place
+        keep = np.ones(len(sequence), bool)
+        keep[hit + 1] = False
+        sequence = sequence[keep]
+        rules = np.concatenate([rules, np.stack([symbols[often]] * 2, 1)])
+    return sequence, rules
+
+
 def compress(ids: np.ndarray, end: int = END, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES, rounds: int = ROUNDS):
     """Sequence, rules (left, right), expansion lengths and the first nonterminal. The limits bound time, not what is stored."""
     base = int(ids.max(initial=0)) + 1
     sequence, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
     for turn in range(rounds):
+        sequence, rules = _halved_runs(sequence, rules, base, end, min_count)
         if len(sequence) < 2 or len(rules) >= max_rules:
             break
         # symbols that may stand left, others right: pairs of one round cannot overlap
@@ -85,7 +110,7 @@ def shards(documents: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, end:
             ids, counts, docs, have = [], [], [], 0
             for block in blocks([batch]):
                 some, n = table.encode(block.column("text").to_pylist())
-                out = np.full(len(some) + len(n), end, np.int64)
+                out = np.full(len(some) + len(n), end, np.int32)
                 out[np.arange(len(some)) + np.repeat(np.arange(len(n)), n)] = some
                 ids.append(out)
                 counts.append(n + 1)
@@ -96,6 +121,7 @@ def shards(documents: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, end:
                     ids, counts, docs, have = [], [], [], 0
             if docs:
                 yield _shard(part, next(shard), ids, counts, docs, end)
+        table.clear()  # the worker may go on to other tasks
 
     docs = keyed(documents)
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")

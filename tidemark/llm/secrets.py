@@ -9,6 +9,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ NOT_KEY[[*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, "+/_=-")]] =
 DIGEST = re.compile(rb"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 UUID = re.compile(rb"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(rb"(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[+/_=-]*")
+LETTERS = re.compile(rb"[A-Za-z]+")
 MIN_RANDOM, MAX_RATIO = 20, 2.2
 
 
@@ -56,10 +59,16 @@ def _long_runs(data: np.ndarray, ends: np.ndarray, outside: np.ndarray, least: i
 
 
 def is_random(run: bytes, path: str, max_ratio: float) -> bool:
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    """Whether a run of key characters has few characters per token, and is no digest and no identifier made of words."""
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return False
+    tokens = _encoding(path).encode_ordinary
+    if IDENTIFIER.fullmatch(run):  # the shape alone does not make one: its letters must be words by the same measure
+        words = [w.decode() for w in LETTERS.findall(run)]
+        if sum(map(len, words)) >= max_ratio * sum(min(len(tokens(w)), len(tokens(" " + w))) for w in words):
+            return False
     text = run.decode()
-    return len(text) < max_ratio * len(_encoding(path).encode_ordinary(text))
+    return len(text) < max_ratio * len(tokens(text))
 
 
 def spans_of(text: bytes, hex_runs, key_runs, path: str, max_ratio: float) -> list[tuple[int, int, int]]:
@@ -68,7 +77,14 @@ def spans_of(text: bytes, hex_runs, key_runs, path: str, max_ratio: float) -> li
     if b"AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     base += [(a, 2, b) for a, b in hex_runs]
-    more = [(a, 3, b) for a, b in key_runs if is_random(text[a:b], path, max_ratio) and not any(s < b and a < e for s, _, e in base)]
+    base.sort()
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
+    def meets_base(a: int, b: int) -> bool:
+        before = bisect_left(starts, b)
+        return before > 0 and reach[before - 1] > a
+
+    more = [(a, 3, b) for a, b in key_runs if not meets_base(a, b) and is_random(text[a:b], path, max_ratio)]
     return sorted(base + more)
 
 

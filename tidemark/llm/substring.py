@@ -37,13 +37,13 @@ def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
             found = []
             base = 0
             for block in blocks([batch]):
-                runs = runs_of(block.column("text"), True, width, k)
+                runs = runs_of(block.column("text"), True, width, k, twice=True)
                 keep = np.repeat(flagged(runs, block, parts), runs.lengths)
                 places = runs.places[keep]
                 counts = np.maximum(np.diff(runs.firsts) - width + 1, 0)
                 owner = np.repeat(np.arange(len(counts)), counts)[keep]
                 low = window_hashes(runs.symbols, width)[places]
-                high = (window_hashes(runs.symbols * U(0xC2B2AE3D27D4EB4F) + U(1), width)[places] >> U(32)).astype(np.uint32)
+                high = (window_hashes(runs.others, width)[places] >> U(32)).astype(np.uint32)
                 found.append((owner + base, (places - runs.firsts[owner]).astype(np.uint32), low, high))
                 base += block.num_rows
             if base:

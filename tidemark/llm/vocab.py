@@ -16,7 +16,7 @@ import numpy as np
 
 from tidemark.llm.common import expand
 
-LIMIT = 500_000
+LIMIT = 200_000
 
 
 class _Places(dict):
