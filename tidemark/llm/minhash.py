@@ -7,8 +7,8 @@ that do is concentrated as with t independent hashes.
 
 Texts whose bands agree share a bucket. Only repeated buckets go on, equal sets are one text throughout, and a bucket
 compares a few heads with the texts of other groups per round, until it holds texts of one group only. The first head is
-the text with most others around it. How many shingles of each text fall into each of some hashed cells bounds what two
-texts can share, so the outer copies of a family, which are far from each other, are told apart without their texts.
+the text with most others around it. Whether an odd number of a text's shingles falls into each of some hashed cells bounds
+what two texts can share, so the outer copies of a family, which are far from each other, are told apart without their texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from tidemark.llm.simhash import components
 from tidemark.session import scratch_folder
 
 BANDS, ROWS = 50, 6  # a link at 0.85 shares no band with a probability of (1 - 0.85**6)**50 = 5e-11
-CELLS = 128
+PARITY = 16  # 64-bit words of cells whose count is odd or even
+FIRST_HEADS = 256
 PAIRS_AT_ONCE = 512  # comparisons with one head that one task does at least; more are dealt out
 
 U = np.uint64
@@ -84,9 +85,9 @@ def bands_of(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (size of the set), same (digest of the set), bands and cells of keyed documents; no bands without shingles.
+    """doc_id, n (size of the set), same (digest of the set), bands and parity of keyed documents; no bands without shingles.
 
-    cells: how many shingles fall into each of `CELLS` hashed cells, null for sets too large for short counts.
+    parity: for each of 64 * `PARITY` hashed cells whether an odd number of shingles falls into it.
     """
 
     def made(batches):
@@ -95,11 +96,11 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), words, known) for t in block.column("text").cast(pa.binary())]
             same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             keys = [bands_of(x, bands, rows).view(np.int64) if len(x) else [] for x in sets]
-            cells = [np.bincount((x % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int16) if len(x) < 1 << 15 else None for x in sets]
-            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", "n", "same", "bands", "cells"])
+            odd = [np.packbits(np.bincount((x % U(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1).view(np.int64) for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", "n", "same", "bands", "parity"])
 
-    return docs.mapInArrow(made, "doc_id long, n long, same binary, bands array<long>, cells array<short>")
+    return docs.mapInArrow(made, "doc_id long, n long, same binary, bands array<long>, parity array<long>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,15 +136,11 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return rows.mapInArrow(linked, "a long, b long")
 
 
-def _alike_in_size(percent: int):
-    return 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
-
-
 def _within_reach(percent: int):
-    """Whether two sets can be linked by their counts per cell: they share the lesser count of each cell at most."""
-    lesser = F.zip_with("cells", "head_cells", lambda x, y: F.least(x, y).cast("long"))
-    most = F.aggregate(lesser, F.lit(0).cast("long"), lambda total, x: total + x)
-    return _alike_in_size(percent) & F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("head_n")), F.lit(True))
+    """Whether two sets can be linked by their sizes and parities: a cell of other parity holds a shingle of one set only."""
+    n, m = F.col("n"), F.col("head_n")
+    apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("head_parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -161,7 +158,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, ban
     docs = keyed(documents)
     prints = stored(sketches(docs, words, bands, rows))
     firsts = prints.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    each = prints.join(firsts.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band", "s"))
+    each = prints.join(firsts.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("s"))
     repeated = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     posts = stored(each.join(repeated, "s"))
 
@@ -169,23 +166,26 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, ban
     folder = f"{scratch_folder(documents.sparkSession)}/texts"
     docs.join(posts.select("doc_id").distinct(), "doc_id", "left_semi").write.parquet(folder)
     texts = documents.sparkSession.read.parquet(folder)
-    facts = prints.select("doc_id", "n", "bands", "cells")
-    of_head = facts.toDF("head", "head_n", "head_bands", "head_cells")
+    facts = prints.select("doc_id", "n", "parity")
+    of_head = facts.toDF("head", "head_n", "head_parity")
 
-    def linked_among(pairs: DataFrame) -> DataFrame:
-        return stored(compare(stored(pairs.select("head", "doc_id").withColumnRenamed("doc_id", "doc")), texts, words, percent))
+    def linked_among(met: DataFrame) -> DataFrame:
+        """Links among pairs (head, doc_id) that have met in any number of buckets, in either order."""
+        pairs = met.groupBy(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).agg(F.min("head").alias("head"))
+        pairs = stored(pairs.select("head", F.when(F.col("head") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc")))
+        return stored(compare(pairs, texts, words, percent))
 
     # first the text of each bucket that has most others around it: in a family of copies that is their source
     weight = posts.groupBy("doc_id").agg(F.sum("df").alias("weight"))
     hubs = posts.join(weight, "doc_id").groupBy("s").agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("head"))
     met = posts.join(hubs, "s").where("doc_id <> head").select("head", "doc_id").distinct()
     linked = linked_among(met.join(of_head, "head").join(facts, "doc_id").where(_within_reach(percent)))
-    posts = posts.where("df > 2").join(hubs.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti").select("s", "band", "doc_id")
-    heads_each, roots = 8, None
+    posts = posts.where("df > 2").join(hubs.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti").select("s", "doc_id")
+    heads_each, roots = FIRST_HEADS, None
     while True:
         if roots is None:
             roots = stored(components(linked).withColumnRenamed("node", "doc_id"))
-        named = posts.select("s", "band", "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        named = posts.select("s", "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         open_ = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
         posts = stored(named.join(open_, "s"))
         if posts.isEmpty():
@@ -193,18 +193,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85, ban
         # texts of the smallest groups first: they have the most to be compared with
         group_sizes = posts.groupBy("s", "root").agg(F.count(F.lit(1)).alias("size"))
         ranked = pick_bounded(posts.join(group_sizes, ["s", "root"]), ["s"], [F.asc("size"), F.asc(F.xxhash64("doc_id")), F.asc("doc_id")], heads_each)
-        heads = stored(ranked.select("s", F.col("doc_id").alias("head"), F.col("root").alias("own"), F.col("_rn").alias("turn")))
-        # two heads of a bucket meet once, and two texts only in the first band that they share
-        turns = heads.select("s", F.col("head").alias("doc_id"), F.col("turn").alias("other_turn"))
-        others = posts.join(turns, ["s", "doc_id"], "left").join(facts, "doc_id")
-        once = F.coalesce(F.col("turn") < F.col("other_turn"), F.lit(True))
-        first_band = F.array_position(F.zip_with("head_bands", "bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-        met = others.join(heads.join(of_head, "head"), "s").where((F.col("root") != F.col("own")) & once & _alike_in_size(percent) & first_band & _within_reach(percent))
+        heads = stored(ranked.select("s", F.col("doc_id").alias("head"), F.col("root").alias("own")))
+        met = posts.join(facts, "doc_id").join(heads.join(of_head, "head"), "s").where((F.col("root") != F.col("own")) & _within_reach(percent))
         new = linked_among(met)
         if not new.isEmpty():
             linked, roots = linked.union(new), None
         posts = posts.join(heads.select("s", F.col("head").alias("doc_id")), ["s", "doc_id"], "left_anti")
-        heads_each *= 8
+        heads_each *= FIRST_HEADS
     named = firsts.join(roots, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component"))
     out = prints.join(named, "same", "left").withColumn("component", F.coalesce("component", "doc_id"))
     return out.select(plain_id(), F.col("n").alias("n_shingles"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), (F.col("component") == F.col("doc_id")).alias("kept"))

@@ -16,7 +16,7 @@ import numpy as np
 
 from tidemark.llm.common import expand
 
-LIMIT = 200_000
+LIMIT = 400_000
 
 
 class _Places(dict):
