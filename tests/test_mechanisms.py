@@ -166,3 +166,22 @@ def test_json_paths_of_odd_values(spark):
     assert json_paths(df.limit(0), "body").count() == 0
     depths = [x[0] for x in df.select(nesting(F.col("body"))).where("body IS NOT NULL").collect()]
     assert max(depths) >= max(k[2] for k in want) and not re.search("Checkpoint|Scan ExistingRDD.*value", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_index_answers_as_the_plain_search(spark, tmp_path):
+    from tidemark.operators.retrieval import build_index, search, search_many
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(["the"] * r.randint(1, 4) + r.choices(words, [1 / (i + 1) for i in range(300)], k=r.randint(0, 60))) for _ in range(400)] + ["", None, "the " * 500, texts_twice := "w1 w2 rare", texts_twice]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    asked = {1: "the w5 W5, w250", 2: "the", 3: "rare", 4: "unknown words only", 5: "", 6: " ".join(words[:40]), 7: None, 8: "w299 the w0 w1"}
+    index = build_index(docs, "id", "text", str(tmp_path / "index"))
+    for k in (3, 10):
+        got = {}
+        for x in search_many(index, spark.createDataFrame(list(asked.items()), "q long, text string"), "q", "text", k).collect():
+            got.setdefault(x.q, set()).add((x.id, x.score))
+        want = {q: {(x.id, x.score) for x in search(docs, "id", "text", t, k).collect()} for q, t in asked.items() if t and t not in ("unknown words only",)}
+        assert got == {q: v for q, v in want.items() if v}
+    empty = build_index(docs.limit(0), "id", "text", str(tmp_path / "none"))
+    assert search_many(empty, spark.createDataFrame([(1, "the")], "q long, text string"), "q", "text").count() == 0
