@@ -116,6 +116,35 @@ def _(t):
     return finished(t, W.stream_error_rate(live(t).table("events"), F.col("event_type") == "error")).withColumn("window_start", utc("window_start"))
 
 
+@query(
+    "stream_tool_error_rate",
+    """WITH e AS (SELECT ts, event_type, CASE (user_id + event_id) % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'search' ELSE 'chart' END AS tool_name FROM events)
+    SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, tool_name, count(*) AS total_requests, count(*) FILTER (event_type = 'error') AS error_count,
+      round(count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*), 1) AS error_pct FROM e GROUP BY date_trunc('day', ts), tool_name
+    HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(x.ts) - INTERVAL 1 HOUR FROM events x)""",
+)
+def _(t):
+    k = (F.col("user_id") + F.col("event_id")) % 3
+    events = live(t).table("events").withColumn("tool_name", F.when(k == 0, "sql").when(k == 1, "search").otherwise("chart"))
+    return finished(t, W.stream_error_rate(events, F.col("event_type") == "error", by=["tool_name"])).withColumn("window_start", utc("window_start"))
+
+
+@query(
+    "stream_object_freshness",
+    """WITH l AS (SELECT object_name, CASE WHEN hash_of % 3 > 0 THEN (1 + hash_of % 3) * 7200 END AS gap FROM (SELECT DISTINCT object_name, length(object_name) + ascii(right(object_name, 1)) AS hash_of FROM run_history)),
+    h AS (SELECT object_name, ts, to_seconds(coalesce(gap, 86400)) AS gap FROM run_history JOIN l USING (object_name)),
+    o AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + gap OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY object_name ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY object_name ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o),
+    g AS (SELECT object_name, count(*) AS runs, min(ts) AS first_seen, max(ts) + any_value(gap) AS silent_from FROM s GROUP BY object_name, k)
+    SELECT * FROM g WHERE silent_from <= (SELECT max(ts) - INTERVAL 1 HOUR FROM run_history)""",
+    ("run_history",),
+)
+def _(t):
+    code = F.length("object_name") + F.ascii(F.right("object_name", F.lit(1)))
+    lags = t.run_history.select("object_name").distinct().filter(code % 3 > 0).select("object_name", ((1 + code % 3) * 2400).alias("target_lag_seconds"))
+    return finished(t, W.stream_freshness(live(t).run_history, lags=lags)).withColumns({"first_seen": utc("first_seen"), "silent_from": utc("silent_from")})
+
+
 @query("stream_triage", QUERIES["triage"].sql.replace("schema_name = 'CORE'", "false"), QUERIES["triage"].uses)
 def _(t):
     objects = triage_objects(t)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import percent
 from tidemark.operators.catalog import delta_upsert
 from tidemark.operators.watch import triage
 
@@ -54,12 +55,19 @@ def stream_breaker(failures: DataFrame, threshold: int = 10, loops: int = 3, att
     )
 
 
-def stream_freshness(history: DataFrame, target_lag: str = "8 hours", k: int = 3, delay: str = "1 hour") -> DataFrame:
-    """Objects that stayed silent for longer than k times their target lag: a closed session is the alert."""
+def stream_freshness(history: DataFrame, target_lag: str = "8 hours", k: int = 3, delay: str = "1 hour", lags: DataFrame | None = None) -> DataFrame:
+    """Objects that stayed silent for longer than k times their target lag: a closed session is the alert.
+
+    `lags` holds (object_name, target_lag_seconds), one row per object; `target_lag` is for those that it lacks. Each
+    row brings its object's gap, so a session ends by the lag of its own object.
+    """
     amount, unit = target_lag.split(" ", 1)
-    gap = f"{int(amount) * k} {unit}"
+    gap, rows = F.lit(f"{int(amount) * k} {unit}"), event_time(history, delay=delay)
+    if lags is not None:
+        rows = rows.join(lags.select("object_name", (F.col("target_lag_seconds") * k).cast("bigint").alias("_gap")), "object_name", "left")
+        gap = F.coalesce(F.concat(F.col("_gap").cast("string"), F.lit(" seconds")), gap)
     return (
-        event_time(history, delay=delay).groupBy(F.session_window("ts", gap).alias("s"), "object_name").agg(F.count(F.lit(1)).alias("runs"))
+        rows.groupBy(F.session_window("ts", gap).alias("s"), "object_name").agg(F.count(F.lit(1)).alias("runs"))
         .select("object_name", "runs", F.col("s.start").alias("first_seen"), F.col("s.end").alias("silent_from"))
     )
 
@@ -74,13 +82,18 @@ def stream_run_pairs(starts: DataFrame, ends: DataFrame, bound: str = "24 hours"
     )
 
 
-def stream_error_rate(events: DataFrame, is_error: Column, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Requests and errors per window of event time; rows later than the watermark are dropped and counted by Spark."""
-    return (
-        event_time(events, delay=delay).groupBy(F.window("ts", window).alias("w"))
-        .agg(F.count(F.lit(1)).alias("total_requests"), F.count_if(is_error).alias("error_count"))
-        .select(F.col("w.start").alias("window_start"), "total_requests", "error_count")
-    )
+def stream_error_rate(events: DataFrame, is_error: Column, window: str = "1 day", delay: str = "1 hour", by: Sequence[str] = (), unique: Sequence[str] = ()) -> DataFrame:
+    """Requests, errors and their share per window of event time, and per value of the columns `by`.
+
+    Rows later than the watermark are left out. If `unique` names the columns that tell rows apart, repeated rows count
+    once and late ones are dropped row by row, so that `run_counted` gives their exact number.
+    """
+    rows = event_time(events, delay=delay).withColumn("_bad", is_error)
+    if unique:
+        rows = rows.dropDuplicatesWithinWatermark(list(unique))
+    counted = rows.groupBy(F.window("ts", window).alias("w"), *by).agg(F.count(F.lit(1)).alias("total_requests"), F.count_if("_bad").alias("error_count"))
+    share = [percent(F.col("error_count"), F.col("total_requests")).alias("error_pct")] if by else []
+    return counted.select(F.col("w.start").alias("window_start"), *by, "total_requests", "error_count", *share)
 
 
 def stream_triage(objects: DataFrame, known: DataFrame) -> DataFrame:
@@ -125,3 +138,21 @@ def _version(spark: SparkSession, path: str, before: int) -> DataFrame | None:
 def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
     """Process all input there is, write it as parquet, and stop."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_counted(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """`run_available`, and a row per batch: batch_id, input_rows, late_rows.
+
+    late_rows are those that the first stateful step found behind the watermark and dropped; later steps drop none
+    besides. A batch of every file needs maxFilesPerTrigger = 1 at the source.
+    """
+    spark, kept = stream.sparkSession, "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, str(1 << 20))  # a few hundred bytes a batch, until the query ends
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(kept, before)
+    rows = [(p.batchId, p.numInputRows, sum(o.numRowsDroppedByWatermark for o in p.stateOperators)) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint, late_rows bigint").groupBy("batch_id").agg(F.max("input_rows").alias("input_rows"), F.max("late_rows").alias("late_rows"))
