@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,32 +117,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-_NEAR = 64  # letters of a word whose values are kept in a table
-
-
-@functools.lru_cache(4)
-def _letter_values(seed: int) -> np.ndarray:
-    return mixed(mixed(np.arange(_NEAR * 256, dtype=U) + U(seed << 56)) + _WORD_BASE)
+LONG_WORD = 256
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64 bits per word: the sum of a random value for each byte at its place in the word.
+    """64 bits per word, mixed from eight bytes at a time; long words by XXH64.
 
     A polynomial modulo 2**64 would give some words of regular structure one hash, whatever its base.
     """
     lengths = stops - starts
-    at = expand(starts, lengths)
-    place = (np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(U)
-    code = (place << U(8)) | data[at]
-    values = np.empty(len(code), U)
-    near = place < _NEAR
-    values[near] = _letter_values(seed)[code[near].astype(np.int64)]
-    if not near.all():
-        values[~near] = mixed(mixed(code[~near] + U(seed << 56)) + _WORD_BASE)
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum(values, out=sums[1:])
-    ends = np.cumsum(lengths)
-    return mixed(sums[ends] - sums[ends - lengths] + lengths.astype(U))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mixed(lengths.astype(U) + U(seed << 56) + _WORD_BASE)
+    words, done = np.flatnonzero(lengths <= LONG_WORD), 0
+    while len(words):
+        left = lengths[words] - done
+        part = eight[starts[words] + done]
+        part &= ~U(0) >> (U(64) - U(8) * np.minimum(left, 8).astype(U))
+        out[words] = mixed(out[words] * _TEXT_BASE + part)
+        words, done = words[left > 8], done + 8
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : stops[i]].tobytes(), seed)
+    return out
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
