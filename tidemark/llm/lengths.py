@@ -24,7 +24,7 @@ def token_counts(documents: DataFrame, path: str) -> DataFrame:
         table = byte_bpe(path)
         for batch in batches:
             for block in blocks([batch]):
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(table.encode(block.column("text").to_pylist())[1])], ["doc_id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(table.encode(block.column("text"))[1])], ["doc_id", "n_tokens"])
 
     return keyed(documents).mapInArrow(rows, "doc_id long, n_tokens long")
 

@@ -108,8 +108,8 @@ def shards(documents: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, end:
         shard = count()
         for batch in batches:
             ids, counts, docs, have = [], [], [], 0
-            for block in blocks([batch]):
-                some, n = table.encode(block.column("text").to_pylist())
+            for block in blocks([batch], shard_bytes):
+                some, n = table.encode(block.column("text"))
                 out = np.full(len(some) + len(n), end, np.int32)
                 out[np.arange(len(some)) + np.repeat(np.arange(len(n)), n)] = some
                 ids.append(out)
@@ -121,7 +121,7 @@ def shards(documents: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, end:
                     ids, counts, docs, have = [], [], [], 0
             if docs:
                 yield _shard(part, next(shard), ids, counts, docs, end)
-        table.clear()  # the worker may go on to other tasks
+        table.trim()  # the worker may go on to other tasks
 
     docs = keyed(documents)
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")

@@ -2,7 +2,7 @@
 
 Byte-level BPE never joins a space with what stands before it, and piece BPE never joins a space into the middle of a
 piece. Texts are therefore cut before single spaces and line ends, each distinct piece is encoded once in a worker, and the ids of a
-text are gathered from the table. The table is emptied when it has grown to `LIMIT` pieces, so memory is bounded.
+text are gathered from the table. When the table has grown to `LIMIT` pieces, the quarter used most stays, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm.common import expand
 
-LIMIT = 400_000
+LIMIT = 300_000
+PLAIN = re.compile(r"\n?\S+")  # pieces with white space only before them
+SPACE = "Ġ"  # a space in the names of byte-level tokens
 
 
 class _Places(dict):
@@ -42,7 +46,21 @@ class Table:
     def clear(self) -> None:
         self.n, self.new = 0, []
         self.first, self.rest = _Places(self, False), _Places(self, True)
-        self.ids, self.starts, self.counts, self.unsafe = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids, self.starts, self.counts, self.unsafe, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def trim(self, most: int = LIMIT // 4) -> None:
+        """Leaves the pieces used most, and none that was used once; older uses count half from then on."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[:most])
+        stay = stay[self.uses[stay] > 1]
+        place = np.full(self.n, -1)
+        place[stay] = np.arange(len(stay))
+        for known in (self.first, self.rest):
+            left = [(piece, p) for piece, old in known.items() if (p := int(place[old])) >= 0]
+            known.clear()
+            known.update(left)
+        self.n, self.ids = len(stay), self.ids[expand(self.starts[stay], self.counts[stay])]
+        self.counts, self.unsafe, self.uses = self.counts[stay], self.unsafe[stay], self.uses[stay] // 2
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def _learn(self) -> None:
         if not self.new:
@@ -51,7 +69,8 @@ class Table:
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
         self.counts = np.append(self.counts, counts)
         self.ids = np.append(self.ids, ids.astype(np.int32))
-        self.unsafe = np.append(self.unsafe, np.fromiter((self.unsafe_piece(*x) for x in self.new), bool, len(self.new)))
+        self.unsafe = np.append(self.unsafe, [self.unsafe_piece(*x) for x in self.new])
+        self.uses = np.append(self.uses, np.zeros(len(self.new), np.int64))
         self.new = []
 
     def _places(self, pieces: list[str]) -> list[int]:
@@ -59,27 +78,53 @@ class Table:
         places.insert(0, self.first[pieces[0]])
         return places
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all pieces of texts that are not empty, and how many each has; a piece is looked up once a call."""
+        if texts.nbytes >= 1 << 30:
+            texts = texts.cast(pa.large_string())  # line ends grow by a space
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = lists.flatten().dictionary_encode()
+        codes, names = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False)
+        begins = np.cumsum(sizes) - sizes
+        later = np.ones(len(codes), bool)
+        later[begins] = False
+        places = np.zeros(len(codes), np.int64)
+        for known, where in ((self.first, ~later), (self.rest, later)):
+            some = np.flatnonzero(np.bincount(codes[where], minlength=len(names)))
+            place = np.zeros(len(names), np.int64)
+            place[some] = list(map(known.__getitem__, names[some].tolist()))
+            places[where] = place[codes[where]]
+        return places, sizes
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and how many each has."""
         if self.n > LIMIT:
-            self.clear()
-        lists = [self._places(t.replace("\n", " \n").split(" ")) if t else [] for t in texts]
+            self.trim()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        totals = np.zeros(len(texts), np.int64)
+        some = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        if not len(some):
+            return np.zeros(0, np.int32), totals
+        texts = texts.take(pa.array(some))
+        places, sizes = self._cut(texts)
         self._learn()
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        places = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-        odd = np.zeros(len(lists), bool)
-        some = np.flatnonzero(sizes)
-        odd[some] = np.logical_or.reduceat(self.unsafe[places], (np.cumsum(sizes) - sizes)[some]) if len(some) else False
+        begins = np.cumsum(sizes) - sizes
+        odd = np.logical_or.reduceat(self.unsafe[places], begins)
         if odd.any():
-            for i in np.flatnonzero(odd):
-                lists[i] = self._places(self.split(texts[i]))
+            again = [self._places(self.split(texts[i].as_py())) for i in np.flatnonzero(odd).tolist()]
             self._learn()
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            places = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+            fresh = sizes.copy()
+            fresh[odd] = list(map(len, again))
+            at = np.cumsum(fresh) - fresh
+            all_places = np.zeros(int(fresh.sum()), np.int64)
+            all_places[expand(at[~odd], sizes[~odd])] = places[expand(begins[~odd], sizes[~odd])]
+            all_places[expand(at[odd], fresh[odd])] = np.fromiter(chain.from_iterable(again), np.int64)
+            places, begins = all_places, at
+        self.uses += np.bincount(places, minlength=self.n)
         counts = self.counts[places]
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.cumsum(sizes)
-        return self.ids[expand(self.starts[places], counts)], sums[ends] - sums[ends - sizes]
+        totals[some] = np.add.reduceat(counts, begins)
+        return self.ids[expand(self.starts[places], counts)], totals
 
 
 @functools.cache
@@ -93,25 +138,35 @@ def byte_bpe(path: str) -> Table:
     line_end = tokenizer.encode("\n", add_special_tokens=False).ids
     if len(line_end) != 1:
         raise ValueError("a line end is not one token")
+    vocabulary = tokenizer.get_vocab()
+    after_line = np.zeros(max(vocabulary.values()) + 1, bool)
+    after_line[line_end[0]] = True
+    after_space = np.zeros(len(after_line), bool)
+    after_space[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def encode_pieces(pieces):
-        # pieces without white space are encoded in one go, a line end before each; the rest one by one
-        lines = np.fromiter((p[:1] == "\n" for p, _ in pieces), bool, len(pieces))
-        plain = [p[1:] if p[:1] == "\n" else p for p, _ in pieces]
-        easy = np.fromiter((len(p.split()) == 1 and p == p.strip() for p in plain), bool, len(plain))
+        # pieces without white space are encoded in one go; the space or line end before each tells where it begins
+        lines = np.array([p[:1] == "\n" for p, _ in pieces], bool)
+        spaced = np.array([s for _, s in pieces], bool) & ~lines
+        easy = np.array([bool(PLAIN.fullmatch(p)) for p, _ in pieces], bool)
         counts = np.zeros(len(pieces), np.int64)
-        flat = []
-        at = np.flatnonzero(easy)
-        for begin in range(0, len(at), 20_000):
-            some = at[begin : begin + 20_000]
-            text = "".join([("\n " if pieces[i][1] and not lines[i] else "\n") + plain[i] for i in some.tolist()])
-            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == line_end[0])
-            own = lines[some]  # the line end before such a piece is its own
-            counts[some] = np.diff(np.append(ends, len(ids))) - ~own
-            flat.append(np.delete(ids, ends[~own]))
+        flat, order = [], []
+        for mark, begins, own, chosen in ((" ", after_space, True, spaced), ("\n", after_line, True, lines), ("\n", after_line, False, ~spaced & ~lines)):
+            at = np.flatnonzero(easy & chosen)
+            for begin in range(0, len(at), 20_000):
+                some = at[begin : begin + 20_000]
+                names = [pieces[i][0] for i in some.tolist()]
+                text = "".join(names) if mark == "\n" and own else mark + mark.join(names)
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                starts = np.flatnonzero(begins[ids])
+                if len(starts) != len(some):
+                    raise ValueError("the tokens of a piece cannot be told from the next")
+                counts[some] = np.diff(np.append(starts, len(ids))) - (not own)
+                flat.append(ids if own else np.delete(ids, starts))
+                order.append(some)
+        at = np.concatenate([*order, np.zeros(0, np.int64)])
         hard = np.flatnonzero(~easy)
-        found = [e.ids for e in tokenizer.encode_batch_fast([" " + pieces[i][0] if pieces[i][1] and not lines[i] else pieces[i][0] for i in hard.tolist()], add_special_tokens=False)]
+        found = [e.ids for e in tokenizer.encode_batch_fast([" " + pieces[i][0] if spaced[i] else pieces[i][0] for i in hard.tolist()], add_special_tokens=False)]
         counts[hard] = np.fromiter(map(len, found), np.int64, len(found))
         out = np.zeros(int(counts.sum()), np.int32)
         starts = np.cumsum(counts) - counts
@@ -121,6 +176,6 @@ def byte_bpe(path: str) -> Table:
 
     def unsafe(piece, spaced):
         # a line end may begin a piece, with the text after it at once
-        return not piece or piece[-1].isspace() or spaced and piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())
+        return not PLAIN.fullmatch(piece) and (not piece or piece[-1].isspace() or spaced and piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace()))
 
     return Table(encode_pieces, unsafe, re.compile(r"(?<=\S) (?=\S)").split)
