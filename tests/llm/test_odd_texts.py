@@ -8,8 +8,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidemark.llm import html, quality, repair, secrets, simhash, substring
+from tidemark.llm import html, quality, repair, secrets, simhash, substring, vocab
 from tidemark.llm.common import BLOCK, NO_ID, word_hashes, words_of
 
 RANKS, BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -91,3 +92,20 @@ def test_runs_of_one_id_are_compressed():
     ids = np.array([*[9] * 100_000, 2, *[9] * 777, 2, *[5, 5, 6] * 400, 2], np.int32)
     sequence, rules, lengths, base = repair.compress(ids)
     assert len(sequence) < 700 and (repair.expanded(sequence, rules, lengths, base) == ids).all()
+
+
+def test_piece_table_gives_the_ids_of_whole_texts(monkeypatch):
+    """Any mix of white space, signs and letters, with a table that is full time and again."""
+    table, library = vocab.byte_bpe(BPE), Tokenizer.from_file(BPE)
+    monkeypatch.setattr(vocab, "LIMIT", 500)
+    r = random.Random(3)
+    signs = [*"ab'sABé ß \n\n\t  ,.!%1239　\xa0中\x85😀", "<|endoftext|>", "'re", "hello", "µm.", "x'", "\n\nword,"]
+    for _ in range(100):
+        texts = ["".join(r.choices(signs, k=r.randint(0, 40))) for _ in range(20)]
+        ids, counts = table.encode(texts)
+        whole = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, whole))
+        assert ids.tolist() == sum(whole, [])
+    table.trim(10)
+    assert table.n <= 10 and len(table.first) + len(table.rest) == table.n
+    table.clear()

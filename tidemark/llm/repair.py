@@ -54,7 +54,7 @@ def _halved_runs(sequence: np.ndarray, rules: np.ndarray, base: int, end: int, m
 def compress(ids: np.ndarray, end: int = END, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES, rounds: int = ROUNDS):
     """Sequence, rules (left, right), expansion lengths and the first nonterminal. The limits bound time, not what is stored."""
     base = int(ids.max(initial=0)) + 1
-    sequence, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
+    sequence, rules = ids.astype(np.int32), np.zeros((0, 2), np.int64)
     for turn in range(rounds):
         sequence, rules = _halved_runs(sequence, rules, base, end, min_count)
         if len(sequence) < 2 or len(rules) >= max_rules:
@@ -63,7 +63,10 @@ def compress(ids: np.ndarray, end: int = END, min_count: int = MIN_COUNT, max_ru
         left = (mixed(np.arange(base + len(rules), dtype=np.uint64) + np.uint64(turn << 32)) & np.uint64(1)).astype(bool)
         may = left[sequence]
         at = np.flatnonzero(may[:-1] & ~may[1:] & (sequence[:-1] != end) & (sequence[1:] != end))
-        key = (sequence[at] << 32) | sequence[at + 1]
+        key = (sequence[at].astype(np.int64) << 32) | sequence[at + 1]
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        full = np.bincount(slot, minlength=1 << 20)[slot] >= min_count  # a pair is no more frequent than its slot
+        at, key = at[full], key[full]
         pairs, counts = np.unique(key, return_counts=True)
         often = counts >= min_count
         pairs, counts = pairs[often], counts[often]

@@ -20,6 +20,7 @@ from tidemark.llm.common import expand
 
 LIMIT = 300_000
 PLAIN = re.compile(r"\n?\S+")  # pieces with white space only before them
+WORD_AND_SIGNS = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
 SPACE = "Ġ"  # a space in the names of byte-level tokens
 
 
@@ -37,10 +38,14 @@ class _Places(dict):
 
 
 class Table:
-    """Ids by piece. encode_pieces(list of (piece, stands after a space)) gives flat ids and counts."""
+    """Ids by piece. encode_pieces(list of (piece, stands after a space)) gives flat ids and counts.
 
-    def __init__(self, encode_pieces, unsafe, split):
-        self.encode_pieces, self.unsafe_piece, self.split = encode_pieces, unsafe, split
+    A match of `parts` has two groups without white space between them, whose ids in turn are those of the piece; so each
+    is encoded once for all such pieces.
+    """
+
+    def __init__(self, encode_pieces, unsafe, split, parts=lambda piece: None):
+        self.encode_pieces, self.unsafe_piece, self.split, self.parts = encode_pieces, unsafe, split, parts
         self.clear()
 
     def clear(self) -> None:
@@ -65,12 +70,28 @@ class Table:
     def _learn(self) -> None:
         if not self.new:
             return
-        ids, counts = self.encode_pieces(self.new)
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
-        self.counts = np.append(self.counts, counts)
-        self.ids = np.append(self.ids, ids.astype(np.int32))
-        self.unsafe = np.append(self.unsafe, [self.unsafe_piece(*x) for x in self.new])
+        old, simple, made, halves = self.n - len(self.new), [], [], []
+        for k, (piece, spaced) in enumerate(self.new):  # parts not known yet come after the others
+            found = self.parts(piece)
+            if found is None:
+                simple.append(k)
+            else:
+                made.append(k)
+                halves += ((self.rest if spaced else self.first)[found[1]], self.first[found[2]])
+        ids, counts = self.encode_pieces([self.new[k] for k in simple])
+        self.counts = np.append(self.counts, np.zeros(len(self.new), np.int64))
+        self.starts = np.append(self.starts, np.zeros(len(self.new), np.int64))
         self.uses = np.append(self.uses, np.zeros(len(self.new), np.int64))
+        for chosen, ids, counts in ((simple, ids.astype(np.int32), counts), (made, None, None)):
+            if ids is None:
+                sizes = self.counts[halves]
+                ids, counts = self.ids[expand(self.starts[halves], sizes)], sizes[::2] + sizes[1::2]
+            at = np.array(chosen, np.int64) + old
+            self.starts[at], self.counts[at] = len(self.ids) + np.cumsum(counts) - counts, counts
+            self.ids = np.append(self.ids, ids)
+        self.uses += np.bincount(np.array(halves, np.int64), minlength=self.n)
+        self.unsafe = np.append(self.unsafe, np.zeros(len(self.new), bool))
+        self.unsafe[np.array(simple, np.int64) + old] = [self.unsafe_piece(*self.new[k]) for k in simple]
         self.new = []
 
     def _places(self, pieces: list[str]) -> list[int]:
@@ -178,4 +199,6 @@ def byte_bpe(path: str) -> Table:
         # a line end may begin a piece, with the text after it at once
         return not PLAIN.fullmatch(piece) and (not piece or piece[-1].isspace() or spaced and piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace()))
 
-    return Table(encode_pieces, unsafe, re.compile(r"(?<=\S) (?=\S)").split)
+    # letters and the signs after them never share a token, if the file cuts texts there
+    cuts = tokenizer.normalizer is None and tokenizer.pre_tokenizer is not None and [t for t, _ in tokenizer.pre_tokenizer.pre_tokenize_str("ab,.!")] == ["ab", ",.!"]
+    return Table(encode_pieces, unsafe, re.compile(r"(?<=\S) (?=\S)").split, WORD_AND_SIGNS.fullmatch if cuts else lambda piece: None)
