@@ -109,6 +109,42 @@ def numbered(df: DataFrame, keys: Sequence[str], coarse: Sequence[str], unique:
     )
 
 
+def numbered_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Row numbers per key group, from 1, in a total order, without sorting a group in one task.
+
+    Rows are dealt by ranges of keys and order, so a hot group spreads over many ranges. The ranges are written out, so
+    that a task that runs again sees the same ones; counts per group and range give each range its first number.
+    """
+    dealt = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_b", F.spark_partition_id())
+    dealt = durable(dealt)
+    by = [*keys, "_b"]
+    counts = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = counts.select(*by, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    within = Window.partitionBy(*by).orderBy(*order)
+    return null_safe_join(dealt, starts, by).withColumn(name, (F.row_number().over(within) + F.col("_o")).cast("bigint")).drop("_b", "_o")
+
+
+def merged_spans(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """Closed time spans without overlaps, cut at full hours: slot, start and end.
+
+    Spans of one hour that begin together are one row before the shuffle, so many whole hours cost one row each. Within
+    an hour a span opens a new group where it begins after the latest end so far. Spans without a begin or an end, or
+    that end before they begin, hold nothing.
+    """
+    hour = F.expr("INTERVAL 1 HOUR")
+    known = spans.filter(F.col(start) <= F.col(end)).select(F.col(start).alias("_s"), F.col(end).alias("_e"))
+    slots = F.explode(F.sequence(F.date_trunc("HOUR", "_s"), F.date_trunc("HOUR", "_e"), hour))
+    cut = known.select("_s", "_e", slots.alias("slot")).select(
+        "slot", F.greatest("_s", "slot").alias("_s"), F.least(F.col("_e"), F.col("slot") + hour).alias("_e")
+    )
+    distinct = cut.groupBy("slot", "_s").agg(F.max("_e").alias("_e"))
+    ordered = Window.partitionBy("slot").orderBy("_s")
+    upto = F.max("_e").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opened = distinct.withColumn("_new", F.coalesce((F.col("_s") > upto).cast("int"), F.lit(1)))
+    return opened.withColumn("_g", F.sum("_new").over(ordered)).groupBy("slot", "_g").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_g")
+
+
 def broadcast_if_small(df: DataFrame, limit: int = 5000) -> DataFrame:
     """Broadcast a rule table after counting it; a larger one joins as Spark decides."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -321,6 +321,19 @@ def upsert_config(config: DataFrame, overrides: DataFrame, known_domains: DataFr
     )
 
 
+def config_summary(config: DataFrame, sources: DataFrame, tier_key: str = "enrichment_max_tier") -> DataFrame:
+    """Source databases and tier of each domain, as `upsert_config` left its settings.
+
+    `sources` holds domain and database_name. A domain without the setting has tier 0; settings of unknown domains do not count.
+    """
+    tier = F.max(F.when((F.col("key") == tier_key) & (F.col("status") != "UNKNOWN_DOMAIN"), F.col("value")))
+    tiers = config.groupBy("domain").agg(tier.alias("_t"), F.count_if(F.col("status").isin("ADDED", "UPDATED")).alias("_n"))
+    counts = sources.groupBy("domain").agg(F.count_distinct("database_name").alias("database_count"))
+    return counts.join(tiers, "domain", "left").select(
+        "domain", "database_count", F.coalesce("_t", F.lit("0")).alias("tier"), F.coalesce("_n", F.lit(0)).alias("changed_settings")
+    )
+
+
 def union_domains(per_domain: dict[str, DataFrame | None]) -> DataFrame:
     """Active concepts of all domains in one relation; a missing domain is skipped."""
     out = None

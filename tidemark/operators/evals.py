@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import money, null_safe_join, numbered, pick_bounded, rounded
+from tidemark.functions.exact import merged_spans, money, null_safe_join, numbered, pick_bounded, rounded
 
 CORRECTNESS = "answer_correctness"
 
@@ -337,8 +337,8 @@ def feedback_candidates(
 ) -> DataFrame:
     """Feedback worth promoting to an evaluation row, with its priority.
 
-    `windows` holds the time spans of evaluation runs. Spans are cut into days, so
-    that feedback meets them by equality and the exact bounds are checked after it.
+    `windows` holds the time spans of evaluation runs. Overlapping ones are merged and cut into hours, so that feedback
+    meets one span for each gap of its hour, however many windows there are.
     """
     q = F.lower("input_query")
     message, cats = F.col("feedback_message").isNotNull(), F.coalesce("categories", F.lit("")) != ""
@@ -348,10 +348,8 @@ def feedback_candidates(
         & ~q.rlike(FOLLOW_UP)
         & ~(~F.col("is_positive") & ~message & ~cats)
     ).join(known.select("input_query").distinct(), "input_query", "left_anti")
-    days = windows.select("start_ts", "end_ts", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"), F.expr("INTERVAL 1 DAY"))).alias("_day"))
-    kept = kept.withColumn("_day", F.to_date("ts")).alias("k").join(
-        days.alias("w"), (F.col("k._day") == F.col("w._day")) & F.col("k.ts").between(F.col("w.start_ts"), F.col("w.end_ts")), "left_anti"
-    )
+    spans = merged_spans(windows, "start_ts", "end_ts")
+    kept = kept.join(spans, (F.date_trunc("HOUR", "ts") == F.col("slot")) & F.col("ts").between(F.col("start_ts"), F.col("end_ts")), "left_anti")
     negative = ~F.col("is_positive")
     points = (
         F.when(negative & message, 3).otherwise(0) + F.when(negative & cats, 2).otherwise(0) + F.when(~negative & message, 1).otherwise(0)

@@ -95,7 +95,7 @@ def unused_concepts(concepts: DataFrame, questions: DataFrame, as_of: str, days:
 
 
 def health_summary(concepts: DataFrame, states: DataFrame) -> DataFrame:
-    """Metric and value rows on the state of a domain."""
+    """Metric and value rows on the state of a domain; `detail` holds the time of the last refresh, over all concepts."""
     c = concepts.filter("is_active").agg(
         F.count(F.lit(1)).cast("double").alias("total_concepts"),
         rounded(F.sum(F.col("quality_score").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1)), 2).alias("avg_quality_score"),
@@ -105,7 +105,11 @@ def health_summary(concepts: DataFrame, states: DataFrame) -> DataFrame:
         F.count_if(F.col("object_state").startswith("SHADOW")).cast("double").alias("shadow_objects"),
         F.count_if(F.col("object_state") == "KNOWN_DRIFTED").cast("double").alias("drifted_objects"),
     )
-    return c.unpivot([], c.columns, "metric", "value").unionByName(s.unpivot([], s.columns, "metric", "value"))
+    figures = c.unpivot([], c.columns, "metric", "value").unionByName(s.unpivot([], s.columns, "metric", "value"))
+    last = concepts.agg(F.date_format(F.max("enriched_at"), "yyyy-MM-dd HH:mm:ss").alias("detail"))
+    return figures.withColumn("detail", F.lit(None).cast("string")).unionByName(
+        last.select(F.lit("last_refresh").alias("metric"), F.lit(None).cast("double").alias("value"), "detail")
+    )
 
 
 def scoped_concepts(
@@ -176,6 +180,47 @@ def verify_metrics(definitions: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def spec_name(domain: str, prefix: str = "sv") -> Column:
+    return F.concat(F.lit(f"{prefix}_"), F.regexp_replace(F.regexp_replace(F.lower(domain), " ", "_"), "&", "and"))
+
+
+def spec_metrics(columns: DataFrame, metrics: DataFrame, prefix: str = "sv") -> DataFrame:
+    """Metrics of each logical table: those of its domain whose name holds the name of the table.
+
+    Names are met by equality with the pieces of a metric's name that are as long as some table's name, not by trying all
+    tables of a domain. `metrics` holds domain, metric_name and expr, and may hold sample_questions.
+    """
+    tables = columns.select("domain", F.concat_ws(".", "database_name", "schema_name", "table_name").alias("base_table"), F.lower("table_name").alias("logical_table")).distinct()
+    sizes = tables.agg(F.collect_set(F.length("logical_table")).alias("s")).scalar()  # as many as a name has letters at most
+    name = F.lower("metric_name")
+    asked = F.col("sample_questions") if "sample_questions" in metrics.columns else F.lit(None).cast("string")
+    sized = metrics.withColumn("_s", sizes).select("domain", "metric_name", "expr", asked.alias("description"), F.explode("_s").alias("_n"))
+    fits = sized.filter(F.col("_n") <= F.length(name))
+    at = F.explode(F.sequence(F.lit(1), F.length(name) - F.col("_n") + 1))
+    pieces = fits.select("domain", "metric_name", "expr", "description", "_n", at.alias("_at")).withColumn("logical_table", F.substring(name, F.col("_at"), F.col("_n")))
+    return (
+        pieces.select("domain", "metric_name", "expr", "description", "logical_table")
+        .distinct()
+        .join(tables, ["domain", "logical_table"])
+        .select(spec_name("domain", prefix).alias("name"), "base_table", "logical_table", "metric_name", "expr", "description")
+    )
+
+
+def spec_relations(columns: DataFrame, relations: DataFrame, prefix: str = "sv") -> DataFrame:
+    """Relations of each domain's specification, one row each; a domain holds those of its databases."""
+    owned = columns.select("domain", "database_name").distinct()
+    return relations.join(owned, "database_name").select(
+        spec_name("domain", prefix).alias("name"), F.col("name").alias("relation"), "database_name", "left_table", "right_table", "relationship_columns"
+    )
+
+
+def spec_verified(columns: DataFrame, verified: DataFrame, prefix: str = "sv") -> DataFrame:
+    """Verified queries of each domain that has tables, one row each."""
+    return verified.join(columns.select("domain").distinct(), "domain", "left_semi").select(
+        spec_name("domain", prefix).alias("name"), F.col("name").alias("query_name"), "question", "sql", "use_as_onboarding_question"
+    )
+
+
 def semantic_spec(columns: DataFrame, relations: DataFrame, verified: DataFrame, prefix: str = "sv") -> DataFrame:
     """Logical tables of each domain with their dimensions, time dimensions and facts.
 
@@ -189,7 +234,6 @@ def semantic_spec(columns: DataFrame, relations: DataFrame, verified: DataFrame,
         text = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["n"], F.lit(": "), x["d"]))
         return F.nullif(F.array_join(text, "; "), F.lit(""))
 
-    slug = F.regexp_replace(F.regexp_replace(F.lower("domain"), " ", "_"), "&", "and")
     tables = columns.groupBy("domain", "database_name", "schema_name", "table_name").agg(
         listed("dimension").alias("dimensions"), listed("time_dimension").alias("time_dimensions"), listed("fact").alias("facts")
     )
@@ -203,7 +247,7 @@ def semantic_spec(columns: DataFrame, relations: DataFrame, verified: DataFrame,
         )
         .join(asked, "domain", "left")
         .select(
-            F.concat(F.lit(f"{prefix}_"), slug).alias("name"),
+            spec_name("domain", prefix).alias("name"),
             F.concat_ws(".", "database_name", "schema_name", "table_name").alias("base_table"),
             F.lower("table_name").alias("logical_table"),
             "dimensions",

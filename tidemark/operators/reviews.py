@@ -204,16 +204,18 @@ def delta_review(base: DataFrame, current: DataFrame, middle: DataFrame | None =
     """Issues fixed, open, new or back again between two reviews of a plan.
 
     All hold (plan_id, issue_id, line, description). Issues meet by id first, then
-    by description; `middle` lists those that an intermediate version had fixed.
+    by line, then by description, the smallest ids of a line or text first; `middle` lists those that an intermediate version had fixed.
     """
     b = base.select("plan_id", F.col("issue_id").alias("base_id"), F.col("line").alias("base_line"), F.col("description").alias("base_text"))
     c = current.select("plan_id", F.col("issue_id").alias("current_id"), F.col("line").alias("current_line"), F.col("description").alias("current_text"))
     by_id = b.join(c, (b["plan_id"] == c["plan_id"]) & (F.col("base_id") == F.col("current_id"))).select(b["plan_id"], "base_id", "current_id")
-    left = b.join(by_id.select("plan_id", "base_id"), ["plan_id", "base_id"], "left_anti")
-    right = c.join(by_id.select("plan_id", "current_id"), ["plan_id", "current_id"], "left_anti")
-    first = lambda df, text, i: df.groupBy("plan_id", F.col(text).alias("_t")).agg(F.min(i).alias(i))
-    by_text = first(left, "base_text", "base_id").join(first(right, "current_text", "current_id"), ["plan_id", "_t"]).select("plan_id", "base_id", "current_id")
-    matched = by_id.unionByName(by_text)
+    first = lambda df, by, i: df.groupBy("plan_id", F.col(by).alias("_t")).agg(F.min(i).alias(i))
+    matched = by_id
+    for by in ("line", "text"):
+        left = b.join(matched.select("plan_id", "base_id"), ["plan_id", "base_id"], "left_anti")
+        right = c.join(matched.select("plan_id", "current_id"), ["plan_id", "current_id"], "left_anti")
+        met = first(left, f"base_{by}", "base_id").join(first(right, f"current_{by}", "current_id"), ["plan_id", "_t"])
+        matched = matched.unionByName(met.select("plan_id", "base_id", "current_id"))
     fixed_between = (
         base.select("plan_id", F.col("issue_id").alias("base_id")).limit(0)
         if middle is None
@@ -236,6 +238,18 @@ def delta_summary(delta: DataFrame) -> DataFrame:
     ).withColumn("net_change", F.col("fixed") - F.col("new") - F.col("regressions"))
 
 
+def dimension_delta(base: DataFrame, current: DataFrame) -> DataFrame:
+    """Points per dimension of two reviews of a plan and their change, with a TOTAL row per plan.
+
+    Both hold plan_id, dimension and points, one row each. A dimension that one review lacks has no change; the total
+    adds what each review has.
+    """
+    add = lambda df, name: df.groupBy("plan_id", F.coalesce("dimension", F.lit("UNKNOWN")).alias("dimension")).agg(F.sum("points").alias(name))
+    per = add(base, "baseline").join(add(current, "current"), ["plan_id", "dimension"], "full")
+    total = per.groupBy("plan_id").agg(F.lit("TOTAL").alias("dimension"), F.sum("baseline").alias("baseline"), F.sum("current").alias("current"))
+    return per.unionByName(total).withColumn("change", F.col("current") - F.col("baseline"))
+
+
 def review_variance(reviews: DataFrame, allowed: float = 5.0) -> DataFrame:
     """Spread of the scores of repeated reviews, and the rank of each plan by its mean.
 

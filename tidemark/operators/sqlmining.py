@@ -165,6 +165,19 @@ def shared_tables(processed: DataFrame) -> DataFrame:
     )
 
 
+def domain_tables(processed: DataFrame) -> DataFrame:
+    """Each table of each domain with the number of queries that use it there."""
+    named = processed.withColumn("domain", named_domain(F.col("domain")))
+    return each(named, F.col("tables"), "table_name", "domain", "index").groupBy("domain", "table_name").agg(F.count_distinct("index").alias("query_count"))
+
+
+def shared_table_queries(processed: DataFrame) -> DataFrame:
+    """Queries of each table that is used in more than one domain, one row per table and query."""
+    named = processed.withColumn("domain", named_domain(F.col("domain")))
+    used = each(named, F.col("tables"), "table_name", "domain", "index").select("table_name", "domain", F.col("index").alias("query_index"))
+    return used.distinct().join(shared_tables(processed).select("table_name"), "table_name", "left_semi")
+
+
 def mine_metrics(log: DataFrame, max_length: int | None = None, samples: int = 3) -> DataFrame:
     """Metrics per domain from aggregate calls: most frequent expression, uses, sample questions.
 
@@ -466,15 +479,15 @@ def operational_signals(patterns: DataFrame, frequent: int = 10000) -> DataFrame
 
 
 def keyword_usage(log: DataFrame, keywords: Sequence[str], as_of: str, days: int = 30, top: int = 50) -> DataFrame:
-    """Queries whose text holds any change keyword, with their executions."""
-    text = F.lower("query_text")
+    """Queries whose text holds any change keyword, with their executions per type, database, schema and user."""
+    text, place = F.lower("query_text"), ["query_type", "database_name", "schema_name", "user_name"]
     hit = F.lit(False)
     for word in keywords:
         hit = hit | text.contains(word.lower())
     return (
         log.filter(since("start_time", as_of, days) & hit)
-        .groupBy("query_text", "query_type", "database_name", "user_name")
+        .groupBy("query_text", *place)
         .agg(F.count(F.lit(1)).alias("execution_count"))
-        .orderBy(F.desc("execution_count"), "query_text", "query_type", "database_name", "user_name")
+        .orderBy(F.desc("execution_count"), "query_text", *place)
         .limit(top)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.exact import money, percent, rounded, text_list
+from tidemark.functions.exact import money, numbered_in_order, percent, rounded, text_list
 
 
 def fiscal_year(date: Column, start_month: int = 2) -> Column:
@@ -71,6 +71,17 @@ def monthly_growth(revenue: DataFrame, as_of: str, months: int = 18) -> DataFram
     )
 
 
+def monthly_trend(revenue: DataFrame, as_of: str, months: int = 12) -> DataFrame:
+    """Totals of the last months, latest first."""
+    start = F.add_months(F.lit(as_of[:10]).cast("date"), -months)
+    return (
+        revenue.filter(F.col("day") >= start)
+        .groupBy(F.trunc("day", "month").alias("month"))
+        .agg(total("revenue").alias("monthly_revenue"))
+        .orderBy(F.desc("month"))
+    )
+
+
 def category_momentum(revenue: DataFrame, as_of: str) -> DataFrame:
     """Last three months against the three before, per category."""
     end = F.lit(as_of[:10]).cast("date")
@@ -134,12 +145,15 @@ def risk_summary(items: DataFrame) -> DataFrame:
     )
 
 
-def risk_items(items: DataFrame, per_group: int = 25) -> DataFrame:
-    """Most valuable items of each status and risk, in order."""
-    w = Window.partitionBy("status", "risk").orderBy(F.desc_nulls_last("item_value"), "name")
-    return items.withColumn("position", F.row_number().over(w).cast("bigint")).filter(F.col("position") <= per_group).select(
-        "status", "risk", "position", "name", "item_value"
-    )
+def risk_items(items: DataFrame, per_group: int | None = None) -> DataFrame:
+    """Items of each status and risk, most valuable first; `per_group` keeps that many of each."""
+    keys, order = ["status", "risk"], [F.desc_nulls_last("item_value"), F.asc("name")]
+    if per_group is None:
+        ranked = numbered_in_order(items, keys, order)
+    else:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ranked = items.withColumn("position", place.cast("bigint")).filter(F.col("position") <= per_group)
+    return ranked.select(*keys, "position", "name", "item_value")
 
 
 def open_items(deals: DataFrame, top: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import naming as N
 from tidemark.operators import catalog as K
+from tidemark.operators.usage import domain_of
 from tidemark.plans.inputs import AS_OF
 from tidemark.plans.registry import query
 
@@ -466,6 +467,30 @@ def _(t):
     return K.upsert_config(config, overrides, c.select(F.col("database_name").alias("domain")))
 
 
+_DOMAIN_NAME = "regexp_replace(database_name, '(_DB|_DW|_PROD|_DEV|_STAGE|_STG)$', '')"
+
+
+@query(
+    "config_summary",
+    f"""
+    WITH s AS (SELECT *, {_DOMAIN_NAME} AS domain FROM catalog_tables),
+    old AS (SELECT domain, max(size_code % 4) AS tier FROM s GROUP BY 1),
+    new AS (SELECT domain, max(size_code % 3) AS tier FROM s WHERE schema_name = 'MART' AND database_name LIKE '%PROD' GROUP BY 1),
+    n AS (SELECT domain, count(DISTINCT database_name) AS database_count FROM s GROUP BY 1)
+    SELECT domain, database_count, CAST(coalesce(new.tier, CASE WHEN length(domain) > 3 THEN old.tier END, 0) AS VARCHAR) AS tier,
+      CASE WHEN new.tier IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS changed_settings
+    FROM n LEFT JOIN old USING (domain) LEFT JOIN new USING (domain)
+    """,
+    ("catalog_tables",),
+)
+def _(t):
+    s = t.catalog_tables.withColumn("domain", domain_of("database_name"))
+    setting = lambda df, n: df.groupBy("domain").agg(F.max(F.col("size_code") % n).cast("string").alias("value")).select("domain", F.lit("enrichment_max_tier").alias("key"), "value")
+    config = setting(s.filter(F.length("domain") > 3), 4)
+    overrides = setting(s.filter("schema_name = 'MART' and database_name like '%PROD'"), 3)
+    return K.config_summary(K.upsert_config(config, overrides, s.select("domain")), s.select("domain", "database_name"))
+
+
 @query(
     "union_domains",
     """

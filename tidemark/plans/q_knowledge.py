@@ -371,13 +371,28 @@ _ASSEMBLED = f"""assembled AS (
           WHEN 'timestamp' THEN 3 ELSE CASE WHEN j.j = 1 THEN 4 ELSE 5 END END, ordinal, d.column_name) AS position
         FROM d LEFT JOIN j ON j.full_name = d.full_name AND j.column_name = d.column_name)
   SELECT h.question_id, h.full_name, column_name, data_type, role, position
-  FROM asked h JOIN r ON r.full_name = h.full_name WHERE position <= 6)"""
+  FROM asked h JOIN r ON r.full_name = h.full_name WHERE position <= 20)"""
 _ASSEMBLY_USES = ("catalog_tables", "catalog_columns", "constraints", "concepts", "question_log")
 
 
 @query("assemble_schema", f"WITH {MERGED_SQL}, {HITS_SQL}, {_ASSEMBLED} SELECT * FROM assembled", _ASSEMBLY_USES)
 def _(t):
-    return S.assemble_schema(_hits(t), t.catalog_columns, merged_relations(t), per_table=6)
+    return S.assemble_schema(_hits(t), t.catalog_columns, merged_relations(t))
+
+
+@query(
+    "internal_relations",
+    f"""
+    WITH {MERGED_SQL}, {HITS_SQL}, h AS (SELECT DISTINCT year(asked_at) * 12 + month(asked_at) AS question_id, full_name FROM asked)
+    SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, source_table, target_table, source_column, target_column) AS position,
+      source_table, source_column, target_table, target_column, confidence
+    FROM h JOIN merged ON source_table = full_name WHERE (question_id, target_table) IN (SELECT (question_id, full_name) FROM h)
+    """,
+    _ASSEMBLY_USES,
+)
+def _(t):
+    monthly = _hits(t).withColumn("question_id", (F.year("asked_at") * 12 + F.month("asked_at")).cast("bigint"))  # what a month asks about
+    return S.internal_relations(monthly, merged_relations(t))
 
 
 @query(
@@ -398,7 +413,7 @@ def _(t):
 )
 def _(t):
     hits, links = _hits(t), merged_relations(t)
-    return S.assembly_checks(hits, S.assemble_schema(hits, t.catalog_columns, links, per_table=6), links)
+    return S.assembly_checks(hits, S.assemble_schema(hits, t.catalog_columns, links), links)
 
 
 @query(
@@ -616,12 +631,14 @@ def _(t):
 @query(
     "health_summary",
     f"""
-    WITH {_STATES}, c AS (SELECT * FROM concepts WHERE is_active)
+    WITH {_STATES}, c AS (SELECT * FROM concepts WHERE is_active), figures AS (
     SELECT 'total_concepts' AS metric, CAST(count(*) AS DOUBLE) AS value FROM c
     UNION ALL SELECT 'avg_quality_score', round(CAST(sum(CAST(quality_score AS DECIMAL(18,4))) AS DOUBLE) / count(*), 2) FROM c
     UNION ALL SELECT 'concepts_needing_re_enrich', CAST(count(*) AS DOUBLE) FROM c WHERE quality_score < 0.5
     UNION ALL SELECT 'shadow_objects', CAST(count(*) AS DOUBLE) FROM states WHERE object_state LIKE 'SHADOW%'
-    UNION ALL SELECT 'drifted_objects', CAST(count(*) AS DOUBLE) FROM states WHERE object_state = 'KNOWN_DRIFTED'
+    UNION ALL SELECT 'drifted_objects', CAST(count(*) AS DOUBLE) FROM states WHERE object_state = 'KNOWN_DRIFTED')
+    SELECT *, CAST(NULL AS VARCHAR) AS detail FROM figures
+    UNION ALL SELECT 'last_refresh', NULL, strftime(max(enriched_at), '%Y-%m-%d %H:%M:%S') FROM concepts
     """,
     ("catalog_tables", "current_tables", "concepts", "access"),
 )
@@ -751,6 +768,57 @@ def _(t):
     return Q.semantic_spec(columns, R.fact_dim_relations(t.catalog_columns), verified)
 
 
+_SPEC_DOMAIN = "regexp_replace(database_name, '(_DB|_DW|_PROD|_DEV|_STAGE|_STG)$', '')"
+
+
+def _domain_columns(t):
+    return t.catalog_columns.withColumn("domain", domain_of("database_name"))
+
+
+@query(
+    "spec_metrics",
+    f"""
+    WITH x AS (SELECT *, {_SPEC_DOMAIN} AS domain FROM catalog_columns),
+    m AS (SELECT domain, 'avg_' || lower(table_name) || '_' || lower(column_name) AS metric_name, 'AVG(' || column_name || ')' AS expr FROM x WHERE data_type = 'FLOAT'
+          UNION SELECT upper(domain), lower(regexp_extract(query_text, '(?i)JOIN\\s+\\w+\\.\\w+\\.(\\w+)', 1)) || '_joins', 'COUNT(1)' FROM query_log),
+    s AS (SELECT DISTINCT domain, {_FQN} AS base_table, lower(table_name) AS logical_table FROM x)
+    SELECT DISTINCT 'sv_' || lower(s.domain) AS name, base_table, logical_table, metric_name, expr, CAST(NULL AS VARCHAR) AS description
+    FROM s JOIN m ON m.domain = s.domain AND contains(metric_name, logical_table)
+    """,
+    ("catalog_columns", "query_log"),
+)
+def _(t):
+    columns = _domain_columns(t)
+    low = F.concat(F.lit("avg_"), F.lower("table_name"), F.lit("_"), F.lower("column_name"))
+    own = columns.filter("data_type = 'FLOAT'").select("domain", low.alias("metric_name"), F.concat(F.lit("AVG("), "column_name", F.lit(")")).alias("expr"))
+    joined = F.concat(F.lower(F.regexp_extract("query_text", r"(?i)JOIN\s+\w+\.\w+\.(\w+)", 1)), F.lit("_joins"))
+    asked = t.query_log.select(F.upper("domain").alias("domain"), joined.alias("metric_name"), F.lit("COUNT(1)").alias("expr"))
+    return Q.spec_metrics(columns, own.unionByName(asked).distinct())
+
+
+@query(
+    "spec_relations",
+    f"""WITH {_FACT_DIM}, o AS (SELECT DISTINCT database_name, {_SPEC_DOMAIN} AS domain FROM catalog_columns)
+    SELECT 'sv_' || lower(domain) AS name, fd.name AS relation, database_name, left_table, right_table, relationship_columns FROM fd JOIN o USING (database_name)""",
+    ("catalog_columns",),
+)
+def _(t):
+    return Q.spec_relations(_domain_columns(t), R.fact_dim_relations(t.catalog_columns))
+
+
+@query(
+    "spec_verified",
+    f"""WITH o AS (SELECT DISTINCT {_SPEC_DOMAIN} AS domain FROM catalog_columns)
+    SELECT 'sv_' || lower(domain) AS name, 'vqr_' || CAST(query_id AS VARCHAR) AS query_name, question, query_text AS sql,
+      row_number() OVER (PARTITION BY domain ORDER BY query_id) <= 5 AS use_as_onboarding_question
+    FROM (SELECT * REPLACE (upper(domain) AS domain) FROM query_log) JOIN o USING (domain)
+    WHERE question <> '' AND query_text <> '' AND NOT regexp_matches(upper(query_text), 'CREATE|UPDATE|DELETE')""",
+    ("catalog_columns", "query_log"),
+)
+def _(t):
+    return Q.spec_verified(_domain_columns(t), X.verified_queries(t.query_log).withColumn("domain", F.upper("domain")))
+
+
 @query(
     "regression_checks",
     """

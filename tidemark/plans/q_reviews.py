@@ -201,11 +201,14 @@ def issues(t, which: str):
     return df.filter("event_type in ('click', 'view', 'signup')").select(plan, F.when(F.col("event_type") == "view", e + 1000000000).otherwise(e).alias("issue_id"), line, text)
 
 
-_ISSUES = """b AS (SELECT user_id AS plan_id, event_id AS issue_id, 'issue ' || (event_id % 97) || ' ' || CAST(floor(value) AS BIGINT) AS d FROM events WHERE event_type IN ('error', 'click', 'view')),
+_ISSUES = """b AS (SELECT user_id AS plan_id, event_id AS issue_id, event_id % 500 AS ln, 'issue ' || (event_id % 97) || ' ' || CAST(floor(value) AS BIGINT) AS d FROM events WHERE event_type IN ('error', 'click', 'view')),
   mi AS (SELECT user_id AS plan_id, event_id AS issue_id FROM events WHERE event_type IN ('error', 'view')),
-  c AS (SELECT user_id AS plan_id, CASE WHEN event_type = 'view' THEN event_id + 1000000000 ELSE event_id END AS issue_id, 'issue ' || (event_id % 97) || ' ' || CAST(floor(value) AS BIGINT) AS d
+  c AS (SELECT user_id AS plan_id, CASE WHEN event_type = 'view' THEN event_id + 1000000000 ELSE event_id END AS issue_id, event_id % 500 AS ln, 'issue ' || (event_id % 97) || ' ' || CAST(floor(value) AS BIGINT) AS d
     FROM events WHERE event_type IN ('click', 'view', 'signup')),
-  m1 AS (SELECT b.plan_id, b.issue_id AS bi, c.issue_id AS ci FROM b JOIN c ON b.plan_id = c.plan_id AND b.issue_id = c.issue_id),
+  m0 AS (SELECT b.plan_id, b.issue_id AS bi, c.issue_id AS ci FROM b JOIN c ON b.plan_id = c.plan_id AND b.issue_id = c.issue_id),
+  l0 AS (SELECT plan_id, ln, min(issue_id) AS bi FROM b WHERE (plan_id, issue_id) NOT IN (SELECT (plan_id, bi) FROM m0) GROUP BY 1, 2),
+  r0 AS (SELECT plan_id, ln, min(issue_id) AS ci FROM c WHERE (plan_id, issue_id) NOT IN (SELECT (plan_id, ci) FROM m0) GROUP BY 1, 2),
+  m1 AS (SELECT * FROM m0 UNION ALL SELECT plan_id, bi, ci FROM l0 JOIN r0 USING (plan_id, ln)),
   l AS (SELECT plan_id, d, min(issue_id) AS bi FROM b WHERE (plan_id, issue_id) NOT IN (SELECT (plan_id, bi) FROM m1) GROUP BY 1, 2),
   r AS (SELECT plan_id, d, min(issue_id) AS ci FROM c WHERE (plan_id, issue_id) NOT IN (SELECT (plan_id, ci) FROM m1) GROUP BY 1, 2),
   m AS (SELECT * FROM m1 UNION ALL SELECT plan_id, bi, ci FROM l JOIN r USING (plan_id, d)),
@@ -232,6 +235,26 @@ def _(t):
     return R.delta_summary(_delta(t))
 
 
+def _points(t, remainder: int):
+    """Best points per dimension of the even or odd documents of a plan."""
+    m = meta(t).filter(F.col("doc_id") % 2 == remainder)
+    names = list(R.REVIEW_DIMENSIONS)
+    long = m.select((F.floor(F.col("doc_id") / 2) % 50).alias("plan_id"), *names).unpivot(["plan_id"], names, "dimension", "points")
+    return long.filter("points is not null").groupBy("plan_id", "dimension").agg(F.max("points").alias("points"))
+
+
+@query(
+    "dimension_delta",
+    f"""WITH {_META}, u AS (""" + " UNION ALL ".join(f"SELECT doc_id % 2 AS side, doc_id // 2 % 50 AS plan_id, '{d}' AS dimension, {d} AS p FROM meta" for d in R.REVIEW_DIMENSIONS)
+    + """), a AS (SELECT side, plan_id, dimension, max(p) AS p FROM u WHERE p IS NOT NULL GROUP BY 1, 2, 3),
+    d AS (SELECT plan_id, dimension, max(p) FILTER (side = 0) AS baseline, max(p) FILTER (side = 1) AS current FROM a GROUP BY 1, 2),
+    x AS (SELECT * FROM d UNION ALL SELECT plan_id, 'TOTAL', CAST(sum(baseline) AS BIGINT), CAST(sum(current) AS BIGINT) FROM d GROUP BY 1)
+    SELECT *, current - baseline AS change FROM x""",
+)
+def _(t):
+    return R.dimension_delta(_points(t, 0), _points(t, 1))
+
+
 @query(
     "review_variance",
     f"""WITH {_META}, p AS (SELECT doc_id % 50 AS plan_id, count(*) AS review_count, round(CAST(sum(overall_score) AS DOUBLE) / count(*), 2) AS mean_score,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import one_row
 from tidemark.operators import sqlmining as X
 from tidemark.plans.inputs import pick
 from tidemark.plans.oracle_inputs import pick as sql_pick
+from tidemark.plans.q_sqlmining import TABLES
 from tidemark.plans.registry import query
 from tidemark.session import scratch_folder
 from tidemark.sources import query_files as S
@@ -82,6 +84,24 @@ def _(t):
     return back.groupBy("skipped").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("tables")).alias("tables"))
 
 
+@query(
+    "write_extraction",
+    f"""WITH {TABLES}, u AS (SELECT DISTINCT t, cls, query_id FROM tabs)
+    SELECT cls || '_tables' AS "group", t AS "table", count(*) AS used_in, min(query_id) AS first_query, max(query_id) AS last_query,
+      (SELECT count(DISTINCT t) FROM tabs) AS unique_tables, (SELECT count(*) FROM clean WHERE NOT w) AS processed FROM u GROUP BY 1, 2""",
+    ("query_log",),
+)
+def _(t):
+    folder = scratch_folder(t.spark)
+    done = X.process_queries(t.query_log)
+    S.write_extraction(done, X.extraction_summary(done), X.table_usage(done), folder)
+    total = t.spark.read.schema("summary struct<unique_tables bigint, processed bigint>").json(f"{folder}/summary").select("summary.*")
+    back = t.spark.read.schema("group string, `table` string, used_in_queries array<bigint>").json(f"{folder}/consolidated")
+    q = F.col("used_in_queries")
+    tables = back.groupBy("group", "table").agg(F.sum(F.size(q)).alias("used_in"), F.min(F.array_min(q)).alias("first_query"), F.max(F.array_max(q)).alias("last_query"))
+    return tables.withColumn("_s", one_row(total)).select(*tables.columns, "_s.unique_tables", "_s.processed")
+
+
 @query(
     "read_completed_runs",
     """SELECT run_id, skill_name, duration_seconds FROM timing_runs WHERE skill_name = 'plan-reviewer' AND mode = 'FULL' AND epoch_us(started) / 1000000.0 >= 1706659200 - 20 * 86400""",
@@ -211,6 +231,16 @@ def _(t):
     return T.tool_results(_events(t))
 
 
+@query(
+    "tool_result_items",
+    f"""WITH {_LINES}, i AS (SELECT run_id, turn * 100 + 3 AS line_no, n, unnest(range(CASE n % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)) AS k FROM ln WHERE n % 2 = 0)
+    SELECT run_id, line_no, CASE n % 3 WHEN 0 THEN 'analyst' WHEN 1 THEN 'search' ELSE 'other' END AS result_type, k + 1 AS position,
+      CASE n % 3 WHEN 0 THEN CAST(k + 1 AS VARCHAR) WHEN 1 THEN '{{"a":' || (k + 1) || '}}' ELSE '{{"note":"x"}}' END AS item FROM i""",
+)
+def _(t):
+    return T.tool_result_items(_events(t))
+
+
 @query(
     "parse_agent_events",
     f"""WITH {_LINES} SELECT run_id, CASE WHEN bool_or(whole) THEN arg_min(piece, turn) ELSE string_agg(piece, '' ORDER BY turn) END AS answer FROM ln GROUP BY 1""",

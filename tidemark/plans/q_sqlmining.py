@@ -186,6 +186,27 @@ def _(t):
     return X.shared_tables(_processed(t))
 
 
+@query(
+    "domain_tables",
+    f"WITH {TABLES} SELECT domain, t AS table_name, count(DISTINCT query_id) AS query_count FROM tabs GROUP BY 1, 2",
+    ("query_log",),
+)
+def _(t):
+    return X.domain_tables(_processed(t))
+
+
+@query(
+    "shared_table_queries",
+    f"""
+    WITH {TABLES}, s AS (SELECT t FROM tabs GROUP BY 1 HAVING count(DISTINCT domain) > 1)
+    SELECT DISTINCT t AS table_name, domain, query_id AS query_index FROM tabs WHERE t IN (SELECT t FROM s)
+    """,
+    ("query_log",),
+)
+def _(t):
+    return X.shared_table_queries(_processed(t))
+
+
 _AGG = "(?i)(SUM|COUNT|AVG|MIN|MAX|MEDIAN|STDDEV|VARIANCE)\\s*\\(\\s*(DISTINCT\\s+)?([^)]+)\\)"
 
 
@@ -452,14 +473,15 @@ def _(t):
 @query(
     "keyword_usage",
     f"""
-    SELECT query_text, query_type, database_name, user_name, count(*) AS execution_count FROM query_log
+    SELECT query_text, query_type, database_name, regexp_extract(query_text, '\\w+\\.(\\w+)\\.\\w+', 1) AS schema_name, user_name, count(*) AS execution_count FROM query_log
     WHERE {since("start_time")} AND (lower(query_text) LIKE '%flatten%' OR lower(query_text) LIKE '%search\\_preview%' ESCAPE '\\')
-    GROUP BY 1, 2, 3, 4 ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 50
+    GROUP BY 1, 2, 3, 4, 5 ORDER BY 6 DESC, 1, 2, 3, 4, 5 LIMIT 50
     """,
     ("query_log",),
 )
 def _(t):
-    return X.keyword_usage(t.query_log, ["FLATTEN", "SEARCH_PREVIEW"], AS_OF, ALL_DAYS)
+    log = t.query_log.withColumn("schema_name", F.regexp_extract("query_text", r"\w+\.(\w+)\.\w+", 1))
+    return X.keyword_usage(log, ["FLATTEN", "SEARCH_PREVIEW"], AS_OF, ALL_DAYS)
 
 
 @query(

@@ -246,6 +246,14 @@ def _(t):
     return B.monthly_growth(revenue(t), AS_OF)
 
 
+@query(
+    "monthly_trend",
+    f"WITH {_REV} SELECT CAST(date_trunc('month', day) AS DATE) AS month, {_sum()} AS monthly_revenue FROM rev WHERE day >= {_DAY} - INTERVAL 12 MONTH GROUP BY 1",
+)
+def _(t):
+    return B.monthly_trend(revenue(t), AS_OF)
+
+
 @query(
     "category_momentum",
     f"""
@@ -333,7 +341,7 @@ def _(t):
 @query(
     "risk_items",
     """SELECT o_orderstatus AS status, o_orderpriority AS risk, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice DESC, 'Case ' || CAST(o_orderkey AS VARCHAR)) AS position,
-        'Case ' || CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS item_value FROM orders QUALIFY position <= 25""",
+        'Case ' || CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS item_value FROM orders""",
 )
 def _(t):
     return B.risk_items(items(t))

@@ -111,6 +111,31 @@ def write_documents(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def summary_document(summary: DataFrame) -> DataFrame:
+    """The totals of a run as one nested document."""
+    return summary.select(F.struct(*summary.columns).alias("summary"))
+
+
+def consolidated_documents(usage: DataFrame, block: int = 100_000) -> DataFrame:
+    """Tables by class, each with the sorted queries that use it.
+
+    `usage` holds table_name, table_class and query_index. A table comes in documents of `block` query numbers, so that a
+    table which a third of the log uses never has to fit into one of them; most tables have one.
+    """
+    group = F.when(F.col("table_class") == "other", "other_tables").otherwise(F.concat("table_class", F.lit("_tables")))
+    return usage.groupBy(group.alias("group"), F.col("table_name").alias("table"), F.floor(F.col("query_index") / block).alias("block")).agg(
+        F.array_sort(F.collect_set("query_index")).alias("used_in_queries")
+    )
+
+
+def write_extraction(processed: DataFrame, summary: DataFrame, usage: DataFrame, path: str, consolidated: bool = True, mode: str = "error") -> None:
+    """Writes a run as `summary`, `queries` and, if asked for, `consolidated` documents below `path`."""
+    write_documents(summary_document(summary), f"{path}/summary", mode)
+    write_documents(query_documents(processed), f"{path}/queries", mode)
+    if consolidated:
+        write_documents(consolidated_documents(usage), f"{path}/consolidated", mode)
+
+
 def query_documents(processed: DataFrame) -> DataFrame:
     """One nested document per processed query."""
     return processed.select(

@@ -42,8 +42,8 @@ def tool_uses(events: DataFrame) -> DataFrame:
     )
 
 
-def tool_results(events: DataFrame, keep: int | None = None) -> DataFrame:
-    """Results of tools as analyst, search or other, with the number of their items, `keep` at most (5 is usual)."""
+def _results(events: DataFrame, keep: int | None) -> DataFrame:
+    """Results of tools as analyst, search or other, with their first items as an array of texts."""
     items = F.from_json(F.to_json("v"), "content array<string>")["content"]
     found = events.filter(F.col("event") == "response.tool_result").select("run_id", "line_no", F.explode(items).alias("i"))
     rows = found.withColumn("j", F.get_json_object("i", "$.json")).filter("j is not null")
@@ -52,8 +52,19 @@ def tool_results(events: DataFrame, keep: int | None = None) -> DataFrame:
     first = lambda x: head(F.from_json(x, "array<string>"), keep)
     data = F.when(sql.isNotNull(), first(F.get_json_object(j, "$.result_set.data"))).when(found.isNotNull(), first(found)).otherwise(F.array(j))
     return rows.select(
-        "run_id", "line_no", F.when(sql.isNotNull(), "analyst").when(found.isNotNull(), "search").otherwise("other").alias("result_type"), sql.alias("sql"),
-        F.coalesce(F.size(data), F.lit(0)).cast("bigint").alias("items_kept"),
+        "run_id", "line_no", F.when(sql.isNotNull(), "analyst").when(found.isNotNull(), "search").otherwise("other").alias("result_type"), sql.alias("sql"), data.alias("items")
+    )
+
+
+def tool_results(events: DataFrame, keep: int | None = None) -> DataFrame:
+    """Results of tools as analyst, search or other, with the number of their items, `keep` at most (5 is usual)."""
+    return _results(events, keep).select("run_id", "line_no", "result_type", "sql", F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("items_kept"))
+
+
+def tool_result_items(events: DataFrame, keep: int | None = 5) -> DataFrame:
+    """Items of tool results, one row each, the first `keep` of a result; None keeps all."""
+    return _results(events, keep).select("run_id", "line_no", "result_type", F.posexplode("items").alias("_p", "item")).select(
+        "run_id", "line_no", "result_type", (F.col("_p") + 1).cast("bigint").alias("position"), "item"
     )
 
 
