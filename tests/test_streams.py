@@ -53,3 +53,24 @@ def test_each_object_has_its_own_lag(spark, tmp_path):
     got = sorted((r.object_name, r.runs, (r.silent_from - r.first_seen).total_seconds() / 3600) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     # three lags of silence: 3 hours for fast, 12 for slow, 6 where no lag is given
     assert got == [("fast", 1, 3.0), ("fast", 2, 5.0), ("other", 1, 6.0), ("plain", 2, 8.0), ("slow", 3, 21.0)]
+
+
+def test_batches_rewrite_their_databases_only(spark, tmp_path):
+    schema = "database_name string, schema_name string, table_name string, schema_hash string, seen int"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    classes = spark.createDataFrame([("C", "A.S.T1"), ("C", "B.S.T1")], "class_name string, source_table string")
+    path = str(tmp_path / "table")
+    write = jobs.catalog_delta_writer(spark, path, classes, newest="seen")
+    assert jobs.catalog_table(spark, path) is None
+    write(batch(("A", "S", "T1", "h1", 1), ("A", "S", "T2", "h1", 1), ("B", "S", "T1", "h1", 1), (None, "S", "T1", "h1", 1), ("", "S", "T1", "h1", 1)), 0)
+    write(batch().limit(0), 1)
+    second = batch(("A", "S", "T1", "h9", 1), ("A", "S", "T1", "h2", 2), ("A", "S", "T3", "h1", 1), ("", "S", "T1", "h1", 1))
+    for _ in range(2):  # the batch runs again
+        write(second, 2)
+        got = {(r.database_name, r.table_name): (r.schema_hash, r.action) for r in jobs.catalog_table(spark, path).collect()}
+        assert got == {("A", "T1"): ("h2", "update"), ("A", "T2"): ("h1", "keep"), ("A", "T3"): ("h1", "insert"), ("B", "T1"): ("h1", "keep"), (None, "T1"): ("h1", "keep"), ("", "T1"): ("h1", "keep")}
+        drift = [(r.object_fqn, r.old_hash, r.new_hash) for r in spark.read.parquet(f"{path}/drift").collect()]
+        assert drift == [("A.S.T1", "h1", "h2")]
+    spark.createDataFrame([("B", "S", "T1", "lost", "update", "d" + "0" * 32)], "database_name string, schema_name string, table_name string, schema_hash string, action string, part string").write.partitionBy("part").parquet(f"{path}/data/version=000000000003")
+    assert jobs.catalog_table(spark, path).count() == 6  # files without a manifest, as a lost batch leaves them
+    assert {r.action for r in jobs.catalog_table(spark, path, before=1).collect()} == {"insert"}

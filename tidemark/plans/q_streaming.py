@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import catalog as K
 from tidemark.operators import model as M
 from tidemark.plans.inputs import Inputs
-from tidemark.plans.q_catalog import hash_sql
+from tidemark.plans.q_catalog import classes_of, hash_sql
 from tidemark.plans.q_knowledge import triage_objects
 from tidemark.plans.registry import QUERIES, query
 from tidemark.session import scratch_folder
@@ -162,14 +162,24 @@ def _(t):
     ("catalog_columns", "catalog_columns_new"),
 )
 def _(t):
+    return W.catalog_table(t.spark, _crawled(t))
+
+
+@query("stream_ontology_drift", QUERIES["ontology_drift"].sql, QUERIES["ontology_drift"].uses)
+def _(t):
+    return t.spark.read.parquet(f"{_crawled(t)}/drift").drop("version")
+
+
+def _crawled(t) -> str:
+    """Folder of the table that the old catalog and then a stream of the new one left."""
     root = scratch_folder(t.spark)
-    old = K.hashed(t.catalog_columns)
-    writer = W.catalog_delta_writer(t.spark, f"{root}/table")
-    writer(old, 0)
+    classes = classes_of(t).select("class_name", F.col("source_name").alias("source_table"))
+    writer = W.catalog_delta_writer(t.spark, f"{root}/table", classes)
+    writer(K.hashed(t.catalog_columns), 0)
     stream = replay(t, K.hashed(t.catalog_columns_new))
     offset = lambda batch, batch_id: writer(batch, batch_id + 1)
     stream.writeStream.foreachBatch(offset).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{root}/table/version=000000000001").drop("version")
+    return f"{root}/table"
 
 
 # ---- models ----

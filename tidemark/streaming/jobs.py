@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import percent
-from tidemark.operators.catalog import delta_upsert
-from tidemark.operators.watch import triage
+from tidemark.operators.catalog import TABLE_KEY, delta_upsert
+from tidemark.operators.watch import ontology_drift, triage
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -106,33 +107,66 @@ def stream_triage(objects: DataFrame, known: DataFrame) -> DataFrame:
     return triage(joined)
 
 
-def catalog_delta_writer(spark: SparkSession, target_path: str) -> Callable[[DataFrame, int], None]:
-    """Batch function that upserts each catalog snapshot into a versioned table.
+CATALOG = "database_name string, schema_name string, table_name string, schema_hash string, action string, version bigint, part string"
 
-    A batch reads the newest version and writes the next one, so a batch that runs
-    again overwrites its own version only and leaves the same result.
+
+def catalog_delta_writer(
+    spark: SparkSession, target_path: str, classes: DataFrame | None = None, newest: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Batch function that upserts each catalog snapshot into a table kept by database, for `catalog_table` to read.
+
+    A batch writes the databases it holds, as they are after it, and then a manifest row for each; other databases stay
+    where an earlier batch wrote them. Files without a manifest count for nothing, and a batch that runs again reads only
+    what came before it and overwrites its own files, so it leaves the same result. Of rows with one key in a batch the
+    one with the greatest `newest` counts, then the greatest hash. With `classes` (class_name, source_table) a batch also
+    writes the tables of a class whose hash changed to the folder `drift`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        previous = _version(spark, target_path, before=batch_id)
-        columns = ["database_name", "schema_name", "table_name", "schema_hash"]
-        merged = delta_upsert(previous.select(*columns), batch.select(*columns)) if previous is not None else delta_upsert(batch.select(*columns), batch.select(*columns), "FULL")
-        merged.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target_path}/version={batch_id:012d}")
+        latest = F.max_by("schema_hash", F.struct(*([newest] if newest else []), "schema_hash"))
+        rows = batch.groupBy(*TABLE_KEY).agg(latest.alias("schema_hash")).withColumn("part", _part()).persist()
+        try:
+            if rows.isEmpty():
+                return
+            own = f"version={batch_id:012d}"
+            previous = catalog_table(spark, target_path, before=batch_id)
+            if previous is None:
+                merged = delta_upsert(rows, rows, "FULL")
+            else:
+                previous = previous.withColumn("part", _part()).join(rows.select("part").distinct(), "part", "left_semi")
+                merged = delta_upsert(previous, rows)
+            merged.withColumn("part", _part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target_path}/data/{own}")
+            if classes is not None and previous is not None:
+                ontology_drift(previous, rows, classes).write.mode("overwrite").parquet(f"{target_path}/drift/{own}")
+            rows.select("part").distinct().write.mode("overwrite").parquet(f"{target_path}/manifest/{own}")
+        finally:
+            rows.unpersist()
 
     return write
 
 
-def _version(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Newest version of a table written before a batch."""
-    for version in range(before - 1, -1, -1):
-        try:
-            return spark.read.parquet(f"{path}/version={version:012d}")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-    return None
+def _part() -> Column:
+    """Folder of a database; its name may be null or empty, which a folder cannot tell apart."""
+    return F.coalesce(F.concat(F.lit("d"), F.md5("database_name")), F.lit("none"))
+
+
+def catalog_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Table that the batches before one (or all) left, or None if there was none.
+
+    The action is what the last batch did to a row, so rows of databases that it did not hold are kept ones.
+    """
+    try:
+        manifest = spark.read.schema("part string, version bigint").parquet(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    valid = (manifest if before is None else manifest.filter(F.col("version") < before)).groupBy("part").agg(F.max("version").alias("version"))
+    if valid.isEmpty():
+        return None
+    last = valid.agg(F.max("version").alias("v")).scalar()
+    rows = spark.read.schema(CATALOG).parquet(f"{path}/data").join(valid, ["part", "version"], "left_semi")
+    return rows.withColumn("action", F.when(F.col("version") == last, F.col("action")).otherwise("keep")).select(*TABLE_KEY, "schema_hash", "action")
 
 
 def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
