@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import as_large
 from tidemark.operators import catalog as K
 from tidemark.operators import drift as D
 from tidemark.operators import sqlmining as X
@@ -44,7 +45,7 @@ _REC = "CASE WHEN score >= 4 THEN 'ADD' WHEN score >= 1 THEN 'REVIEW' ELSE 'SKIP
 
 def _new_columns(t):
     n = t.catalog_columns_new.groupBy(*K.TABLE_KEY).agg(F.count(F.lit(1)).alias("column_count"))
-    return D.score_new_column(t.catalog_columns_new.join(n, K.TABLE_KEY).withColumn("all_null", F.col("column_name") == "NOTES"))
+    return D.score_new_column(t.catalog_columns_new.join(as_large(n), K.TABLE_KEY).withColumn("all_null", F.col("column_name") == "NOTES"))
 
 
 @query("score_new_column", f"WITH {_NEWCOL} SELECT *, {_REC} AS recommendation FROM ncol", ("catalog_columns_new",))
