@@ -177,7 +177,7 @@ def _manifest(t):
     item = F.concat_ws(".", K.full_name(), "column_name").alias("item")
     none = F.lit(None).cast("string").alias("drift_type")
     typed = diff.filter("drift_type <> 'NEW_IN_SOURCE'").select(F.lit("TYPE_DRIFT").alias("kind"), item, "severity", "drift_type", F.lit(None).cast("bigint").alias("score"), "recommendation")
-    new = _new_columns(t).join(diff.filter("drift_type = 'NEW_IN_SOURCE'"), [*K.TABLE_KEY, "column_name"], "left_semi").select(
+    new = _new_columns(t).join(as_large(diff.filter("drift_type = 'NEW_IN_SOURCE'")), [*K.TABLE_KEY, "column_name"], "left_semi").select(
         F.lit("NEW_COLUMN").alias("kind"), item, F.lit("INFO").alias("severity"), none, "score", "recommendation"
     )
     bypass = t.query_log.groupBy("user_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").select(
