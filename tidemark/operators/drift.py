@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import numbered, percent, pick_bounded, rounded
+from tidemark.functions.exact import as_large, numbered, percent, pick_bounded, rounded
 from tidemark.functions.naming import is_staging_like
 from tidemark.operators.catalog import TABLE_KEY, full_name, profile_values
 from tidemark.operators.usage import days_between, since
@@ -187,9 +187,9 @@ def apply_approvals(manifest: DataFrame, choices: DataFrame | None = None, rule:
     if rule is not None:
         kept = manifest.filter(bulk[rule])
     if choices is not None:
-        picked = manifest.join(choices.filter("choice = 'A'").select("number"), "number", "left_semi")
+        picked = manifest.join(as_large(choices.filter("choice = 'A'").select("number")), "number", "left_semi")
         refused = choices.filter("choice = 'S'").select("number")
-        kept = picked if kept is None else kept.unionByName(picked).distinct().join(refused, "number", "left_anti")
+        kept = picked if kept is None else kept.unionByName(picked).distinct().join(as_large(refused), "number", "left_anti")
     if kept is None:
         raise ValueError("name a rule or pass choices")
     return kept
