@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import rounded
+from tidemark.functions.exact import as_large, rounded
 
 # Weights of the six dimensions of a build plan.
 PLAN_WEIGHTS = {"objects": 20, "structure": 30, "sequence": 15, "row_counts": 10, "features": 15, "artifacts": 10}
@@ -132,19 +132,19 @@ def artifact_audit(setup: DataFrame, references: DataFrame, stated_rows: DataFra
     lab_id, table_name, column_name (or null); stated_rows: lab_id, table_name, row_count;
     teardown: lab_id, table_name.
     """
-    tables = setup.groupBy("lab_id", "table_name").agg(F.max("row_count").alias("_rows"))
+    tables = as_large(setup.groupBy("lab_id", "table_name").agg(F.max("row_count").alias("_rows")))
     finding = lambda df, kind: df.select("lab_id", F.lit(kind).alias("finding"), "item")
     named = lambda df: df.withColumn("item", F.col("table_name"))
     key = ["lab_id", "table_name"]
-    used = references.select(*key).distinct()
+    used = as_large(references.select(*key).distinct())
     missing = named(used.join(tables, key, "left_anti"))
     no_column = (
         references.filter(F.col("column_name").isNotNull()).join(tables, key, "left_semi")
-        .join(setup.select(*key, "column_name").distinct(), [*key, "column_name"], "left_anti")
+        .join(as_large(setup.select(*key, "column_name").distinct()), [*key, "column_name"], "left_anti")
         .select(*key, F.concat_ws(".", "table_name", "column_name").alias("item")).distinct()
     )
     wrong = named(stated_rows.join(tables, key).filter(F.col("row_count") != F.col("_rows")))
-    left = named(tables.join(teardown.select(*key).distinct(), key, "left_anti"))
+    left = named(tables.join(as_large(teardown.select(*key).distinct()), key, "left_anti"))
     unused = named(tables.join(used, key, "left_anti"))
     return (
         finding(missing, "MISSING_TABLE").unionByName(finding(no_column, "MISSING_COLUMN")).unionByName(finding(wrong, "ROW_COUNT_MISMATCH"))

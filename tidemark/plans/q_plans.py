@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import as_large
 from tidemark.operators import catalog as K
 from tidemark.operators import consistency as P
 from tidemark.operators import ontology as O
@@ -174,7 +175,7 @@ def _(t):
 )
 def _(t):
     lab = F.col("database_name").alias("lab_id")
-    setup = t.catalog_columns.join(t.catalog_tables.select(*K.TABLE_KEY, "row_count"), K.TABLE_KEY).select(lab, "table_name", "column_name", "row_count")
+    setup = t.catalog_columns.join(as_large(t.catalog_tables.select(*K.TABLE_KEY, "row_count")), K.TABLE_KEY).select(lab, "table_name", "column_name", "row_count")
     ghost = F.col("column_name") == "NOTES"
     refs = t.catalog_columns_new.filter("ordinal > 3").select(lab, F.when(ghost, F.concat(F.lit("GHOST_"), "table_name")).otherwise(F.col("table_name")).alias("table_name"), "column_name")
     tables = t.catalog_tables
