@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import rounded
+from tidemark.functions.exact import as_large, rounded
 from tidemark.session import durable
 
 from tidemark.operators.catalog import TABLE_KEY, full_name
@@ -57,6 +57,10 @@ def watch_states(
     return found.unionByName(nothing).withColumn("triage_action", action)
 
 
+# Fixed value: tables and classes of a column up to which it counts as rare.
+RARE_COLUMN = 64
+
+
 def match_class(shadow_columns: DataFrame, class_columns: DataFrame, min_similarity: float = 0.7) -> DataFrame:
     """Best class per table by the Jaccard similarity of the column names.
 
@@ -64,6 +68,11 @@ def match_class(shadow_columns: DataFrame, class_columns: DataFrame, min_similar
     the |s| - ceil(t|s|) + 1 rarest columns of either side, so only those meet in
     the join; a column that every table has produces no candidates. Nor do sets
     of too different size. Each side is derived once and written.
+
+    Sets that share a rare column meet one by one. Of sets that share none, the
+    size and the frequent columns decide alone, so all with the same ones are one
+    row, classes with the least name; where two do share a rare one, this only
+    understates them, and they have met in full already.
     """
     rarity = (
         shadow_columns.select("column_name").unionAll(class_columns.select("column_name"))
@@ -73,36 +82,49 @@ def match_class(shadow_columns: DataFrame, class_columns: DataFrame, min_similar
 
     def sets(df: DataFrame, name: str) -> DataFrame:
         listed = (
-            df.select(F.col("name").alias(name), F.upper("column_name").alias("_c"))
+            df.filter(F.col("name").isNotNull()).select(F.col("name").alias(name), F.upper("column_name").alias("_c"))
             .distinct()
-            .join(rarity, "_c")
+            .join(as_large(rarity), "_c")
             .groupBy(name)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_c"))), lambda x: x["_c"]).alias(f"_{name}"))
+            .agg(F.array_sort(F.collect_list(F.struct("_f", "_c"))).alias("_all"))
+        )
+        n = F.size("_all")
+        names = lambda items: F.transform(items, lambda x: x["_c"])
+        first = F.slice("_all", F.lit(1), n - F.ceil(n * F.lit(min_similarity) - 1e-9).cast("int") + 1)
+        rare = lambda x: x["_f"] <= RARE_COLUMN
+        often = lambda x: x["_f"] > RARE_COLUMN
+        return durable(
+            listed.select(
+                name, n.alias("_n"), names("_all").alias("_set"), names(F.filter("_all", often)).alias("_often"),
+                names(F.filter(first, rare)).alias("_rare_first"), names(F.filter(first, often)).alias("_often_first"),
+            )
         )
-        n = F.size(f"_{name}")
-        prefix = n - F.ceil(n * F.lit(min_similarity) - 1e-9).cast("int") + 1
-        return durable(listed.withColumn("_p", F.slice(f"_{name}", F.lit(1), prefix)))
 
     a, b = sets(shadow_columns, "table_name"), sets(class_columns, "class_name")
-    candidates = (
-        a.select("table_name", F.size("_table_name").alias("_na"), F.explode("_p").alias("_c"))
-        .join(b.select("class_name", F.size("_class_name").alias("_nb"), F.explode("_p").alias("_c")), "_c")
-        .filter(F.least("_na", "_nb") >= F.greatest("_na", "_nb") * F.lit(min_similarity) - 1e-9)
-        .select("table_name", "class_name")
-        .distinct()
-    )
-    common = F.size(F.array_intersect("_table_name", "_class_name"))
-    scored = (
-        candidates.join(a.drop("_p"), "table_name")
-        .join(b.drop("_p"), "class_name")
-        .select(
-            "table_name",
-            "class_name",
-            (common / (F.size("_table_name") + F.size("_class_name") - common)).alias("_j"),
-        )
-        .filter(F.col("_j") >= min_similarity)
+    alike = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * F.lit(min_similarity) - 1e-9
+
+    def scored(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of `left` (_a, _na, _sa, _pa) and `right` (_b, _nb, _sb, _pb) that are alike enough, each once: at the first column they share."""
+        met = left.withColumn("_c", F.explode("_pa")).join(as_large(right.withColumn("_c", F.explode("_pb"))), "_c").filter(alike)
+        both = F.array_intersect("_sa", "_sb")
+        j = F.size("_both") / (F.col("_na") + F.col("_nb") - F.size("_both"))
+        once = met.withColumn("_both", both).filter(F.get("_both", F.lit(0)) == F.col("_c"))
+        return once.select("_a", "_b", j.alias("_j")).filter(F.col("_j") >= min_similarity)
+
+    def part(df: DataFrame, side: str, key: Column, whole: str, first: str) -> DataFrame:
+        return df.select(key.alias(f"_{side}"), F.col("_n").alias(f"_n{side}"), F.col(whole).alias(f"_s{side}"), F.col(first).alias(f"_p{side}"))
+
+    rare = scored(part(a, "a", F.col("table_name"), "_set", "_rare_first"), part(b, "b", F.col("class_name"), "_set", "_rare_first"))
+    kind = ["_n", "_often", "_often_first"]
+    shapes = a.select(*kind).distinct().withColumn("_id", F.struct(*kind))
+    named = b.groupBy(*kind).agg(F.min("class_name").alias("class_name"))
+    best = lambda df, key: df.groupBy(key).agg(F.max("_j").alias("_j"), F.min_by("_b", F.struct(-F.col("_j"), F.col("_b"))).alias("_b"))
+    of_shape = best(scored(part(shapes, "a", F.col("_id"), "_often", "_often_first"), part(named, "b", F.col("class_name"), "_often", "_often_first")), "_a")
+    frequent = a.select("table_name", F.struct(*kind).alias("_id")).join(as_large(of_shape), F.col("_id") == F.col("_a"))
+    scored_rows = rare.select(F.col("_a").alias("table_name"), F.col("_b").alias("class_name"), "_j").unionByName(
+        frequent.select("table_name", F.col("_b").alias("class_name"), "_j")
     )
-    return scored.groupBy("table_name").agg(
+    return scored_rows.groupBy("table_name").agg(
         F.min_by("class_name", F.struct(-F.col("_j"), F.col("class_name"))).alias("class_name"),
         rounded(F.max("_j"), 4).alias("similarity"),
         F.lit("ontology_review").alias("triage_action"),
