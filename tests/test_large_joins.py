@@ -35,3 +35,78 @@ def test_approvals_keep_their_rows(spark):
     manifest = spark.createDataFrame(rows, "number long, item string, severity string, recommendation string")
     choices = spark.createDataFrame([(3, "A"), (4, "S"), (9, "A")], "number long, choice string")
     assert {r.number for r in drift.apply_approvals(manifest, choices, "HIGH").collect()} == {1, 3}
+
+
+def test_best_class_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from tidemark.operators import watch
+
+    monkeypatch.setattr(watch, "RARE_COLUMN", 5)
+    rng = random.Random(3)
+    draw = lambda k: {f"{k}{i}": {*rng.sample("ABCDEFGH", rng.randint(1, 7)), *rng.sample(["R1", "R2", f"R{i % 9}", f"{k}_{i}"], 2)} for i in range(60)}
+    tables, classes = draw("t"), draw("c")
+    frame = lambda sets: spark.createDataFrame([(n, c) for n, s in sets.items() for c in sorted(s)] + [(None, "A")], "name string, column_name string")
+    want = {}
+    for t, s in tables.items():
+        j, c = min((-len(s & k) / len(s | k), c) for c, k in classes.items())
+        if -j >= 0.7:
+            want[t] = (c, round(-j, 4))
+    assert want and {r.table_name: (r.class_name, r.similarity) for r in watch.match_class(frame(tables), frame(classes)).collect()} == want
+
+
+def test_equal_frequent_columns_are_one_row(spark):
+    """400 tables and classes of the same eight columns and one of their own: no pair of them is written."""
+    from tidemark.operators import watch
+
+    frame = lambda k: spark.range(400).selectExpr(f"concat('{k}', id) as name", f"explode(split('A,B,C,D,E,F,G,H,{k}' || id, ',')) as column_name")
+    found = watch.match_class(frame("t"), frame("c"))
+    assert {(r.class_name, r.similarity) for r in found.collect()} == {("c0", 0.8)} and found.count() == 400
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rare_first" in plan and "_often_first" in plan
+
+
+def test_facts_and_dimensions_are_not_grouped_by_pair(spark, monkeypatch):
+    from tidemark.operators import relations
+
+    monkeypatch.setattr(relations, "FACTS_PER_BLOCK", 2)
+    rows = [(f"FCT_{i}", c) for i in range(7) for c in ("A_ID", "B_KEY", "Z")] + [("dim_x", "B_KEY"), ("dim_x", "A_ID"), ("DIM_Y", "b_key"), ("DIM_FCT_", "Q_ID"), ("DIM_N", None)]
+    columns = spark.createDataFrame([("D", "S", *r) for r in rows] * 2, "database_name string, schema_name string, table_name string, column_name string")
+    found = relations.fact_dim_relations(columns)
+    got = {(r.left_table, r.right_table): r.relationship_columns for r in found.collect()}
+    want = {(f"fct_{i}", d): k for i in range(7) for d, k in (("dim_x", "A_ID,B_KEY"), ("dim_y", "B_KEY"))} | {("dim_fct_", "dim_fct_"): "Q_ID"}
+    assert got == want and found.count() == len(want)
+    assert "hashpartitioning(database_name" not in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+
+
+def test_common_reference_is_looked_up_once_a_schema(spark):
+    from tidemark.operators import relations
+
+    rows = [("D", "S", f"T{i}", c) for i in range(50) for c in ("ID", "ORDER_ID", "order_id")] + [("D", "S", "ORDERS", "ID"), (None, "S", "LONE", "ORDER_ID")]
+    columns = spark.createDataFrame(rows, "database_name string, schema_name string, table_name string, column_name string")
+    found = relations.relations_inferred(columns)
+    assert {(r.source_table, r.source_column, r.target_table) for r in found.collect()} == {
+        *((f"D.S.T{i}", c, "D.S.ORDERS") for i in range(50) for c in ("ORDER_ID", "order_id")), ("S.LONE", "ORDER_ID", "D.S.ORDERS")
+    }
+    # the names are made distinct before they are taken apart into options
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "posexplode" in x)
+    assert any("Aggregate [database_name" in x for x in plan[at : at + 3])
+
+
+def test_catalog_columns_are_spread(spark, small):
+    from tidemark.plans.inputs import Inputs
+
+    t = Inputs(spark, small)
+    assert t.catalog_columns.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pieces_of_metric_names_are_not_shuffled_to_be_distinct(spark):
+    from tidemark.operators import questions
+
+    columns = spark.createDataFrame([("sales", "D", "S", t) for t in ("AA", "A", "x")], "domain string, database_name string, schema_name string, table_name string")
+    metrics = spark.createDataFrame([("sales", "aaa_aa", "SUM(1)")] * 2 + [("sales", None, "SUM(1)")], "domain string, metric_name string, expr string")
+    found = questions.spec_metrics(columns, metrics)
+    assert sorted(r.logical_table for r in found.collect()) == ["a", "aa"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "logical_table" not in [x for x in plan.splitlines() if "Aggregate [domain" in x and "metric_name" in x][0]
