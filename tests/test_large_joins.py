@@ -69,7 +69,7 @@ def test_equal_frequent_columns_are_one_row(spark):
 def test_facts_and_dimensions_are_not_grouped_by_pair(spark, monkeypatch):
     from tidemark.operators import relations
 
-    monkeypatch.setattr(relations, "FACTS_PER_BLOCK", 2)
+    monkeypatch.setattr(relations, "TABLES_PER_BLOCK", 2)
     rows = [(f"FCT_{i}", c) for i in range(7) for c in ("A_ID", "B_KEY", "Z")] + [("dim_x", "B_KEY"), ("dim_x", "A_ID"), ("DIM_Y", "b_key"), ("DIM_FCT_", "Q_ID"), ("DIM_N", None)]
     columns = spark.createDataFrame([("D", "S", *r) for r in rows] * 2, "database_name string, schema_name string, table_name string, column_name string")
     found = relations.fact_dim_relations(columns)
