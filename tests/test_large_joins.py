@@ -110,3 +110,18 @@ def test_pieces_of_metric_names_are_not_shuffled_to_be_distinct(spark):
     assert sorted(r.logical_table for r in found.collect()) == ["a", "aa"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "logical_table" not in [x for x in plan.splitlines() if "Aggregate [domain" in x and "metric_name" in x][0]
+
+
+def test_pairs_are_not_shuffled_by_database(spark):
+    from tidemark.operators import questions
+
+    columns = spark.createDataFrame([("sales", "D"), ("sales", "E")], "domain string, database_name string")
+    relations = spark.createDataFrame([("D", "a_to_b", "a", "b", "X_ID")], "database_name string, name string, left_table string, right_table string, relationship_columns string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a catalog whose estimate is above it
+    try:
+        found = questions.spec_relations(columns, relations)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert [(r.name, r.relation) for r in found.collect()] == [("sv_sales", "a_to_b")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
