@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import as_large
 from tidemark.session import durable
 
 
@@ -16,21 +17,22 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
     Breadth first: a node already reached from a start is dropped, so cycles end
     and the depth is the smallest one; among equal paths the first in text order
     is kept. Every round is one join; lineage is cut every few rounds. Rounds go on
-    until nothing new is reached; `max_depth` stops them earlier.
+    until nothing new is reached; `max_depth` stops them earlier. No round sends
+    a side through the driver: over all rounds that would add up to the graph.
     """
-    e = edges.select("src", "dst").distinct()
+    e = durable(edges.select("src", "dst").distinct())
     frontier = starts.select(F.col("node").alias("start")).distinct().select(
         "start", F.col("start").alias("node"), F.col("start").cast("string").alias("path"), F.lit(0).cast("bigint").alias("depth")
     )
     seen = frontier
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = (
-            frontier.join(e, F.col("node") == F.col("src"))
+            frontier.join(as_large(e), F.col("node") == F.col("src"))
             .groupBy("start", "dst")
             .agg(F.min(F.concat_ws(">", "path", F.col("dst").cast("string"))).alias("path"))
             .select("start", F.col("dst").alias("node"), "path", F.lit(depth).cast("bigint").alias("depth"))
         )
-        frontier = durable(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        frontier = durable(step.join(as_large(seen.select("start", "node")), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -55,8 +57,8 @@ def root_cause(failures: DataFrame, edges: DataFrame, upstream_pattern: str, hou
     bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (hours * 3_600_000_000))
     slots = blamed.select("failure_id", "start", "_at", F.explode(F.array(bucket("_at"), bucket("_at") - 1)).alias("_slot"))
     hits = (
-        slots.join(ancestors, "start")
-        .join(own.withColumn("_slot", bucket("_cause_at")), ["cause", "_slot"])
+        slots.join(as_large(ancestors), "start")
+        .join(as_large(own.withColumn("_slot", bucket("_cause_at"))), ["cause", "_slot"])
         .filter(near)
         .groupBy("failure_id")
         .agg(F.min(F.struct("depth", "cause", "path")).alias("_b"))
@@ -91,9 +93,9 @@ def spread_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     frontier = durable(labels.groupBy("node").agg(F.min("label").alias("label")).select("node", F.lit(0).cast("bigint").alias("depth"), "label"))
     seen = frontier
     for depth in count(1):
-        met = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        met = frontier.join(as_large(edges.select(F.col("src").alias("node"), "dst")), "node").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
         met = met.select("node", F.lit(depth).cast("bigint").alias("depth"), "label")
-        frontier = durable(met.join(seen.select("node"), "node", "left_anti"))
+        frontier = durable(met.join(as_large(seen.select("node")), "node", "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -105,11 +107,11 @@ def resolve_dependencies(rules: DataFrame, depends: DataFrame) -> DataFrame:
     `rules` holds (node), `depends` holds (child, parent). A cycle drops nothing;
     the status tells the first missing name of the nearest rule that lacks one.
     """
-    known = rules.select(F.col("node").alias("parent"))
+    known = as_large(rules.select(F.col("node").alias("parent")))
     broken = depends.join(known, "parent", "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("label"))
     up = depends.join(known, "parent", "left_semi").select(F.col("parent").alias("src"), F.col("child").alias("dst"))
     dropped = spread_labels(durable(up.distinct()), broken)
-    return rules.join(dropped, "node", "left").select(
+    return rules.join(as_large(dropped), "node", "left").select(
         "node",
         F.col("depth").isNull().alias("is_kept"),
         F.col("label").alias("missing"),
@@ -124,9 +126,9 @@ def load_order(rules: DataFrame, depends: DataFrame) -> DataFrame:
     the counts of those that depend on them: one checkpoint, each edge used once.
     """
     nodes = rules.select("node").distinct()
-    edges = durable(depends.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent").distinct())
+    edges = durable(depends.join(as_large(nodes.withColumnRenamed("node", "parent")), "parent", "left_semi").select("child", "parent").distinct())
     waits = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
-    state = durable(nodes.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
+    state = durable(nodes.join(as_large(waits), "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
     done = None
     for level in count():
         ready = state.filter("waits = 0")
@@ -135,6 +137,6 @@ def load_order(rules: DataFrame, depends: DataFrame) -> DataFrame:
             return rest if done is None else done.unionByName(rest)
         settled = ready.select("node", F.lit(level).cast("bigint").alias("level"))
         done = settled if done is None else done.unionByName(settled)
-        fewer = edges.join(ready.select(F.col("node").alias("parent")), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("fewer"))
-        left = state.filter("waits > 0").join(fewer, "node", "left")
+        fewer = edges.join(as_large(ready.select(F.col("node").alias("parent"))), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("fewer"))
+        left = state.filter("waits > 0").join(as_large(fewer), "node", "left")
         state = durable(left.select("node", (F.col("waits") - F.coalesce("fewer", F.lit(0))).alias("waits")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import as_large
 from tidemark.operators import closure as C
 from tidemark.operators import health as H
 from tidemark.plans.inputs import AS_OF, EVENTS_AS_OF
@@ -349,7 +350,7 @@ def _rules(t):
 )
 def _(t):
     rules = _rules(t)
-    depends = t.edges.join(rules.withColumnRenamed("node", "child"), "child", "left_semi")
+    depends = t.edges.join(as_large(rules.withColumnRenamed("node", "child")), "child", "left_semi")
     return C.resolve_dependencies(rules, depends)
 
 
