@@ -11,8 +11,8 @@ from tidemark.functions.exact import as_large
 from tidemark.session import durable
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, cut_every: int = 4) -> DataFrame:
-    """Nodes reachable from each start along (src, dst) edges, with depth and first path.
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, cut_every: int = 4, paths: bool = True) -> DataFrame:
+    """Nodes reachable from each start along (src, dst) edges, with depth and first path (null without `paths`).
 
     Breadth first: a node already reached from a start is dropped, so cycles end
     and the depth is the smallest one; among equal paths the first in text order
@@ -22,14 +22,14 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
     """
     e = durable(edges.select("src", "dst").distinct())
     frontier = starts.select(F.col("node").alias("start")).distinct().select(
-        "start", F.col("start").alias("node"), F.col("start").cast("string").alias("path"), F.lit(0).cast("bigint").alias("depth")
+        "start", F.col("start").alias("node"), F.when(F.lit(paths), F.col("start").cast("string")).alias("path"), F.lit(0).cast("bigint").alias("depth")
     )
     seen = frontier
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = (
             frontier.join(as_large(e), F.col("node") == F.col("src"))
             .groupBy("start", "dst")
-            .agg(F.min(F.concat_ws(">", "path", F.col("dst").cast("string"))).alias("path"))
+            .agg((F.min(F.concat_ws(">", "path", F.col("dst").cast("string"))) if paths else F.lit(None).cast("string")).alias("path"))
             .select("start", F.col("dst").alias("node"), "path", F.lit(depth).cast("bigint").alias("depth"))
         )
         frontier = durable(step.join(as_large(seen.select("start", "node")), ["start", "node"], "left_anti"))
@@ -66,20 +66,53 @@ def root_cause(failures: DataFrame, edges: DataFrame, upstream_pattern: str, hou
     return hits.select("failure_id", F.col("_b.cause").alias("root_cause"), F.col("_b.depth").alias("depth"), F.col("_b.path").alias("path"))
 
 
+def fold_leaves(edges: DataFrame, weights: DataFrame, sums: list[str], least_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Weights of leaves with a single parent, added to that parent as long as there are such: what is left, what was folded.
+
+    `weights` holds a row per node, with the columns `sums`. Whatever reaches the parent reaches the leaf, and nothing else
+    does but the leaf, so sums over reachable nodes stay the same. A folded node has all that it reaches in its own sums.
+    Folding stops once a round takes less than `least_share` of the nodes, so that a long chain costs no round a node.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("parent")).filter("_n = 1").drop("_n")
+    out_of = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("children"))
+    left = weights.join(as_large(into), "node", "left").join(as_large(out_of), "node", "left")
+    left = durable(left.withColumn("children", F.coalesce("children", F.lit(0))))
+    is_leaf = (F.col("children") == 0) & F.col("parent").isNotNull()
+    folded, n = left.limit(0), left.count()
+    while True:
+        leaves = left.filter(is_leaf)
+        taken = leaves.count()
+        folded = folded.unionByName(leaves)
+        given = leaves.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_gone"), *[F.sum(c).alias(f"_{c}") for c in sums])
+        rest = left.filter(~is_leaf).join(as_large(given), "node", "left")
+        plus = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums}
+        left = durable(rest.withColumns({**plus, "children": F.col("children") - F.coalesce("_gone", F.lit(0))}).select(left.columns))
+        n -= taken
+        if taken <= least_share * n:
+            return left.drop("parent", "children"), folded.drop("parent", "children")
+
+
 def downstream_status(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     """Whether all dependents of each node are healthy; skipped counts as healthy for tasks.
 
-    `states` holds (node, object_type, state), one row per node.
+    `states` holds (node, object_type, state), one row per node. Dependents with a single parent are counted at that parent
+    (`fold_leaves`); pairs of start and node are kept for the rest of the graph only, and without paths.
     """
-    walk = reachable(edges.select(F.col("parent").alias("src"), F.col("child").alias("dst")), nodes)
     ok = (F.col("state") == "SUCCEEDED") | ((F.col("state") == "SKIPPED") & (F.col("object_type") == "TASK"))
-    joined = walk.filter("depth > 0").join(states, "node", "left")
-    per = joined.groupBy("start").agg(
-        F.count(F.lit(1)).alias("dependents"), F.count_if(~F.coalesce(ok, F.lit(True))).alias("unhealthy")
-    )
+    known = states.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.count_if(~F.coalesce(ok, F.lit(True))).alias("own_bad"))
+    e = durable(edges.select(F.col("parent").alias("src"), F.col("child").alias("dst")).filter("src <> dst").distinct())
+    each = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().join(as_large(known), "node", "left")
+    own, own_bad = F.coalesce("own", F.lit(1)), F.coalesce("own_bad", F.lit(0))
+    left, folded = fold_leaves(e, each.select("node", own.alias("own"), own_bad.alias("own_bad"), own.alias("n"), own_bad.alias("bad")), ["n", "bad"])
+    starts = nodes.select("node").distinct()
+    core = e.join(as_large(left.select(F.col("node").alias("dst"))), "dst", "left_semi")
+    walk = reachable(core, starts.join(as_large(left), "node", "left_semi"), paths=False)
+    sums = walk.join(as_large(left.select("node", "n", "bad")), "node").groupBy(F.col("start").alias("node")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    with_own = sums.join(as_large(left.select("node", "own", "own_bad")), "node").unionByName(folded)
+    per = with_own.select("node", (F.col("n") - F.col("own")).alias("dependents"), (F.col("bad") - F.col("own_bad")).alias("unhealthy"))
     return (
-        nodes.select(F.col("node").alias("start")).distinct().join(per, "start", "left").fillna(0, ["dependents", "unhealthy"])
-        .select(F.col("start").alias("node"), "dependents", "unhealthy", F.when(F.col("unhealthy") == 0, "RESOLVED").otherwise("ESCALATED").alias("outcome"))
+        starts.join(as_large(per), "node", "left").fillna(0, ["dependents", "unhealthy"])
+        .select("node", "dependents", "unhealthy", F.when(F.col("unhealthy") == 0, "RESOLVED").otherwise("ESCALATED").alias("outcome"))
     )
 
 
