@@ -125,3 +125,26 @@ def test_pairs_are_not_shuffled_by_database(spark):
         assert [(r.name, r.relation) for r in found.collect()] == [("sv_sales", "a_to_b")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_names_without_a_third_option_do_not_meet(spark):
+    """References whose name has no third option shared a null, so all of them lay in one task of the look-up."""
+    from tidemark.operators import relations
+
+    rows = [("d", "s", "T%d" % i, c, n) for i in range(20) for n, c in enumerate(("ID", f"T{i + 1}_ID", "BOSS_ID"), 1)] + [("d", "s", "BOS", "ID", 1)]
+    columns = spark.createDataFrame(rows, "database_name string, schema_name string, table_name string, column_name string, ordinal int")
+    out = relations.relations_inferred(columns)
+    assert "isnotnull(_o" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.source_table, r.target_table) for r in out.collect()}
+    assert got == {(f"d.s.T{i}", f"d.s.T{i + 1}") for i in range(19)} | {(f"d.s.T{i}", "d.s.BOS") for i in range(20)}
+
+
+def test_relations_are_sorted_in_a_named_number_of_parts(spark, small):
+    found = load_all()["merge_relations"].run(spark, small)
+    assert found.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism  # was 1
+
+
+@pytest.mark.parametrize("name", ["merge_relations", "conflict_summary", "graduation_ready"])
+def test_relations_are_not_broadcast(spark, small, name):
+    plan = load_all()[name].run(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("full_name" in x or "ref_table" in x)]
