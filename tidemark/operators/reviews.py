@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.exact import money, numbered, percent, pick_bounded, ranked_values, rounded
+from tidemark.functions.exact import as_large, money, numbered, percent, pick_bounded, ranked_values, rounded
+from tidemark.functions.sqltext import each
 from tidemark.session import durable
 
 # Weights of the dimensions of the three kinds of review.
@@ -409,16 +410,74 @@ def duplicate_content(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Hashed word shingles of each distinct text; of equal texts the newest document stands for all."""
+    """Hashed word shingles of each distinct text; of equal texts the newest document stands for all.
+
+    copy tells the texts of one document apart, if any has several; it is 0 otherwise, since each shingle carries it.
+    """
+    repeated = docs.groupBy(key).count().filter("count > 1").limit(1).count() > 0
     shape = F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
     distinct = docs.select(F.col(key).alias("doc"), shape.alias("_t")).groupBy(F.sha2("_t", 256).alias("_h")).agg(
         F.max("doc").alias("doc"), F.max_by("_t", "doc").alias("_t")
     )
     # the words are a column of their own: inside the lambda below a split would run once per shingle
-    words = distinct.select("doc", F.split("_t", " ").alias("_w"))
+    copy = F.xxhash64("_h") if repeated else F.lit(0).cast("bigint")
+    words = distinct.select("doc", copy.alias("copy"), F.split("_t", " ").alias("_w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - size + 1, F.lit(1)))
     spans = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " ")))
-    return words.select("doc", F.array_distinct(spans).alias("shingles")).withColumn("n", F.size("shingles"))
+    return words.select("doc", "copy", F.array_distinct(spans).alias("shingles")).withColumn("n", F.size("shingles"))
+
+
+PARITY = [f"_p{i}" for i in range(4)]  # 64 cells each
+
+
+def shared_sets(sets: DataFrame, min_similarity: float) -> DataFrame:
+    """Sets that may be like another one: their shingles found in other sets too, rarest first, and how many to look up (room).
+
+    A shingle of one set only is never common to two, so these are counted and left out, and so is a set that has too many
+    of them. Shingles are shuffled once, by shingle; how many sets hold one is counted where they meet. The parity columns
+    say for each of 256 hashed cells whether an odd number of the shingles falls into it.
+    """
+    held = each(sets, F.col("shingles"), "s", "doc", "copy", "n")
+    met = held.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("df > 1 and doc is not null")
+    # two flat lists, filled row by row together, are half the size of a list of pairs
+    lists = met.groupBy("doc", "copy", "n").agg(F.collect_list(F.col("df").cast("int")).alias("df"), F.collect_list("s").alias("s"))
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(min_similarity) - 1e-9) + 1
+    room = (prefix - (F.col("n") - F.size("s"))).cast("int")  # shingles of one document come first
+    ordered = lists.withColumn("room", room).filter("room > 0").select("doc", "n", "room", F.array_sort(F.arrays_zip("df", "s")).getField("s").alias("shared"))
+
+    def parity(i: int) -> Column:
+        bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("bigint"), s.bitwiseAND(63).cast("int"))
+        odd = lambda bits, s: F.when(s.bitwiseAND(0xC0) == i << 6, bits.bitwiseXOR(bit(s))).otherwise(bits)
+        return F.aggregate("shared", F.lit(0).cast("bigint"), odd)
+
+    return ordered.select("doc", "n", "room", "shared", *[parity(i).alias(p) for i, p in enumerate(PARITY)])
+
+
+def newest_alike(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """doc, keeper and similarity: of the pairs (doc, rep), the newest rep of each doc that is alike by the whole sets.
+
+    Documents are compared with their newest rep first, and only those that are not like it with some more of the next
+    ones: sets are not sent along for comparisons that cannot count any more. rank: of a rep, from the newest.
+    """
+    found, upto = None, 1
+    while found is None or not pairs.isEmpty():
+        ids = pairs.select("doc").union(pairs.select("rep")).distinct()
+        sets = durable(sets.join(as_large(ids), "doc", "left_semi").select("doc", "n", "shared"))
+        a = sets.select("doc", F.col("shared").alias("_a"), F.col("n").alias("_na"))
+        b = sets.select(F.col("doc").alias("rep"), F.col("shared").alias("_b"), F.col("n").alias("_nb"))
+        same = F.size(F.array_intersect("_a", "_b"))
+        alike = (
+            pairs.filter(F.col("rank") <= upto).join(as_large(a), "doc").join(as_large(b), "rep")
+            .select("doc", "rep", (same / (F.col("_na") + F.col("_nb") - same)).alias("_j"))
+            .filter(F.col("_j") >= min_similarity)
+            .groupBy("doc")
+            .agg(F.max(F.struct("rep", "_j")).alias("_m"))
+        )
+        hits = durable(alike.select("doc", F.col("_m.rep").alias("keeper"), rounded(F.col("_m._j"), 4).alias("similarity")))
+        found = hits if found is None else found.unionByName(hits)
+        pairs = durable(pairs.filter(F.col("rank") > upto).join(as_large(hits.select("doc")), "doc", "left_anti"))
+        upto *= 8
+    return found
 
 
 def near_duplicates(
@@ -432,41 +491,40 @@ def near_duplicates(
     compared with each other but with its newest `reps`; these leave the shingle,
     and the rest goes on to the next round until nothing is left to compare. A
     thousand near copies so cost a thousand comparisons, not half a million.
+
+    Where two documents meet, their sizes and the parities of their shingles bound
+    what they can share: cells of different parity hold a shingle of one of them.
+    Only pairs that may be alike by that bound are written and compared as a whole.
     """
-    sets = durable(shingle_sets(docs, key, text, shingle))
-    each_one = sets.select("doc", "n", F.explode("shingles").alias("s"))
-    shared = each_one.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = each_one.join(shared, "s").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("_c"))
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(min_similarity) - 1e-9) + 1
-    room = F.greatest(prefix - (F.col("n") - F.size("_c")), F.lit(0)).cast("int")  # shingles of one document come first
-    postings = durable(common.select("doc", F.explode(F.slice("_c", F.lit(1), room)).alias("_x")).select("doc", F.col("_x.s").alias("s")))
+    sets = durable(shared_sets(shingle_sets(docs, key, text, shingle), min_similarity))
+    brief = ["doc", "n", F.size("shared").alias("m"), *PARITY]
+    postings = sets.select(*brief, F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("s"))
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"_r{p}"))) for p in PARITY), F.lit(0))
+    most = F.least("m", "_rm", F.floor((F.col("m") + F.col("_rm") - apart) / 2))
+    near = F.least("n", "_rn") >= F.greatest("n", "_rn") * min_similarity - 1e-9
+    may = near & (most >= (F.col("n") + F.col("_rn") - most) * F.lit(min_similarity) - 1e-6)
+    newest = Window.partitionBy("doc").orderBy(F.desc("rep"))
     found, tested = None, None
     while True:
-        heads = pick_bounded(postings, ["s"], [F.desc("doc")], reps).select("s", F.col("doc").alias("rep"))
-        pairs = postings.join(heads, "s").filter(F.col("doc") < F.col("rep")).select("doc", "rep").distinct()
+        heads = pick_bounded(postings, ["s"], [F.desc("doc")], reps).drop("_rn")
+        heads = heads.withColumnsRenamed({"doc": "rep", **{c: f"_r{c}" for c in ("n", "m", *PARITY)}})
+        pairs = postings.join(as_large(heads), "s").filter((F.col("doc") < F.col("rep")) & may).select("doc", "rep").distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["doc", "rep"], "left_anti")
-        pairs = durable(pairs)
-        if pairs.isEmpty():
-            break
-        a = sets.select("doc", F.col("shingles").alias("_a"), F.col("n").alias("_na"))
-        b = sets.select(F.col("doc").alias("rep"), F.col("shingles").alias("_b"), F.col("n").alias("_nb"))
-        near = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * min_similarity - 1e-9
-        same = F.size(F.array_intersect("_a", "_b"))
-        alike = (
-            pairs.join(a, "doc").join(b, "rep").filter(near)
-            .select("doc", "rep", (same / (F.col("_na") + F.col("_nb") - same)).alias("_j"))
-            .filter(F.col("_j") >= min_similarity)
-            .groupBy("doc")
-            .agg(F.max(F.struct("rep", "_j")).alias("_m"))
-        )
-        hits = durable(alike.select("doc", F.col("_m.rep").alias("keeper"), rounded(F.col("_m._j"), 4).alias("similarity")))
-        found = hits if found is None else found.unionByName(hits)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        spent = heads.withColumnRenamed("rep", "doc")
-        postings = durable(postings.join(hits.select("doc"), "doc", "left_anti").join(spent, ["s", "doc"], "left_anti"))
-    empty = sets.select("doc", F.col("doc").alias("keeper"), F.lit(0.0).alias("similarity")).limit(0)
-    return (empty if found is None else found).withColumnRenamed("doc", key)
+            pairs = pairs.join(as_large(tested), ["doc", "rep"], "left_anti")
+        pairs = durable(pairs.withColumn("rank", F.row_number().over(newest)))
+        # shingles with no more than `reps` documents are done; of the others those older than the heads are left
+        full = heads.groupBy("s").agg(F.min("rep").alias("_last"), F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= reps)
+        rest = postings.join(as_large(full.select("s", "_last")), "s").filter(F.col("doc") < F.col("_last")).drop("_last")
+        if found is None or not pairs.isEmpty():
+            if found is not None:
+                sets = durable(sets.join(as_large(postings.select("doc").distinct()), "doc", "left_semi"))
+            hits = newest_alike(pairs, sets, min_similarity)
+            rest = rest.join(as_large(hits.select("doc")), "doc", "left_anti")
+            found = hits if found is None else found.unionByName(hits)
+            tested = pairs.select("doc", "rep") if tested is None else tested.unionByName(pairs.select("doc", "rep"))
+        postings = durable(rest)
+        if postings.isEmpty():
+            return found.withColumnRenamed("doc", key)
 
 
 def orphan_references(references: DataFrame, known: DataFrame) -> DataFrame:
