@@ -46,6 +46,13 @@ def test_shingles_are_shuffled_once_and_no_side_is_broadcast(spark, written):
     assert not any("shingles" in columns for columns, *_ in written)  # the sets of all texts
 
 
+def test_rounds_without_pairs_double_the_heads(spark, written):
+    # 13 texts hold each piece, no two are alike: 12 rounds of one head each before
+    docs = [(i, f"{a} {b}") for i, (a, b) in enumerate(itertools.combinations(_pieces(14), 2))]
+    assert V.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), reps=1).collect() == []
+    assert 3 <= len([1 for columns, *_ in written if {"s", "doc"} <= set(columns)]) <= 5
+
+
 def test_repeated_and_missing_ids_and_texts(spark):
     base = _pieces(3)
     rows = [(1, base[0]), (1, base[1]), (2, base[0] + " x"), (3, base[1] + " y"), (3, base[1] + " y"), (None, base[2]), (4, base[2] + " z"), (5, None), (6, None), (7, "")]

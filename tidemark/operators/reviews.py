@@ -495,6 +495,7 @@ def near_duplicates(
     Where two documents meet, their sizes and the parities of their shingles bound
     what they can share: cells of different parity hold a shingle of one of them.
     Only pairs that may be alike by that bound are written and compared as a whole.
+    While there are none, the number of heads doubles.
     """
     sets = durable(shared_sets(shingle_sets(docs, key, text, shingle), min_similarity))
     brief = ["doc", "n", F.size("shared").alias("m"), *PARITY]
@@ -504,18 +505,22 @@ def near_duplicates(
     near = F.least("n", "_rn") >= F.greatest("n", "_rn") * min_similarity - 1e-9
     may = near & (most >= (F.col("n") + F.col("_rn") - most) * F.lit(min_similarity) - 1e-6)
     newest = Window.partitionBy("doc").orderBy(F.desc("rep"))
-    found, tested = None, None
+    found, tested, wide = None, None, reps
     while True:
-        heads = pick_bounded(postings, ["s"], [F.desc("doc")], reps).drop("_rn")
+        heads = pick_bounded(postings, ["s"], [F.desc("doc")], wide).drop("_rn")
         heads = heads.withColumnsRenamed({"doc": "rep", **{c: f"_r{c}" for c in ("n", "m", *PARITY)}})
         pairs = postings.join(as_large(heads), "s").filter((F.col("doc") < F.col("rep")) & may).select("doc", "rep").distinct()
         if tested is not None:
             pairs = pairs.join(as_large(tested), ["doc", "rep"], "left_anti")
         pairs = durable(pairs.withColumn("rank", F.row_number().over(newest)))
-        # shingles with no more than `reps` documents are done; of the others those older than the heads are left
-        full = heads.groupBy("s").agg(F.min("rep").alias("_last"), F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= reps)
+        some = not pairs.isEmpty()
+        if some and wide > reps:  # hits are to leave before the next `reps` heads are chosen
+            wide = reps
+            continue
+        # shingles with no more than `wide` documents are done; of the others those older than the heads are left
+        full = heads.groupBy("s").agg(F.min("rep").alias("_last"), F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= wide)
         rest = postings.join(as_large(full.select("s", "_last")), "s").filter(F.col("doc") < F.col("_last")).drop("_last")
-        if found is None or not pairs.isEmpty():
+        if found is None or some:
             if found is not None:
                 sets = durable(sets.join(as_large(postings.select("doc").distinct()), "doc", "left_semi"))
             hits = newest_alike(pairs, sets, min_similarity)
@@ -523,6 +528,7 @@ def near_duplicates(
             found = hits if found is None else found.unionByName(hits)
             tested = pairs.select("doc", "rep") if tested is None else tested.unionByName(pairs.select("doc", "rep"))
         postings = durable(rest)
+        wide = reps if some else 2 * wide  # rounds without a pair that may be alike choose as if they were one
         if postings.isEmpty():
             return found.withColumnRenamed("doc", key)
 
