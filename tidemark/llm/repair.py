@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, keyed, mixed, partitions, plain_id
-from tidemark.llm.vocab import byte_bpe
+from tidemark.llm.common import blocks, expand, keyed, mixed, partitions, plain_id
+from tidemark.llm.vocab import LIMIT, byte_bpe
 from tidemark.session import scratch_folder
 
 END = 2
@@ -29,26 +29,45 @@ SHARD = "part int, shard int, n_tokens long, doc_ids binary, firsts binary, size
 
 
 def _halved_runs(sequence: np.ndarray, rules: np.ndarray, base: int, end: int, min_count: int):
-    """Pairs of one symbol twice: in each run of equal symbols every second one goes, until no such pair is frequent."""
-    while len(sequence) > 1:
-        twin = (sequence[1:] == sequence[:-1]) & (sequence[1:] != end)
-        at = np.flatnonzero(twin)
-        if len(at) < min_count:
-            break
-        begins = np.r_[True, np.diff(at) > 1]
-        hit = at[(at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0]
-        symbols, place, counts = np.unique(sequence[hit], return_inverse=True, return_counts=True)
-        often = counts >= min_count
-        if not often.any():
+    """Pairs of one symbol twice: in each run of equal symbols every second one goes, until no such pair is frequent.
+
+    A step makes no equal neighbours but among its own nonterminals, so only these are looked at again.
+    """
+    first = np.flatnonzero(sequence[1:] == sequence[:-1])
+    first = first[sequence[first] != end]
+    second, gone = first + 1, []
+    while len(first) >= min_count:
+        # of a chain of pairs, each beginning with the symbol that ends the one before, every second one
+        at = np.arange(len(first))
+        begins = np.r_[True, first[1:] != second[:-1]]
+        hit = (at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0
+        first, second = first[hit], second[hit]
+        own = sequence[first]
+        counts = np.bincount(own)
+        symbols = np.flatnonzero(counts >= min_count)
+        if not len(symbols):
             break
-        hit, place = hit[often[place]], (np.cumsum(often) - 1)[place][often[place]]
-        sequence = sequence.copy()
-        sequence[hit] = base + len(rules) + place
-        keep = np.ones(len(sequence), bool)
-        keep[hit + 1] = False
-        sequence = sequence[keep]
-        rules = np.concatenate([rules, np.stack([symbols[often]] * 2, 1)])
-    return sequence, rules
+        often = counts[own] >= min_count
+        first, second, own = first[often], second[often], own[often]
+        if not gone:
+            sequence = sequence.copy()
+        sequence[first] = base + len(rules) + np.searchsorted(symbols, own)
+        gone.append(second)
+        rules = np.concatenate([rules, np.stack([symbols] * 2, 1)])
+        width = 1 << len(gone)
+        twin = np.flatnonzero((first[1:] == first[:-1] + width) & (own[1:] == own[:-1]))
+        first, second = first[twin], first[twin + 1]
+    return (_without(sequence, np.concatenate(gone)) if gone else sequence), rules
+
+
+def _without(sequence: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(sequence), bool)
+    keep[gone] = False
+    return sequence[keep]
+
+
+SLOTS = 17  # bits
+LEFT, END_SIDE, RIGHT = 1, 2, 3
 
 
 def compress(ids: np.ndarray, end: int = END, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES, rounds: int = ROUNDS):
@@ -60,37 +79,60 @@ def compress(ids: np.ndarray, end: int = END, min_count: int = MIN_COUNT, max_ru
         if len(sequence) < 2 or len(rules) >= max_rules:
             break
         # symbols that may stand left, others right: pairs of one round cannot overlap
-        left = (mixed(np.arange(base + len(rules), dtype=np.uint64) + np.uint64(turn << 32)) & np.uint64(1)).astype(bool)
-        may = left[sequence]
-        at = np.flatnonzero(may[:-1] & ~may[1:] & (sequence[:-1] != end) & (sequence[1:] != end))
-        key = (sequence[at].astype(np.int64) << 32) | sequence[at + 1]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        full = np.bincount(slot, minlength=1 << 20)[slot] >= min_count  # a pair is no more frequent than its slot
-        at, key = at[full], key[full]
+        side = np.where(mixed(np.arange(base + len(rules), dtype=np.uint64) + np.uint64(turn << 32)) & np.uint64(1), LEFT, RIGHT).astype(np.int8)
+        if end < len(side):
+            side[end] = END_SIDE
+        side = np.take(side, sequence, mode="clip")
+        at = np.flatnonzero(side[1:] - side[:-1] == RIGHT - LEFT)
+        first, second = sequence[at], sequence[at + 1]
+        slot = _slots(first, second)
+        full = np.flatnonzero((np.bincount(slot, minlength=1 << SLOTS) >= min_count)[slot])  # a pair is no more frequent than its slot
+        at, slot = at[full], slot[full]
+        key = (first[full].astype(np.int64) << 32) | second[full]
         pairs, counts = np.unique(key, return_counts=True)
         often = counts >= min_count
         pairs, counts = pairs[often], counts[often]
         pairs = np.sort(pairs[np.argsort(-counts, kind="stable")[: max_rules - len(rules)]])
         if not len(pairs):
             continue
-        place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        found = pairs[place] == key
+        # a slot with one such pair tells it; in others pairs are searched
+        own = _slots((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32))
+        shared = np.bincount(own, minlength=1 << SLOTS) > 1
+        by_slot = np.zeros(1 << SLOTS, np.int32)
+        by_slot[own] = np.arange(len(pairs))
+        place = by_slot[slot]
+        unclear = np.flatnonzero(shared[slot])
+        place[unclear] = np.minimum(np.searchsorted(pairs, key[unclear]), len(pairs) - 1)
+        found = np.flatnonzero(pairs[place] == key)
         hit = at[found]
         sequence[hit] = base + len(rules) + place[found]
-        keep = np.ones(len(sequence), bool)
-        keep[hit + 1] = False
-        sequence = sequence[keep]
+        sequence = _without(sequence, hit + 1)
         rules = np.concatenate([rules, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)])
-    lengths = np.ones(len(rules), np.int64)
-    for i, (left, right) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[left - base] if left >= base else 1) + (lengths[right - base] if right >= base else 1)
-    return sequence, rules, lengths, base
+    sizes = [1] * base
+    for left, right in rules.tolist():
+        sizes.append(sizes[left] + sizes[right])
+    return sequence, rules, np.array(sizes[base:], np.int64), base
+
+
+def _slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    mixture = first.view(np.uint32) * np.uint32(0x9E3779B1) + second.view(np.uint32) * np.uint32(0x85EBCA77)
+    return (mixture ^ mixture >> np.uint32(15)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - SLOTS)
 
 
 def expanded(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a sequence of symbols. Lengths give each symbol's place, so rounds only refine what is not an id yet."""
+    """Ids of a sequence of symbols. In a long one each symbol's ids are found once, then gathered."""
+    if len(sequence) < base + len(rules):
+        return _refined(sequence, rules, lengths, base)
+    plain, made = np.arange(base), _refined(base + np.arange(len(rules)), rules, lengths, base)
+    sizes = np.concatenate([np.ones(base, np.int64), lengths])
+    starts = np.cumsum(sizes) - sizes
+    return np.concatenate([plain, made]).astype(np.int32)[expand(starts[sequence], sizes[sequence])]
+
+
+def _refined(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Lengths give each symbol's place, so rounds only refine what is not an id yet."""
     size = np.where(sequence >= base, lengths[np.maximum(sequence - base, 0)] if len(lengths) else 1, 1)
-    out = np.zeros(int(size.sum()), np.int64)
+    out = np.zeros(int(size.sum()), np.int32)
     at, symbols = np.cumsum(size) - size, sequence
     while True:
         plain = symbols < base
@@ -124,7 +166,8 @@ def shards(documents: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, end:
                     ids, counts, docs, have = [], [], [], 0
             if docs:
                 yield _shard(part, next(shard), ids, counts, docs, end)
-        table.trim()  # the worker may go on to other tasks
+        if table.n > LIMIT:
+            table.trim()  # the worker may go on to other tasks
 
     docs = keyed(documents)
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
@@ -149,19 +192,28 @@ def write_shards(documents: DataFrame, path: str, folder: str, shard_bytes: int
     shards(documents, path, shard_bytes).write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
+PLACES = ["part", "shard", "doc_id", "offset", "n_tokens"]
+
+
+def _documents(batches):
+    """Of each batch of shard rows: columns of PLACES, and the ids of each document as bytes, in pieces of about 4 MB."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            docs, sizes, sequence, rules, lengths = (np.frombuffer(r[c], t).astype(np.int64) for c, t in (("doc_ids", "<i8"), ("sizes", "<u4"), ("sequence", "<u4"), ("rules", "<u4"), ("lengths", "<u4")))
+            ids = expanded(sequence, rules.reshape(-1, 2), lengths, r["base"])
+            offsets = np.cumsum(sizes) - sizes
+            data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            for some in np.array_split(np.arange(len(docs)), max(1, len(data) >> 22)):
+                values = [data[4 * o : 4 * (o + n)] for o, n in zip(offsets[some].tolist(), sizes[some].tolist(), strict=True)]
+                yield [pa.array(np.full(len(some), r["part"]), pa.int32()), pa.array(np.full(len(some), r["shard"]), pa.int32()), pa.array(docs[some]), pa.array(offsets[some]), pa.array(sizes[some])], values
+
+
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Documents from written shards: part and shard (places of the shard), doc_id, offset (ids before it in the shard) and ids."""
 
     def rows(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                docs, firsts, sizes, sequence, rules, lengths = (np.frombuffer(r[c], t).astype(np.int64) for c, t in (("doc_ids", "<i8"), ("firsts", "<u4"), ("sizes", "<u4"), ("sequence", "<u4"), ("rules", "<u4"), ("lengths", "<u4")))
-                ids = expanded(sequence, rules.reshape(-1, 2), lengths, r["base"])
-                offsets = np.cumsum(sizes) - sizes
-                data = ids.astype("<u4").tobytes()
-                for some in np.array_split(np.arange(len(docs)), max(1, len(data) >> 22)):
-                    values = [data[4 * o : 4 * (o + n)] for o, n in zip(offsets[some].tolist(), sizes[some].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), r["part"]), pa.int32()), pa.array(np.full(len(some), r["shard"]), pa.int32()), pa.array(docs[some]), pa.array(offsets[some]), pa.array(sizes[some]), pa.array(values, pa.binary())], ["part", "shard", "doc_id", "offset", "n_tokens", "ids"])
+        for places, ids in _documents(batches):
+            yield pa.RecordBatch.from_arrays([*places, pa.array(map(bytes, ids), pa.binary())], [*PLACES, "ids"])
 
     return spark.read.parquet(folder).mapInArrow(rows, "part int, shard int, doc_id long, offset long, n_tokens long, ids binary")
 
@@ -188,12 +240,11 @@ def token_output(documents: DataFrame, path: str, folder: str | None = None) ->
     folder = folder or scratch_folder(spark)
     write_shards(documents, path, folder)
 
-    def digests(batches):
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], crc], ["part", "shard", "doc_id", "offset", "n_tokens", "ids_crc32"])
+    def digests(batches):  # in the task that reads the ids, which are not sent on
+        for places, ids in _documents(batches):
+            yield pa.RecordBatch.from_arrays([*places, pa.array(map(zlib.crc32, ids), pa.int64())], [*PLACES, "ids_crc32"])
 
-    docs = read_shards(spark, folder).mapInArrow(digests, "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    docs = spark.read.parquet(folder).mapInArrow(digests, "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     placed = docs.join(shard_starts(spark, folder), ["part", "shard"])
     return placed.select(plain_id(), (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -137,19 +137,18 @@ def pieces(path: str) -> tuple[Pieces, Table]:
     model = Pieces(path)
     words = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+").findall
 
-    def encode_pieces(new):
+    def encode_pieces(new, _):
         # a piece is a part between spaces; those of the slow path are in normal form and begin with a mark; a line end is in no piece, so what follows it stands alone
-        return model.encode_words([p if p[:1] in (SPACE_MARK, "\n") else SPACE_MARK + p for p, _ in new])
-
-    def unsafe(piece, _):
-        return not piece or SPACE_MARK in piece
+        new = new.to_pylist()
+        unsafe = np.array([not p or SPACE_MARK in p for p in new], bool)
+        return *model.encode_words([p if p[:1] in (SPACE_MARK, "\n") else SPACE_MARK + p for p in new]), unsafe
 
     def parts(text):
         return words(SPACE_MARK + text.replace(" ", SPACE_MARK))
 
     if any("\n" in n for n in model.number):
         raise ValueError("a piece holds a line end; texts cannot be cut there")
-    return model, Table(encode_pieces, unsafe, parts)
+    return model, Table(encode_pieces, parts)
 
 
 SCHEMA = "doc_id long, ids array<int>, decoded string"
