@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,20 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), benchmark).count() == leaks.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_latent_space_is_fitted_on_all_passages(spark):
+    """Above 500,000 passages the directions were fitted on a part of the documents."""
+    n, words = 600_000, [f"word{k}" for k in range(12)]
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % len(words)).alias("text"))
+    space = leaks.latent_space(docs)
+    hashes, _ = leaks.plain_words(pa.array([" ".join(words)]))
+    feature = leaks._feature(hashes)
+    assert len(set(feature.tolist())) == len(words)
+    # passages of one word: the matrix is diagonal, with the square root of the count of each word as its scale
+    count = n / len(words)
+    want = np.log((1 + n) / (1 + count)) / np.sqrt(count)
+    assert np.allclose(np.linalg.norm(space[feature], axis=1), want, rtol=0.01)
+
+
 def test_simhash(docs, keyed):
     got = _by_id(simhash.near_duplicates(docs).select("doc_id", simhash.hex_of("fp"), F.coalesce("component_id", F.lit(NO_ID))))
     assert got == brute.near_duplicates(keyed)
