@@ -148,3 +148,55 @@ def test_relations_are_sorted_in_a_named_number_of_parts(spark, small):
 def test_relations_are_not_broadcast(spark, small, name):
     plan = load_all()[name].run(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("full_name" in x or "ref_table" in x)]
+
+
+def _random_keys(spark):
+    """Facts and dimensions of two databases with keys in few and in many tables, repeated and null rows."""
+    import random
+
+    r = random.Random(5)
+    keys = [*"ABC", *(f"R{i}" for i in range(12))]
+    rows = []
+    for db in ("D", "E", None):
+        for i in range(14):
+            for name in (f"FCT_{i}", f"dim_{i}", f"T{i}"):
+                rows += [(db, r.choice(["S", "T"]), name, f"{k}_{r.choice(['ID', 'id'])}") for k in r.sample(keys, r.randint(0, 4))]
+    rows += rows[:40] + [("D", "S", None, "A_ID"), ("D", "S", "FCT_X", None), ("D", "S", "FCT_DIM_", "A_KEY"), ("D", "S", "FCT_DIM_", "B_ID")]
+    tables = {}
+    for db, _, t, c in rows:
+        if db and t and c:
+            tables.setdefault((db, t.upper()), set()).add(c.upper())
+    want = {}
+    for (db, f), a in tables.items():
+        for (other, d), b in tables.items():
+            if db == other and "FCT_" in f and "DIM_" in d and a & b:
+                want[db, f.lower(), d.lower()] = ",".join(sorted(a & b)[:3])
+    return spark.createDataFrame(rows, "database_name string, schema_name string, table_name string, column_name string"), want
+
+
+@pytest.mark.parametrize("block", [1, 2, 4, 1024])
+def test_pairs_and_their_numbers_are_whole_for_frequent_and_rare_keys(spark, monkeypatch, block):
+    from collections import Counter
+
+    from tidemark.operators import relations
+
+    monkeypatch.setattr(relations, "TABLES_PER_BLOCK", block)
+    columns, want = _random_keys(spark)
+    got = relations.fact_dim_relations(columns).collect()
+    assert {(r.database_name, r.left_table, r.right_table): r.relationship_columns for r in got} == want and len(got) == len(want)
+    assert all(r.name == f"{r.left_table}_to_{r.right_table}" for r in got)
+    counted = relations.fact_dim_relations(columns, counted=True).collect()
+    assert {(r.database_name, r.left_table): r.pairs for r in counted} == Counter(x[:2] for x in want) and len(counted) == len({x[:2] for x in want})
+
+
+def test_blocks_of_tables_are_dealt_as_rows(spark, monkeypatch):
+    """Each table was written once for each block of the other side, with all its keys."""
+    from tidemark.operators import relations
+
+    monkeypatch.setattr(relations, "TABLES_PER_BLOCK", 4)
+    columns = spark.range(40).selectExpr("'D' as database_name", "'S' as schema_name", "concat(if(id < 20, 'FCT_', 'DIM_'), id) as table_name", "'A_ID' as column_name")
+    dealt, kind = [], type(columns)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *by: (dealt.append(df), plain(df, *by))[1])
+    assert relations.fact_dim_relations(columns).count() == 400
+    assert len(dealt) == 2 and all(df.count() <= 25 for df in dealt)  # was 100
