@@ -200,3 +200,13 @@ def test_blocks_of_tables_are_dealt_as_rows(spark, monkeypatch):
     monkeypatch.setattr(kind, "repartition", lambda df, *by: (dealt.append(df), plain(df, *by))[1])
     assert relations.fact_dim_relations(columns).count() == 400
     assert len(dealt) == 2 and all(df.count() <= 25 for df in dealt)  # was 100
+
+
+def test_name_of_a_specification_is_made_once_a_database(spark):
+    from tidemark.operators import questions
+
+    columns = spark.createDataFrame([("R & D", "D"), ("R & D", "D"), ("r_&_d", "D")], "domain string, database_name string")
+    relations = spark.createDataFrame([("D", "a_to_b", "a", "b", "X_ID")], "database_name string, name string, left_table string, right_table string, relationship_columns string")
+    found = questions.spec_relations(columns, relations)
+    assert [r.name for r in found.collect()] == ["sv_r_and_d"] * 2  # a row for each domain
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
