@@ -210,3 +210,26 @@ def test_name_of_a_specification_is_made_once_a_database(spark):
     found = questions.spec_relations(columns, relations)
     assert [r.name for r in found.collect()] == ["sv_r_and_d"] * 2  # a row for each domain
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_specification_counts_relations_without_their_pairs(spark, small):
+    from tidemark.operators import questions
+
+    plan = load_all()["semantic_spec"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pairs" in plan and "_to_" not in plan and "explode(_rv" not in plan
+    columns = spark.createDataFrame([("X", "D", "S", "FCT_A", "A_ID", "NUMBER", 1), ("X", "D", "S", "T", "N", "VARCHAR", 1)], "domain string, database_name string, schema_name string, table_name string, column_name string, data_type string, ordinal int")
+    verified = spark.createDataFrame([("X",)], "domain string")
+    for links in ([("D", "fct_a", 2), ("D", "fct_a", 3)], [("D", "fct_a")] * 5):
+        relations = spark.createDataFrame(links, ["database_name", "left_table", "pairs"][: len(links[0])])
+        got = {r.logical_table: r.relationships for r in questions.semantic_spec(columns, relations, verified).collect()}
+        assert got == {"fct_a": 5, "t": 0}
+
+
+def test_text_of_a_query_is_derived_once(spark):
+    from tidemark.operators import sqlmining
+
+    log = spark.createDataFrame([(1, "D", "q", "SELECT 1"), (2, "D", "q", "update t"), (3, "D", "", "SELECT 1"), (4, "D", "q", ""), (5, "D", "q", None), (6, "D", None, "SELECT 1"), (7, None, "q", "Created"), (8, None, "q", "x")], "query_id long, domain string, question string, raw string")
+    found = sqlmining.verified_queries(log.selectExpr("query_id", "domain", "question", "replace(raw, '1', '2') as query_text"))
+    assert sorted((r.domain, r.name, r.sql) for r in found.collect()) == [("D", "vqr_1", "SELECT 2"), ("Unknown", "vqr_8", "x")]
+    plan = found.select("domain").groupBy("domain").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert max(x.count("replace(raw") for x in plan.splitlines()) == 1  # was 4
