@@ -102,6 +102,15 @@ def test_relations_inside_a_question_by_confidence(spark):
     assert got == [(1, 1, "c", "a"), (1, 2, "a", "b")]
 
 
+def test_relations_inside_a_question_keep_their_kind(spark):
+    """Two kinds of relation between two tables came out as rows that could not be told apart, in any order."""
+    hits = spark.createDataFrame([(1, "a"), (1, "b")], "question_id long, full_name string")
+    rows = [("a", "x", "b", "id", "ONTOLOGY", 1.0, True), ("a", "x", "b", "id", "FK", 1.0, True), ("a", "y", "b", "id", "FK", 1.0, False), ("b", "z", "a", "id", "FK", 1.0, None)]
+    links = spark.createDataFrame(rows, "source_table string, source_column string, target_table string, target_column string, relationship_type string, confidence double, is_active boolean")
+    got = [(r.position, r.source_column, r.relationship_type) for r in S.internal_relations(hits, links).orderBy("position").collect()]
+    assert got == [(1, "x", "FK"), (2, "x", "ONTOLOGY")]
+
+
 def test_issues_meet_by_id_then_line_then_text(spark):
     schema = "plan_id long, issue_id long, line long, description string"
     base = spark.createDataFrame([(1, 1, 10, "a"), (1, 2, 20, "b"), (1, 3, 30, "c"), (1, 4, 40, "d")], schema)
